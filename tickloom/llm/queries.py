@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import find_phrases
 from .language import identify, learn_profiles
+from .near import near_classes
 from .substring import substring_dedup
 from .text import remainder, table
 from .tokenizer import encode_decode
@@ -19,6 +20,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").alias("n_pieces"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -39,7 +44,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op7_substring_dedup, op8_language, op9_decontamination)
+    f.__name__: f for f in (op1_sentencepiece, op5_near_duplicates, op7_substring_dedup, op8_language, op9_decontamination)
 }
 
 ORACLES: dict[str, str] = {
