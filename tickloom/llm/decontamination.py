@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .text import ALNUM_SPLIT, Words, list_array, map_pieces, pieces, signed, text_bytes
+from .text import ALNUM_SPLIT, Words, list_array, map_pieces, pieces, signed, text_bytes, written
 
 WINDOW = 10
 #: Phrases in one broadcast: at most so many times WINDOW numbers of 8 bytes.
@@ -190,6 +190,9 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mo
 def _cut(piece: pa.RecordBatch) -> pa.RecordBatch:
     texts = []
     for text, spans in zip(piece.column("text").to_pylist(), piece.column("spans").to_pylist(), strict=True):
+        if not spans or text is None:
+            texts.append(text)
+            continue
         raw = text.encode()
         words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM_SPLIT, lower=True)
         out, at = [], 0
@@ -197,4 +200,12 @@ def _cut(piece: pa.RecordBatch) -> pa.RecordBatch:
             out.append(raw[at : words.starts[s["first"]]])
             at = int(words.ends[s["last"]])
         texts.append(b"".join([*out, raw[at:]]).decode())
-    return piece.set_column(piece.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["spans"])
+    return pa.record_batch([piece.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+
+
+def cut_phrases(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
+    """The columns of `keep` of every document, its text without the words inside an occurrence."""
+    found = written(find_phrases(docs, benchmark, window).filter(F.size("spans") > 0).select("doc_id", "spans").dropDuplicates(["doc_id"]))
+    rows = docs.select("doc_id", "text", F.struct(*keep).alias("row")).join(found.hint("merge"), "doc_id", "left").drop("doc_id")
+    cut = map_pieces(rows, _cut, f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    return cut.select(*(F.col("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in keep))

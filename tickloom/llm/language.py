@@ -127,7 +127,10 @@ def learn_profiles(training: DataFrame, depth: int = DEPTH) -> Profiles:
     return Profiles(top.select("lang", "gram", "place").collect(), depth)
 
 
-def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """doc_id, lang_pred, score for every document."""
+def identify(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None) -> DataFrame:
+    """doc_id (or the columns of `keep`), lang_pred, score for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    return map_pieces(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), _predictor(shared), "doc_id long, lang_pred string, score double")
+    if keep is None:
+        return map_pieces(docs.select("doc_id", "text"), _predictor(shared), "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.struct(*keep).alias("row"), "text")
+    return map_pieces(rows, _predictor(shared), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double").select("row.*", "lang_pred", "score")

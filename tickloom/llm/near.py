@@ -11,8 +11,8 @@
    company), never all pairs. Pairs far below the threshold by their signatures go; the others are verified on
    their shingle sets.
 5. What leaders can't settle: members of a bucket that ended in different components and were not compared. Their
-   shingles are counted; a document too few of whose shingles occur elsewhere can't have a partner, and only the
-   others are compared across components.
+   shingles are counted; the number that occurs elsewhere bounds what two documents share, and only pairs within
+   that bound are compared across components.
 6. Components by alternating large and small stars.
 
 Cases: texts of one to four words are one shingle; wordless texts (not null) are copies if their bytes are equal; a
@@ -31,7 +31,7 @@ from .text import ALNUM_SPLIT, Words, list_array, map_pieces, mix, range_hashes,
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Pairs whose share of equal registers is below this aren't verified: 5 standard errors under the threshold.
+#: Pairs whose share of equal registers is lower than the threshold by this (5 standard errors) aren't verified.
 MARGIN = 0.2
 _U = np.uint64
 _HASH_BITS = 44
@@ -123,28 +123,27 @@ def _verified(size: int, threshold: float):
 
 def _verify(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, size: int, threshold: float) -> DataFrame:
     """a, b, similarity of the pairs at or over the threshold."""
-    held = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    held = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")).hint("merge"), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")).hint("merge"), "b")
     likely = written(held.mapInArrow(_agreeing(threshold - MARGIN), "a long, b long"))
-    needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(needed, "doc_id", "left_semi")
-    both = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    both = likely.hint("shuffle_hash").join(text("b"), "b").join(text("a").hint("merge"), "a")
     return map_pieces(both, _verified(size, threshold), "a long, b long, similarity double", "text_b")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of the edges a, b, by large and small stars."""
-    now, before = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
+    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = written(small.filter("u <> v").distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = state
+        roots = now.select("v").distinct()
+        # done once all are stars: no node has two centres, and no centre has one
+        if now.unionByName(roots.select(F.col("v").alias("u"), "v")).groupBy("u").count().filter("count > 1").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))
 
 
 def _shingle_rows(size: int):
@@ -165,17 +164,31 @@ def _unsettled(shared: DataFrame, docs: DataFrame, labels: DataFrame, size: int,
     rows = written(rows.join(mixed(rows), "bucket").select("bucket", "doc_id", "component"))
     if rows.isEmpty():
         return None
-    shingles = map_pieces(docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), _shingle_rows(size), "doc_id long, h long, size int")
+    shingles = map_pieces(docs.join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), _shingle_rows(size), "doc_id long, h long, size int")
     often = shingles.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     known = shingles.join(often, "h", "left_semi").groupBy("doc_id").agg(F.count("*").alias("known"), F.max("size").alias("size"))
     rows = written(rows.join(known, "doc_id"))
-    smallest = rows.groupBy("bucket").agg(F.min("size").alias("smallest"))
-    # |x and y| is at most `known`, and y has at least `smallest` shingles
-    bound = F.col("known") / (F.col("size") + F.greatest("smallest", "known") - F.col("known"))
-    alive = rows.join(smallest, "bucket").filter(bound >= threshold).select("bucket", "doc_id", "component")
+    # |x and y| is at most what either knows, so sizes and the most known of a size bound the similarity
+    able = F.least("known", "known_b") / (F.col("size") + F.col("size_b") - F.least("known", "known_b")) >= threshold
+    by_size = rows.groupBy("bucket", F.col("size").alias("size_b")).agg(F.max("known").alias("known_b"))
+    alive = rows.join(by_size, "bucket").filter(able).select(rows.columns).distinct()
     alive = written(alive.join(mixed(alive), "bucket"))
-    other = alive.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
-    return alive.withColumnRenamed("doc_id", "a").join(other, "bucket").filter("component <> component_b and a < b").select("a", "b").distinct()
+    other = alive.select("bucket", *(F.col(c).alias(d) for c, d in (("doc_id", "b"), ("component", "component_b"), ("size", "size_b"), ("known", "known_b"))))
+    return alive.withColumnRenamed("doc_id", "a").join(other, "bucket").filter("component <> component_b and a < b").filter(able).select("a", "b").distinct()
+
+
+def _between(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The edges a, b as edges of the components that labels gives their ends."""
+    for x in ("a", "b"):
+        edges = edges.join(labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")), x, "left").withColumn(f"of_{x}", F.coalesce(f"of_{x}", x))
+    return edges.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+
+
+def _joined(labels: DataFrame, over: DataFrame) -> DataFrame:
+    """labels once components are joined as over says (its nodes are components, or nodes without one)."""
+    over = over.select(F.col("node").alias("component"), F.col("component").alias("of"))
+    moved = labels.join(over, "component", "left").select("node", F.coalesce("of", "component").alias("component"))
+    return moved.unionByName(over.select(F.col("component").alias("node"), F.col("of").alias("component"))).distinct()
 
 
 def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -199,7 +212,7 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESH
     if more is not None:
         extra = written(_verify(more, docs, sketches, size, threshold))
         if not extra.isEmpty():
-            labels = components(edges.unionByName(extra))
+            labels = _joined(labels, components(_between(extra, labels)))
     node = hashed.select("doc_id", "key").join(classes, "key", "left").withColumn("node", F.coalesce("node", "doc_id"))
     # rows of one doc_id are one document, whatever their texts
     return node.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))

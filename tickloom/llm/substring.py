@@ -171,15 +171,17 @@ def _kept(length: int):
         for d in range(piece.num_rows):
             a, b = words.offsets[d], words.offsets[d + 1]
             texts.append(b" ".join(raw[s:e] for s, e, g in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), gone[a:b].tolist(), strict=True) if not g))
-        columns = {"doc_id": piece.column("doc_id"), "n_words": pa.array(words.counts().astype(np.int64)), "n_removed": pa.array(removed.astype(np.int64)), "kept": pa.array(texts, pa.binary()).cast(pa.string())}
+        columns = {"row": piece.column("row"), "n_words": pa.array(words.counts().astype(np.int64)), "n_removed": pa.array(removed.astype(np.int64)), "kept": pa.array(texts, pa.binary()).cast(pa.string())}
         return pa.record_batch(list(columns.values()), list(columns))
 
     return rows
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH, base: int = BASE) -> DataFrame:
-    """doc_id, n_words, n_removed, kept: the words left of each document, joined by one space."""
+def substring_dedup(docs: DataFrame, length: int = LENGTH, base: int = BASE, keep: list[str] | None = None) -> DataFrame:
+    """doc_id (or the columns of `keep`), n_words, n_removed, kept: the words left of each document, joined by one space."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(partitions, "doc_id")
-    starts = written(later_windows(dealt, length, base))
-    return map_pieces(dealt.join(starts, "doc_id", "left"), _kept(length), "doc_id long, n_words long, n_removed long, kept string")
+    row = F.struct(*keep) if keep else F.struct("doc_id")
+    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row.alias("row")).repartition(partitions, "doc_id")
+    starts = written(later_windows(dealt.select("doc_id", "text"), length, base))
+    out = map_pieces(dealt.join(starts, "doc_id", "left"), _kept(length), f"row {dealt.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    return out.select("row.*", "n_words", "n_removed", "kept")
