@@ -5,32 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontamination, language, substring, tokenizer
+from tickloom.llm import decontamination, language, near, substring, tokenizer
 from tickloom.llm.text import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter (or text) are rejected; the others get the predicted language."""
-    found = language.identify(docs, language.learn_profiles(docs)).filter(F.col("lang_pred") != language.UNKNOWN)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS)
+    """Documents without any letter (or text) are rejected; a document without lang gets the predicted one."""
+    found = language.identify(docs, language.learn_profiles(docs), keep=COLUMNS)
+    kept = found.filter(F.col("lang_pred") != language.UNKNOWN)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each near-duplicate class stays; a document without doc_id stays."""
+    gone = near.near_classes(docs).filter("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in passages that stand further up go; what is left is joined by one space."""
-    partial = substring.substring_dedup(docs)
-    return docs.drop("text", "n_chars").join(partial.select("doc_id", F.col("kept").alias("text")), "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """Words in passages that stand further up go; what is left is joined by one space. Untouched texts stay as they are."""
+    kept = substring.substring_dedup(docs, keep=COLUMNS)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return kept.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words inside an occurrence of a benchmark window are cut out; the rest of the document stays."""
+    clean = decontamination.cut_phrases(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every text, and whether they decode to it."""
+    out = tokenizer.encode_decode(docs)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
-STAGES = [("language_id", language_id), ("substring_dedup", substring_dedup)]
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", benchmark_decontamination),
+    ("sentencepiece", sentencepiece),
+]
 
-#: SentencePiece pieces and language profiles are beyond SQL.
+#: Near-duplicate components, SentencePiece pieces and language profiles are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
