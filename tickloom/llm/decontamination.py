@@ -206,6 +206,6 @@ def _cut(piece: pa.RecordBatch) -> pa.RecordBatch:
 def cut_phrases(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
     """The columns of `keep` of every document, its text without the words inside an occurrence."""
     found = written(find_phrases(docs, benchmark, window).filter(F.size("spans") > 0).select("doc_id", "spans").dropDuplicates(["doc_id"]))
-    rows = docs.select("doc_id", "text", F.struct(*keep).alias("row")).join(found.hint("merge"), "doc_id", "left").drop("doc_id")
+    rows = docs.select("doc_id", "text", F.struct(*(c for c in keep if c != "text")).alias("row")).join(found.hint("merge"), "doc_id", "left").drop("doc_id")
     cut = map_pieces(rows, _cut, f"row {rows.schema['row'].dataType.simpleString()}, text string")
     return cut.select(*(F.col("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in keep))

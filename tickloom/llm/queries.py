@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import neighbours
 from .decontamination import find_phrases
 from .language import identify, learn_profiles
 from .near import near_classes
@@ -43,8 +44,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours(rows, rows.filter("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op5_near_duplicates, op7_substring_dedup, op8_language, op9_decontamination)
+    f.__name__: f for f in (op1_sentencepiece, op5_near_duplicates, op7_substring_dedup, op8_language, op9_decontamination, op10_neighbours)
 }
 
 ORACLES: dict[str, str] = {

@@ -151,7 +151,7 @@ def later_windows(dealt: DataFrame, length: int = LENGTH, base: int = BASE) -> D
     return later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
 
 
-def _kept(length: int):
+def _kept(length: int, whole: bool):
     def rows(piece: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(*text_bytes(piece.column("text")), BLANK_SPLIT)
         n, doc_start = len(words), words.offsets[:-1]
@@ -170,6 +170,9 @@ def _kept(length: int):
         raw = words.raw.tobytes()
         for d in range(piece.num_rows):
             a, b = words.offsets[d], words.offsets[d + 1]
+            if whole and not removed[d]:
+                texts.append(raw[words.bounds[d] : words.bounds[d + 1]])
+                continue
             texts.append(b" ".join(raw[s:e] for s, e, g in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), gone[a:b].tolist(), strict=True) if not g))
         columns = {"row": piece.column("row"), "n_words": pa.array(words.counts().astype(np.int64)), "n_removed": pa.array(removed.astype(np.int64)), "kept": pa.array(texts, pa.binary()).cast(pa.string())}
         return pa.record_batch(list(columns.values()), list(columns))
@@ -177,11 +180,14 @@ def _kept(length: int):
     return rows
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH, base: int = BASE, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns of `keep`), n_words, n_removed, kept: the words left of each document, joined by one space."""
+def substring_dedup(docs: DataFrame, length: int = LENGTH, base: int = BASE, keep: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """doc_id (or the columns of `keep`), n_words, n_removed, kept: the words left of each document, joined by one space.
+
+    whole: a document that loses nothing keeps its text as it is.
+    """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     row = F.struct(*keep) if keep else F.struct("doc_id")
     dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row.alias("row")).repartition(partitions, "doc_id")
     starts = written(later_windows(dealt.select("doc_id", "text"), length, base))
-    out = map_pieces(dealt.join(starts, "doc_id", "left"), _kept(length), f"row {dealt.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    out = map_pieces(dealt.join(starts, "doc_id", "left"), _kept(length, whole), f"row {dealt.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string")
     return out.select("row.*", "n_words", "n_removed", "kept")
