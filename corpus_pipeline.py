@@ -26,9 +26,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages that stand further up go; what is left is joined by one space. Untouched texts stay as they are."""
-    kept = substring.substring_dedup(docs, keep=COLUMNS)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return kept.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+    kept = substring.substring_dedup(docs, keep=["doc_id", "lang", "source"], whole=True).withColumnRenamed("kept", "text")
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
