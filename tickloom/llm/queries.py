@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ann import neighbours
 from .decontamination import find_phrases
 from .language import identify, learn_profiles
+from .license import scan
 from .near import near_classes
 from .substring import substring_dedup
 from .text import remainder, table
@@ -25,6 +26,14 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan(table(spark, sf_dir, "documents"))
+    starts = F.expr("transform(filter(spans, x -> x.base), x -> cast(x.first AS bigint))")
+    base = F.size("base_labels") > 0
+    score = F.when(base | (F.col("best") > 0), F.greatest(F.when(base, F.lit(0.9)).otherwise(F.lit(0.0)), F.lit(0.25) + F.col("best") * F.lit(0.25))).otherwise(F.lit(0.0))
+    return out.select("doc_id", "n_words", F.size(starts).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), score.alias("score"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -50,7 +59,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op5_near_duplicates, op7_substring_dedup, op8_language, op9_decontamination, op10_neighbours)
+    f.__name__: f for f in (op1_sentencepiece, op5_near_duplicates, op6_licenses, op7_substring_dedup, op8_language, op9_decontamination, op10_neighbours)
 }
 
 ORACLES: dict[str, str] = {
