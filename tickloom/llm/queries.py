@@ -14,6 +14,7 @@ from .license import scan
 from .near import near_classes
 from .substring import substring_dedup
 from .text import remainder, table
+from . import toxicity
 from .tokenizer import encode_decode
 
 
@@ -22,6 +23,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").alias("n_pieces"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    out = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
@@ -59,7 +67,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op5_near_duplicates, op6_licenses, op7_substring_dedup, op8_language, op9_decontamination, op10_neighbours)
+    f.__name__: f for f in (op1_sentencepiece, op3_toxicity, op5_near_duplicates, op6_licenses, op7_substring_dedup, op8_language, op9_decontamination, op10_neighbours)
 }
 
 ORACLES: dict[str, str] = {
