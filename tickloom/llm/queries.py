@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
 from .ann import neighbours
 from .decontamination import find_phrases
 from .language import identify, learn_profiles
@@ -14,7 +15,6 @@ from .license import scan
 from .near import near_classes
 from .substring import substring_dedup
 from .text import remainder, table
-from . import toxicity
 from .tokenizer import encode_decode
 
 
@@ -23,6 +23,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").alias("n_pieces"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 3, F.lit(False))
+    out = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("keep"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
@@ -67,7 +74,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op3_toxicity, op5_near_duplicates, op6_licenses, op7_substring_dedup, op8_language, op9_decontamination, op10_neighbours)
+    f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_toxicity, op5_near_duplicates, op6_licenses, op7_substring_dedup, op8_language, op9_decontamination, op10_neighbours)
 }
 
 ORACLES: dict[str, str] = {
