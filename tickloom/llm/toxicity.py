@@ -157,7 +157,7 @@ class Lexicon:
 _MARKS = ("“", "”", "„", "«", "»", "‘", "’")
 _QUOTE = np.zeros(256, bool)
 _QUOTE[[0x22, 0x27, 0x60]] = True
-FEATURES = 9
+FEATURES = 8
 
 
 def _nearby(words: Words, at: np.ndarray, doc: np.ndarray, hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -187,7 +187,7 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
     best = np.zeros(n)
     np.maximum.at(best, doc[~quoted & ~fuzzy], weight[~quoted & ~fuzzy])
     abuse = total(~quoted & ~fuzzy)
-    return np.stack([np.log1p(abuse), np.log1p(total(quoted & ~fuzzy)), best, np.log1p(total(~quoted & fuzzy)), np.log1p(total(quoted & fuzzy)), np.log1p(total(addressed)), 100 * abuse / (words.counts() + 20), (abuse > 0).astype(float), np.log1p(words.counts())], 1)
+    return np.stack([np.log1p(abuse), np.log1p(total(quoted & ~fuzzy)), best, np.log1p(total(~quoted & fuzzy)), np.log1p(total(quoted & fuzzy)), np.log1p(total(addressed)), (abuse > 0).astype(float), np.log1p(words.counts())], 1)
 
 
 def _counted_words(piece: pa.RecordBatch) -> pa.RecordBatch:
