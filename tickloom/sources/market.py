@@ -1,0 +1,70 @@
+"""Messages and order-book levels as DataFrames, from the events table or from zipped CSV logs."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import CONFIG, Config
+
+MESSAGE_SCHEMA = "time double, event_type int, order_id long, size double, price double, direction int"
+
+
+def messages(spark: SparkSession, sf_dir: str, c: Config = CONFIG) -> DataFrame:
+    """asset, row_idx, bin_idx, k, event_type, direction, size, price_int of each event."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    k = F.get_json_object("props", "$.k").cast("long")
+    names = F.create_map(*(F.lit(x) for pair in {"signup": 1, "view": 2, "error": 3, "click": 4, "purchase": 5}.items() for x in pair))
+    return e.select(
+        (F.col("user_id") % c.assets).cast("int").alias("asset"),
+        F.col("event_id").alias("row_idx"),
+        F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{c.start}', ts) div {c.bin_us}").alias("bin_idx"),
+        k.alias("k"),
+        F.when(k >= 97, 7).otherwise(names[F.col("event_type")]).alias("event_type"),
+        F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("direction"),
+        k.cast("double").alias("size"),
+        (1000000 + F.round(F.col("value") * 100)).cast("long").alias("price_int"),
+    )
+
+
+def levels(rows: DataFrame, c: Config = CONFIG) -> DataFrame:
+    """The rows (row_idx, k) once for each level h, with the book's prices in ticks and sizes."""
+    x = rows.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(c.levels))))
+    dummy = (F.col("h") >= 8) & (F.col("row_idx") % 11 == 0)
+    mid, half = 1000000 + F.col("k") % 7 * 100, 50 * (1 + F.col("row_idx") % 3)
+    away = 100 * (F.col("h") - 1)
+    return x.select(
+        *rows.columns,
+        "h",
+        F.when(dummy, F.lit(9999999999)).otherwise(mid + half + away).alias("ask_p"),
+        F.when(dummy, F.lit(0)).otherwise(1 + (F.col("row_idx") * 7 + F.col("h") * 13) % 50).cast("long").alias("ask_q"),
+        F.when(dummy, F.lit(-9999999999)).otherwise(mid - half - away).alias("bid_p"),
+        F.when(dummy, F.lit(0)).otherwise(1 + (F.col("row_idx") * 11 + F.col("h") * 17) % 50).cast("long").alias("bid_q"),
+    )
+
+
+def zip_messages(spark: SparkSession, path: str, member: str = "message") -> DataFrame:
+    """Rows of the headerless CSV members, in every zip under the path, whose name contains `member`: file, row_idx and the message columns.
+
+    One task a zip; a member is read in chunks.
+    """
+
+    def rows(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for found in sorted(n for n in z.namelist() if member in n.lower() and n.endswith(".csv")):
+                        at = 0
+                        with z.open(found) as f:
+                            for chunk in pd.read_csv(f, header=None, names=["time", "event_type", "order_id", "size", "price", "direction"], usecols=range(6), chunksize=100_000):
+                                chunk.insert(0, "row_idx", range(at, at + len(chunk)))
+                                chunk.insert(0, "file", name)
+                                at += len(chunk)
+                                yield chunk
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    return files.mapInPandas(rows, f"file string, row_idx long, {MESSAGE_SCHEMA}")
