@@ -55,7 +55,7 @@ def packed(rows: DataFrame, *columns: str) -> DataFrame:
     n = CONFIG.assets
     x = rows.groupBy("bin_idx").agg(F.array_sort(F.collect_list(F.struct("asset", *columns))).alias("r"))
     for name in columns:
-        x = x.withColumn(name, F.transform("r", lambda e, name=name: e[name]))
+        x = x.withColumn(name, F.expr(f"transform(r, e -> e.{name})"))
     return x.drop("r").filter(F.size(columns[0]) == n).filter(" and ".join(f"forall({name}, v -> v is not null)" for name in columns))
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CLASSES, CONFIG, Config
-from .bins import carry_forward, clean, grid  # noqa: F401
-from .book import binned_book, mid_spread, obi, ofi
+from .bins import clean
+from .book import mid_spread, obi, ofi
 
 
 def flow(msg: DataFrame, mids: DataFrame, c: Config = CONFIG) -> DataFrame:
@@ -24,9 +24,8 @@ def flow(msg: DataFrame, mids: DataFrame, c: Config = CONFIG) -> DataFrame:
     return rows.select("asset", "bin_idx", *(f"size_{k}" for k in CLASSES), *(F.col(f"q_{k}") for k in CLASSES), *delta, "traded", (F.col("n") > 0).cast("int").alias("mask"))
 
 
-def features(msg: DataFrame, c: Config = CONFIG) -> DataFrame:
+def features(msg: DataFrame, book: DataFrame, c: Config = CONFIG) -> DataFrame:
     """asset, bin_idx, f (0 to 50), x."""
-    book = binned_book(msg, c)
     mids = mid_spread(book, c)
     by_level = ofi(book).join(obi(book, c), ["asset", "bin_idx", "h"])
     stacked = by_level.selectExpr("asset", "bin_idx", "h", "stack(4, 0, ofi_share, 10, ofi_dollar, 20, obi_share, 30, obi_dollar) AS (base, x)")
