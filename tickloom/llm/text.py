@@ -143,12 +143,12 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
         at = to
 
 
-def map_pieces(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
+def map_pieces(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", most: int = PIECE_BYTES) -> DataFrame:
     """mapInArrow with a function of pieces of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, column):
+            for piece in pieces(batch, column, most):
                 out = function(piece)
                 if out is not None and out.num_rows:
                     yield out
