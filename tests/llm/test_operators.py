@@ -195,7 +195,7 @@ def test_toxicity_separates_quotation(spark):
 
 
 def test_held_out_quality_and_language(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     q = quality.score(docs, quality.learn(docs, labels, ~held)).join(labels, "doc_id").filter(held)
