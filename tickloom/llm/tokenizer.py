@@ -13,7 +13,7 @@ the encoding:
   merged directly.
 
 No piece spans a place where a non-space meets U+2581, nor a character that is in no longer piece, so texts
-are cut there and each distinct segment is encoded once a task (a cache of bounded size).
+are cut there and each distinct segment is encoded once a worker (a cache of bounded size).
 
 Cases: null and empty texts have no pieces and decode to an empty text. A U+2581 in a text decodes as a space.
 """
@@ -55,12 +55,19 @@ class Transducer:
         self.scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.longest = max(map(len, self.ids), default=1)
+        #: Characters of the longest piece that begins with these three (2 where none does).
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                self.reach[p[:3]] = max(self.reach.get(p[:3], 0), len(p))
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("a piece goes on after a word's end")
         self.spelt = [p.piece.replace(SPACE, " ").encode() if p.type == NORMAL else bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else b"" for p in model.pieces]
         lone = "" if any("\n" in p for p in self.ids) else "\n"
         self.cut = re.compile(f"{SPACE}+[^{SPACE}{lone}]*|[^{SPACE}{lone}]+" + ("|\n" if lone else ""))
         self.pairs: dict[tuple[str, str], bool] = {}
+        #: Segments and their ids; a worker keeps the machine, and so these, from task to task.
+        self.encoded: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces by merging: the best-scored neighbours first, the leftmost of equals."""
@@ -87,28 +94,37 @@ class Transducer:
         return [p for p in parts if p is not None]
 
     def agree(self, left: str, right: str) -> bool:
-        """Whether the acceptor's weight of two neighbours is 0."""
+        """Whether the acceptor's weight of two neighbours is 0; left is empty at a segment's beginning."""
         if (known := self.pairs.get((left, right))) is None:
             if len(self.pairs) > CACHE:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
+            known = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
     def _bpe_path(self, text: str) -> list[str]:
-        ids, n, last = self.ids, len(text), [""]
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                piece = text[j:i]
-                if (piece in ids or j == i - 1) and (self.agree(last[j], piece) if j else self.merged(piece) == [piece]):
-                    last.append(piece)
-                    break
+        """The path of weight 0, longest arcs first; places that lead nowhere are left for good."""
+        ids, pairs, reach, n = self.ids, self.pairs, self.reach, len(text)
+        out, left, at, dead = [], "", 0, set()
+        end = min(n, reach.get(text[:3], 2))
+        while at < n:
+            for to in range(end, at, -1):
+                piece = text[at:to]
+                if (piece in ids or to == at + 1) and to not in dead:
+                    if (known := pairs.get((left, piece))) is None:
+                        known = self.agree(left, piece)
+                    if known:
+                        out.append(piece)
+                        left, at = piece, to
+                        end = min(n, at + reach.get(text[at : at + 3], 2))
+                        break
             else:
-                return self.merged(text)
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i -= len(last[i])
-        return out[::-1]
+                if not out:
+                    return self.merged(text)
+                dead.add(at)
+                end = at - 1
+                at -= len(out.pop())
+                left = out[-1] if out else ""
+        return out
 
     def _unigram_path(self, text: str) -> list[str]:
         worst = min(self.scores.values(), default=0.0) - 10
@@ -145,10 +161,9 @@ class Transducer:
 
 
 def _encoder(shared):
-    cache: dict[str, bytes] = {}
-
     def rows(piece: pa.RecordBatch) -> pa.RecordBatch:
         machine, out = shared.value, []
+        cache = machine.encoded
         for text in piece.column("text").to_pylist():
             segments = machine.cut.findall(machine.normalised(text))
             try:
@@ -173,7 +188,7 @@ def _decoder(shared):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = part.column("ids")
-                values = ids.flatten().tolist() if False else ids.flatten().to_numpy(zero_copy_only=False)
+                values = ids.flatten().to_numpy(zero_copy_only=False)
                 sizes = [len(x) if x.is_valid else 0 for x in ids]
                 texts, to = [], 0
                 for n in sizes:
