@@ -132,6 +132,18 @@ def test_decontamination_by_brute_force_and_cut(spark):
     assert cut[1] == "t0 t1 t2" and cut[0] == "intro,  outro"
 
 
+@pytest.mark.parametrize("most", [2, decontamination.PHRASES])
+def test_decontamination_keeps_every_row(spark, most):
+    items = [" ".join(f"{x}{i}" for i in range(12)) for x in "tu"]
+    rows = [(None, f"a {items[0]} b"), (None, f"c d {items[1]}"), (None, None), (7, f"{items[0]} {items[1]} e"), (7, "f"), (7, f"g g {items[0]}"), (8, f"h {items[1]}"), (8, f"h {items[1]}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = [(r["doc_id"], r["n_words"], [tuple(s) for s in r["spans"]], list(r["items"])) for r in decontamination.find_phrases(docs, bench, most=most).collect()]
+    assert sorted(found, key=str) == sorted([(None, 14, [(1, 12)], [0]), (None, 14, [(2, 13)], [1]), (None, 0, [], []), (7, 25, [(0, 23)], [0, 1]), (7, 1, [], []), (7, 14, [(2, 13)], [0]), (8, 13, [(1, 12)], [1]), (8, 13, [(1, 12)], [1])], key=str)
+    cut = [tuple(r) for r in decontamination.cut_phrases(docs, bench, ["doc_id", "text"], most=most).collect()]
+    assert sorted(cut, key=str) == sorted([(None, "a  b"), (None, "c d "), (None, None), (7, " e"), (7, "f"), (7, "g g "), (8, "h "), (8, "h ")], key=str)
+
+
 def test_license_rules_by_brute_force(spark):
     texts = ["Licensed under CC BY-NC 4.0.", "GNU General Public License, version 3", "all RIGHTS\nreserved; CC-BY cc by", "the MIT License and SPDX-License-Identifier: Apache-2.0", "nothing here", None]
     got = {r["doc_id"]: r for r in license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}

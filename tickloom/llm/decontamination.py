@@ -6,10 +6,12 @@ word spans. A word that no phrase has cannot be in an occurrence, so such words
 and runs shorter than the shortest phrase are left out of the index; this loses no occurrence.
 
 The phrases are read in blocks of at most PHRASES, each broadcast on its own; one pass over the corpus per
-block, and the spans of several blocks are merged by document. Words are compared by 64-bit fingerprints.
+block. With one block each row goes through the search itself; with several the rows are written once with a number
+of their own, and the blocks' spans are merged by that. Words are compared by 64-bit fingerprints.
 
 Cases: null or wordless texts (document or item) have no words and no phrase; items without item_id are no
-test items; repeated rows of the benchmark count once, repeated documents each have their own row.
+test items; repeated rows of the benchmark count once, repeated documents each have their own row, and so have
+documents without doc_id and those that share a doc_id but not their text.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .fmindex import FMIndex
 from .text import ALNUM_SPLIT, Words, list_array, map_pieces, pieces, signed, text_bytes, written
@@ -30,7 +33,8 @@ PHRASES = 500_000
 #: Indexed words in a shard, and words read for it, at most (or one piece of text).
 SHARD, SHARD_WORDS = 1 << 20, 8 << 20
 
-SCHEMA = "doc_id long, n_words long, spans array<struct<first:int,last:int>>, items array<long>"
+SPAN = StructType([StructField("first", IntegerType()), StructField("last", IntegerType())])
+FOUND = StructType([StructField("n_words", LongType()), StructField("spans", ArrayType(SPAN)), StructField("items", ArrayType(LongType()))])
 
 
 def _phrase_rows(window: int):
@@ -80,8 +84,8 @@ class PhraseBook:
 
 
 class _Shard:
-    def __init__(self, book: PhraseBook):
-        self.book, self.ids, self.counts = book, [], []
+    def __init__(self, book: PhraseBook, carried: list[str]):
+        self.book, self.carried, self.rows, self.counts = book, carried, [], []
         self.text, self.doc, self.word = [], [], []
         self.docs = self.indexed = self.words = 0
 
@@ -106,7 +110,7 @@ class _Shard:
             x = np.zeros(size, np.int64)
             x[place] = values
             kept.append(x)
-        self.ids.append(piece.column("doc_id"))
+        self.rows.append(piece.select(self.carried))
         self.counts.append(words.counts())
         self.docs += piece.num_rows
         self.indexed += size
@@ -135,26 +139,29 @@ class _Shard:
         spans = pa.StructArray.from_arrays([pa.array(word[first].astype(np.int32)), pa.array(word[last].astype(np.int32))], ["first", "last"])
         items = np.unique(np.concatenate(pairs), axis=0)
         every = np.arange(self.docs + 1)
-        ids = pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in self.ids])
+        rows = [pa.concat_arrays([x.column(c) for x in self.rows]) for c in self.carried]
         return pa.record_batch(
-            [ids, pa.array(np.concatenate(self.counts).astype(np.int64)), list_array(spans, np.searchsorted(doc[first], every)), list_array(items[:, 1], np.searchsorted(items[:, 0], every))],
-            ["doc_id", "n_words", "spans", "items"],
+            [*rows, pa.array(np.concatenate(self.counts).astype(np.int64)), list_array(spans, np.searchsorted(doc[first], every)), list_array(items[:, 1], np.searchsorted(items[:, 0], every))],
+            [*self.carried, *FOUND.names],
         )
 
 
-def _search(docs: DataFrame, book) -> DataFrame:
+def _search(docs: DataFrame, book, carried: list[str]) -> DataFrame:
+    """The carried columns, n_words, spans and items of every row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard(book.value)
+        shard = _Shard(book.value, carried)
         for batch in batches:
             for piece in pieces(batch):
                 shard.add(piece)
                 if shard.indexed >= SHARD or shard.words >= SHARD_WORDS:
                     yield shard.found()
-                    shard = _Shard(book.value)
+                    shard = _Shard(book.value, carried)
         if shard.docs:
             yield shard.found()
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
+    rows = docs.select(*carried, *(["text"] if "text" not in carried else []))
+    return rows.mapInArrow(run, StructType([*(StructField(c, rows.schema[c].dataType) for c in carried), *FOUND]))
 
 
 def _merged(spans):
@@ -169,22 +176,26 @@ def _merged(spans):
     )
 
 
-def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = PHRASES) -> DataFrame:
-    """doc_id, n_words, spans (first and last word of each hit stretch, from 0), items found, for every document."""
+def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = PHRASES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of keep, n_words, spans (first and last word of each hit stretch, from 0), items found, of every row."""
     phrases = map_pieces(benchmark.filter("item_id is not null").select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), _phrase_rows(window), "item_id long, phrase array<long>")
-    blocks = max(1, -(-phrases.count() // (most // 2 or 1)))
+    blocks, keep = max(1, -(-phrases.count() // (most // 2 or 1))), list(keep)
+    rows, carried = docs, keep
+    if blocks > 1:
+        columns = [*keep, *(["text"] if "text" not in keep else [])]
+        rows, carried = written(docs.select(*columns, F.monotonically_increasing_id().alias("_row"))), ["_row"]
     context, found = docs.sparkSession.sparkContext, []
     for block in range(blocks):
-        rows = phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == block).toArrow()
-        book = PhraseBook(rows.column("item_id").to_pylist(), rows.column("phrase").to_pylist())
-        found.append(_search(docs, context.broadcast(book)))
+        part = phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == block).toArrow()
+        book = PhraseBook(part.column("item_id").to_pylist(), part.column("phrase").to_pylist())
+        found.append(_search(rows, context.broadcast(book), carried))
     if blocks == 1:
         return found[0]
     every = found[0]
     for x in found[1:]:
-        every = every.unionByName(x)
-    every = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return every.withColumn("spans", _merged(F.col("spans")))
+        every = every.unionByName(x.filter(F.size("spans") > 0))
+    every = every.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.select("_row", *keep).join(every.withColumn("spans", _merged(F.col("spans"))), "_row").select(*keep, *FOUND.names)
 
 
 def _cut(piece: pa.RecordBatch) -> pa.RecordBatch:
@@ -203,9 +214,9 @@ def _cut(piece: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([piece.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
 
-def cut_phrases(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
-    """The columns of `keep` of every document, its text without the words inside an occurrence."""
-    found = written(find_phrases(docs, benchmark, window).filter(F.size("spans") > 0).select("doc_id", "spans").dropDuplicates(["doc_id"]))
-    rows = docs.select("doc_id", "text", F.struct(*(c for c in keep if c != "text")).alias("row")).join(found.hint("merge"), "doc_id", "left").drop("doc_id")
-    cut = map_pieces(rows, _cut, f"row {rows.schema['row'].dataType.simpleString()}, text string")
+def cut_phrases(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, most: int = PHRASES) -> DataFrame:
+    """The columns of `keep` of every row, its text without the words inside an occurrence."""
+    rows = docs.select("text", F.struct(*(c for c in keep if c != "text")).alias("row"))
+    found = find_phrases(rows, benchmark, window, most, ("row", "text")).select("row", "text", "spans")
+    cut = map_pieces(found, _cut, f"row {rows.schema['row'].dataType.simpleString()}, text string")
     return cut.select(*(F.col("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in keep))
