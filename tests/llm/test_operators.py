@@ -159,6 +159,42 @@ def test_license_rules_by_brute_force(spark):
         assert got[i]["n_words"] == len(w)
 
 
+def _variants(parsed):
+    """What a pattern of the rules can match, each class of characters by its first."""
+    kinds, out = re._constants, [""]
+    for op, x in parsed:
+        if op is kinds.LITERAL:
+            ways = [chr(x)]
+        elif op is kinds.IN:
+            ways = [chr(x[0][1] if x[0][0] is kinds.LITERAL else x[0][1][0])]
+        elif op is kinds.SUBPATTERN:
+            ways = _variants(x[3])
+        elif op is kinds.BRANCH:
+            ways = [w for branch in x[1] for w in _variants(branch)]
+        else:
+            assert op is kinds.MAX_REPEAT
+            ways = [w * n for n in {x[0], x[1]} for w in _variants(x[2])]
+        out = [a + b for a in out for b in ways]
+    return out
+
+
+def test_license_rules_run_on_all_they_match(spark):
+    seen = {}
+    for r in license.rules():
+        if not r["pattern"].startswith(tuple(lead for lead, _ in license.LEADS if lead)):
+            for v in _variants(re._parser.parse(r["pattern"])):
+                seen.setdefault(v, set()).add((r["label"], r["priority"], r["base"]))
+    texts = sorted(seen)
+    got = license.scan(spark.createDataFrame([(i, t.upper()) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    for r in got:
+        text = texts[r["doc_id"]]
+        last = text.count(" ")
+        whole = {(s["label"], s["priority"], s["base"]) for s in r["spans"] if (s["first"], s["last"]) == (0, last)}
+        assert seen[text] <= whole, text
+    for text, label in (("uses GPLv2 here", "gpl-2.0"), ("GPL3", "gpl-3.0"), ("0BSD", "0bsd"), ("zero-clause BSD", "0bsd"), ("under MIT No Attribution", "mit-0"), ("Expat licence", "mit")):
+        assert license.scan(spark.createDataFrame([(0, text)], "doc_id long, text string")).first()["labels"] == [label], text
+
+
 def test_unigram_base_by_brute_force(spark):
     texts = ["the cat the Cat", "a dog\n the end", "", None, "the cat the Cat", " lead  gap  "]
     docs = spark.createDataFrame([*enumerate(texts), (4, "the cat the Cat")], "doc_id long, text string")

@@ -1,7 +1,7 @@
 """License scan by ordered signature rules, in DataFrame and SQL functions only.
 
 A text becomes its words (A-Z lower-cased) joined by single spaces. One prefilter regex tells whether any rule could
-match at all; for texts that pass, each rule runs only if its keyword is in the text. Matches are word intervals.
+match at all; for texts that pass, each rule runs only if one of its keywords is a word of the text. Matches are word intervals.
 Sorted by start, a match inside another of the same or a higher priority is suppressed; what is left names the labels.
 The base phrases count in any case, and their labels always stay.
 
@@ -22,26 +22,26 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrase and label.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
-#: label, keyword (in every match), the licence's name as a regex over words, its identifier as words.
+#: label, keywords (one of them is a word of every match), the licence's name as a regex over words, its identifier as words.
 NAMES = [
     ("apache-2.0", "apache", r"apache (software )?licen[cs]e(,? version)?( v)? ?2( 0)?", "apache 2 0"),
     ("apache-1.1", "apache", r"apache (software )?licen[cs]e( version)? 1 1", "apache 1 1"),
     ("apache", "apache", r"apache (software )?licen[cs]e", "apache"),
-    ("mit", "mit", r"(mit|expat) licen[cs]e", "mit"),
+    ("mit", "mit expat", r"(mit|expat) licen[cs]e", "mit"),
     ("mit-0", "mit", r"mit no attribution( licen[cs]e)?", "mit 0"),
     ("x11", "x11", r"x11 licen[cs]e", "x11"),
     ("isc", "isc", r"isc licen[cs]e", "isc"),
-    ("bsd", "bsd", r"(berkeley software distribution|bsd) licen[cs]e", "bsd"),
+    ("bsd", "bsd berkeley", r"(berkeley software distribution|bsd) licen[cs]e", "bsd"),
     ("bsd-2-clause", "bsd", r"((simplified|freebsd) bsd|(2|two) clause bsd|bsd (2|two) clause) licen[cs]e", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"((new|modified|revised) bsd|(3|three) clause bsd|bsd (3|three) clause) licen[cs]e", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(original bsd|(4|four) clause bsd|bsd (4|four) clause) licen[cs]e", "bsd 4 clause"),
-    ("0bsd", "bsd", r"(zero clause|0) ?bsd( licen[cs]e)?", "0bsd"),
+    ("0bsd", "bsd 0bsd clausebsd", r"(zero clause|0) ?bsd( licen[cs]e)?", "0bsd"),
     ("gpl-1.0", "general", r"(gnu )?general public licen[cs]e( gpl)?( as published by the free software foundation)?( either)?( version| v) ?1( 0)?", "gpl 1 0"),
     ("gpl-2.0", "general", r"(gnu )?general public licen[cs]e( gpl)?( as published by the free software foundation)?( either)?( version| v) ?2( 0)?", "gpl 2 0"),
     ("gpl-3.0", "general", r"(gnu )?general public licen[cs]e( gpl)?( as published by the free software foundation)?( either)?( version| v) ?3( 0)?", "gpl 3 0"),
-    ("gpl-2.0-short", "gpl", r"(gnu )?gpl ?v?2( 0)?", "gpl 2 0 only"),
-    ("gpl-3.0-short", "gpl", r"(gnu )?gpl ?v?3( 0)?", "gpl 3 0 only"),
-    ("lgpl", "lesser", r"(gnu )?(lesser|library) general public licen[cs]e", "lgpl"),
+    ("gpl-2.0-short", "gpl gplv2 gpl2", r"(gnu )?gpl ?v?2( 0)?", "gpl 2 0 only"),
+    ("gpl-3.0-short", "gpl gplv3 gpl3", r"(gnu )?gpl ?v?3( 0)?", "gpl 3 0 only"),
+    ("lgpl", "lesser library", r"(gnu )?(lesser|library) general public licen[cs]e", "lgpl"),
     ("lgpl-2.1", "lesser", r"(gnu )?lesser general public licen[cs]e( lgpl)?( version| v) ?2 1", "lgpl 2 1"),
     ("lgpl-3.0", "lesser", r"(gnu )?lesser general public licen[cs]e( lgpl)?( version| v) ?3( 0)?", "lgpl 3 0"),
     ("agpl", "affero", r"(gnu )?affero general public licen[cs]e", "agpl"),
@@ -85,7 +85,7 @@ NAMES = [
 #: Versions and parts of Creative Commons licences; the rules below are built from them.
 CC_PARTS = {"by": "attribution", "by sa": "attribution share ?alike", "by nd": "attribution no ?deriv(ative)?s?", "by nc": "attribution non ?commercial", "by nc sa": "attribution non ?commercial share ?alike", "by nc nd": "attribution non ?commercial no ?deriv(ative)?s?"}
 CC_VERSIONS = ("4 0", "3 0", "2 5", "2 0", "1 0", "")
-#: label, keyword, regex, priority: notices that name no licence.
+#: label, keywords, regex, priority: notices that name no licence.
 NOTICES = [
     ("copyright", "copyright", r"copyright( c)? (19|20)[0-9]{2}", 1),
     ("reserved", "rights", r"(all|some|no) rights reserved", 1),
@@ -105,24 +105,24 @@ LEADS = [(r"", 2), (r"licensed under (the )?(terms of (the )?)?", 3), (r"(releas
 
 
 def rules() -> list[dict]:
-    """Every rule in order: label, keyword, pattern, priority (3 is highest), base."""
+    """Every rule in order: label, keywords, pattern, priority (3 is highest), base."""
     names = list(NAMES)
     for part, long in CC_PARTS.items():
         for version in CC_VERSIONS:
             end, label = (f" {version}" if version else ""), "-".join(["cc", part.replace(" ", "-"), *([version.replace(" ", ".")] if version else [])])
             names.append((label, "cc", f"cc {part}{end}", f"cc {part}{end}"))
             names.append((label, "commons", f"creative commons {long}{f'( international)?{end}' if version else ''}", ""))
-    out = [{"label": label, "keyword": phrase.split()[0], "pattern": phrase, "priority": 0, "base": True} for phrase, label in BASE]
-    out += [{"label": label, "keyword": keyword, "pattern": pattern, "priority": priority, "base": False} for label, keyword, pattern, priority in NOTICES]
+    out = [{"label": label, "keywords": phrase.split()[:1], "pattern": phrase, "priority": 0, "base": True} for phrase, label in BASE]
+    out += [{"label": label, "keywords": keyword.split(), "pattern": pattern, "priority": priority, "base": False} for label, keyword, pattern, priority in NOTICES]
     for label, keyword, name, identifier in names:
-        out += [{"label": label.removesuffix("-short"), "keyword": keyword, "pattern": lead + name, "priority": priority, "base": False} for lead, priority in LEADS]
+        out += [{"label": label.removesuffix("-short"), "keywords": keyword.split(), "pattern": lead + name, "priority": priority, "base": False} for lead, priority in LEADS]
         if identifier:
-            out.append({"label": label.removesuffix("-short"), "keyword": "identifier", "pattern": f"spdx license identifier {identifier}", "priority": 3, "base": False})
+            out.append({"label": label.removesuffix("-short"), "keywords": ["identifier"], "pattern": f"spdx license identifier {identifier}", "priority": 3, "base": False})
     return out
 
 
 #: No rule matches a text in which this finds nothing.
-PREFILTER = rf"(?i)licen|reserved|copyright|spdx|cc0|gpl|commons|warrant|public{GAP}domain|permission|redistribution|proprietary|cc{GAP}by|attribution{GAP}"
+PREFILTER = rf"(?i)licen|reserved|copyright|spdx|cc0|gpl|commons|warrant|public{GAP}domain|permission|redistribution|proprietary|cc{GAP}by|attribution|bsd"
 
 
 def _spaces(x: str) -> str:
@@ -130,7 +130,7 @@ def _spaces(x: str) -> str:
 
 
 #: The matches of rule r in norm as word intervals; \\u0001 and \\u0002 can't be in words.
-_SPANS = rf"""flatten(transform(filter(rules, r -> contains(norm, concat(' ', r.keyword, ' '))), r -> aggregate(
+_SPANS = rf"""flatten(transform(filter(rules, r -> exists(r.keywords, k -> contains(norm, concat(' ', k, ' ')))), r -> aggregate(
   split(regexp_replace(norm, concat('(?<= )', r.pattern, '(?= )'), '\u0001$0\u0002'), '\u0001'),
   named_struct('at', 0, 'spans', cast(array() AS array<struct<first:int,last:int,priority:int,label:string,base:boolean>>)),
   (s, x) -> named_struct('at', s.at + {_spaces("x")}, 'spans', IF(contains(x, '\u0002'), concat(s.spans, array(named_struct(
@@ -153,7 +153,7 @@ def scan(docs: DataFrame) -> DataFrame:
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.regexp_extract_all(lower, F.lit(f"({WORD})"), F.lit(1))
     norm = F.when(text.rlike(PREFILTER), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
-    schema = "array<struct<label:string,keyword:string,pattern:string,priority:int,base:boolean>>"
+    schema = "array<struct<label:string,keywords:array<string>,pattern:string,priority:int,base:boolean>>"
     rows = docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), norm.alias("norm"), F.from_json(F.lit(json.dumps(rules())), schema).alias("rules"))
     found = rows.select("doc_id", "n_words", F.coalesce(F.when(F.col("norm").isNotNull(), F.expr(_SPANS)), F.expr("cast(array() AS array<struct<first:int,last:int,priority:int,label:string,base:boolean>>)")).alias("spans"))
     base = F.array_sort(F.array_distinct(F.expr("transform(filter(spans, x -> x.base), x -> x.label)")))
