@@ -94,6 +94,20 @@ def test_near_classes_against_brute_force(spark):
     assert got == {i: root(i) for i in range(len(texts))}
 
 
+def test_near_classes_of_repeated_passages(spark):
+    rng, rows, wanted = np.random.default_rng(6), [], {}
+    for i in range(40):
+        n, length, repeats = ((300, 80, 20), (300, 80, 50), (300, 80, 200), (40, 20, 200))[i % 4]
+        words = [f"d{i}w{k}" for k in rng.permutation(n)]
+        part = words[n - length :]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + part * (repeats - 1)))]
+        sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows[-2:])]
+        wanted |= {2 * i: 2 * i, 2 * i + 1: 2 * i + (len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1]))}
+    assert [wanted[2 * i + 1] for i in range(40)] == [2 * i for i in range(40)]
+    got = {r["doc_id"]: r["class_id"] for r in near.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == wanted
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     e = rng.integers(1, 1 << 40, 60).astype(np.uint64)

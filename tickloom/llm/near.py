@@ -4,11 +4,13 @@
 2. ProbMinHash: each distinct shingle (5 words) of a document sends points of a Poisson process whose rate is its
    weight, each into a random register; a register keeps the earliest arrival. A shingle stops once its next point
    comes after the latest register, so most end after a point or two. Two documents agree in a register with the
-   probability Jaccard of their weights. The weight is 1 + ln(occurrences), so for texts that don't repeat themselves
-   it is the ordinary Jaccard similarity.
-3. Banding: 24 bands of 4 registers. A pair at 0.8 shares no band once in 300,000 times.
+   probability Jaccard of their weights. The weight is 1 + ln(occurrences). Classes are decided by the shingle sets,
+   so a document that repeats a shingle has a second signature with equal weights, whose share of equal registers is
+   the set Jaccard; for the others both are the same.
+3. Banding: 24 bands of 4 registers of either signature. A pair at a set Jaccard of 0.8 shares no band of equal weights
+   once in 300,000 times.
 4. In a bucket each member is held against three leaders (smallest doc_id, smallest hash, the member with most
-   company), never all pairs. Pairs far below the threshold by their signatures go; the others are verified on
+   company), never all pairs. Pairs far below the threshold by their signatures of equal weights go; the others are verified on
    their shingle sets.
 5. What leaders can't settle: members of a bucket that ended in different components and were not compared. Their
    shingles are counted; the number that occurs elsewhere bounds what two documents share, and only pairs within
@@ -31,7 +33,7 @@ from .text import ALNUM_SPLIT, Words, list_array, map_pieces, mix, range_hashes,
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Pairs whose share of equal registers is lower than the threshold by this (5 standard errors) aren't verified.
+#: Pairs whose share of equal registers (of equal weights) is lower than the threshold by this (5 standard errors) aren't verified.
 MARGIN = 0.2
 _U = np.uint64
 _HASH_BITS = 44
@@ -82,16 +84,21 @@ def _hashed_rows(bands: int, rows: int, size: int):
             raw = words.raw[words.bounds[d] : words.bounds[d + 1]].astype(np.uint64)
             key[d] = range_hashes(raw + _U(3), np.array([0]), np.array([len(raw)]))[0] ^ _U(0xABCDEF)
         both, count = _distinct(*_shingles(words, size))
-        doc = (both >> _U(_HASH_BITS)).astype(np.int64)
-        who = prob_minhash(doc, both & _U((1 << _HASH_BITS) - 1), 1 + np.log(count), n, bands * rows)
-        band = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93), (n, bands)).copy()
+        doc, element = (both >> _U(_HASH_BITS)).astype(np.int64), both & _U((1 << _HASH_BITS) - 1)
+        who = prob_minhash(doc, element, 1 + np.log(count), n, bands * rows)
+        some, repeating = np.unique(doc), np.unique(doc[count > 1])
+        of = np.isin(doc, repeating)
+        equal = who.copy()
+        equal[repeating] = prob_minhash(np.searchsorted(repeating, doc[of]), element[of], np.ones(of.sum()), len(repeating), bands * rows)
+        sketch = [s.tobytes() for s in (equal & _U(0xFFFF)).astype(np.uint16)]
+        owner = np.concatenate([some, repeating])
+        order = np.argsort(owner, kind="stable")
+        signature = np.concatenate([who[some], equal[repeating]])[order].reshape(len(owner), bands, rows)
+        flat = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93), (len(owner), bands)).copy()
         for i in range(rows):
-            band = mix(band + who.reshape(n, bands, rows)[:, :, i] * _U(0x9E3779B97F4A7C15))
-        some = np.isin(np.arange(n), doc)
-        sketch = [s.tobytes() for s in (who & _U(0xFFFF)).astype(np.uint16)]
-        flat = band[some]
+            flat = mix(flat + signature[:, :, i] * _U(0x9E3779B97F4A7C15))
         return pa.record_batch(
-            [piece.column("doc_id"), pa.array(signed(key), mask=~present), list_array(signed(flat.ravel()), np.concatenate([[0], np.cumsum(some * bands)])), pa.array(sketch, pa.binary())],
+            [piece.column("doc_id"), pa.array(signed(key), mask=~present), list_array(signed(flat.ravel()), np.searchsorted(owner[order], np.arange(n + 1)) * bands), pa.array(sketch, pa.binary())],
             ["doc_id", "key", "bands", "sketch"],
         )
 
