@@ -247,6 +247,22 @@ def test_automaton_finds_one_edit_only():
         assert toxicity.edits_within_one(word, trie) == []
 
 
+def test_lexicon_hits_every_misspelling():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = np.random.default_rng(3)
+    terms = ["idiot", "stupid", "moron", "trash", "scheißkerl", "imbécil"] + ["".join(rng.choice(list(letters), 9)) for _ in range(200)]
+    lexicon = toxicity.Lexicon([(t, 500.0 - i) for i, t in enumerate(terms)])
+    for term in [*terms[:6], *terms[-3:]]:
+        cuts = [(term[:i], term[i:]) for i in range(len(term) + 1)]
+        near = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1} | {a + c + b[1:] for a, b in cuts if b for c in "aqzé"} | {a + c + b for a, b in cuts for c in "aqzé"}
+        near = sorted(near - set(terms))
+        raw = " ".join([*near, "harmless"]).encode()
+        words = toxicity.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), toxicity.ALNUM_SPLIT)
+        at, weight, fuzzy = lexicon.hits(words)
+        assert at.tolist() == list(range(len(near))) and fuzzy.all(), term
+        assert set(weight) == {500.0 - terms.index(term)}
+
+
 def test_toxicity_separates_quotation(spark):
     rng = np.random.default_rng(0)
     filler = lambda: " ".join(rng.choice([f"n{i}" for i in range(200)], 30))

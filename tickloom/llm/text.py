@@ -97,6 +97,22 @@ class Words:
     def hashes(self) -> np.ndarray:
         return _ranges(_BYTE[self.raw], _P, self.starts, self.ends)
 
+    def hashes_less_a_letter(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words numbered at, each once without each of its letters: place in at, and the hash of what is left."""
+        s, e = self.starts[at], self.ends[at]
+        sizes = e - s
+        flat = np.repeat(s - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        lead = (self.raw[flat] & 0xC0) != 0x80
+        owner, a = np.repeat(np.arange(len(at)), sizes)[lead], flat[lead]
+        b = np.concatenate([a[1:], e[-1:]])
+        last = np.flatnonzero(np.concatenate([owner[1:] != owner[:-1], [True]])) if len(owner) else owner
+        b[last] = e[owner[last]]
+        s, e = s[owner], e[owner]
+        total = np.zeros(len(self.raw) + 1, np.uint64)
+        np.cumsum(_BYTE[self.raw] * _power(_P, len(self.raw)), out=total[1:])
+        back = _power(_inverse(_P), len(self.raw) + 1)
+        return owner, mix((total[a] - total[s]) * back[s] + (total[e] - total[b]) * back[s + b - a] + (e - s - b + a).astype(np.uint64))
+
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts())
 

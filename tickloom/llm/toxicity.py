@@ -2,13 +2,14 @@
 
 1. Words much commoner in toxic than in other labelled documents become the lexicon; a word's weight is its smoothed
    log odds. All words of the labelled sample are counted.
-2. A word that is no term itself is matched against the trie of the strongest terms by a Levenshtein automaton (one
-   edit, a swap of neighbours included). Words of which neither half agrees with a term's half can't be within one
-   edit and aren't tried.
+2. A word that is no term itself is matched against the trie of all terms of SHORTEST_FUZZY letters or more by a
+   Levenshtein automaton (one edit, a swap of neighbours included). Words within one edit of a term are equal to it once
+   each has lost a letter at most; other words aren't tried.
 3. Each hit is judged by its context window: quotation marks at the word and reporting verbs nearby make it a
    quotation, second person nearby makes it abuse.
 4. A logistic model over the sums of both kinds gives the score. Lexicon and model learn from different halves of
-   the sample, so that the model sees hits as they are on unseen texts.
+   the sample, so that the model sees hits as they are on unseen texts. How much commoner a term must be is chosen by
+   the log loss of a model of one part of the second half on the other.
 
 At most SAMPLE labelled rows are learned from (those with the smallest hash of doc_id).
 
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 from .logistic import Logistic
 from .text import ALNUM_SPLIT, Words, list_array, map_pieces, range_hashes, signed, text_bytes
 
-#: Labelled rows learned from, terms of the lexicon, terms of the trie, words on each side of a hit, at most.
-SAMPLE, TERMS, FUZZY, WINDOW = 40_000, 4000, 64, 5
-#: A term is at least so many standard deviations commoner in toxic documents than by chance, and in so many of them.
-Z, LEAST = 6.0, 3
+#: Labelled rows learned from, terms of the lexicon, words on each side of a hit, at most.
+SAMPLE, TERMS, WINDOW = 40_000, 4000, 5
+#: A term is at least so many standard deviations commoner in toxic documents than by chance (one of Z, the first where
+#: nothing tells them apart), and in so many of them.
+Z, LEAST = (6.0, 5.0, 4.5, 4.0), 3
 SHORTEST_FUZZY = 4
 #: Words that report what others say, and words that address the reader.
 REPORTING = ("said", "says", "quote", "quoted", "quotes", "called", "wrote", "term", "word", "words", "reported", "insult", "slur", "phrase", "writes", "mentioned")
@@ -103,26 +105,28 @@ class Lexicon:
         h = _hash([t for t, _ in terms]) if terms else np.zeros(0, np.uint64)
         order = np.argsort(h)
         self.hashes, self.weights = h[order], np.array([w for _, w in terms])[order] if terms else np.zeros(0)
-        fuzzy = [t for t, _ in terms[:FUZZY] if len(t) >= SHORTEST_FUZZY]
+        fuzzy = [t for t, _ in terms if len(t) >= SHORTEST_FUZZY]
         self.weight_of, self.trie = dict(terms), trie_of(fuzzy)
-        self.halves: dict[tuple[str, int], set[bytes]] = {}
-        for t in fuzzy:
-            for side, x in (("head", t[: len(t) // 2].encode()), ("tail", t[len(t) // 2 :].encode())):
-                self.halves.setdefault((side, len(x)), set()).add(x)
+        raw = " ".join(fuzzy).encode()
+        words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM_SPLIT)
+        self.reach = np.unique(np.concatenate([words.hashes(), words.hashes_less_a_letter(np.arange(len(words)))[1]]))
+        self.sieve = np.zeros(1 << 18, bool)
+        self.sieve[(self.reach & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
         lengths = [len(t.encode()) for t in fuzzy] or [0]
         self.lengths = min(lengths) - 4, max(lengths) + 4
         self.reporting, self.addressing = np.sort(_hash(list(REPORTING))), np.sort(_hash(list(ADDRESSING)))
         self.cache: dict[int, float] = {}
 
-    def _half_agrees(self, words: Words, at: np.ndarray) -> np.ndarray:
-        ok = np.zeros(len(at), bool)
-        size = words.ends[at] - words.starts[at]
-        for (side, n), halves in self.halves.items():
-            fits = np.flatnonzero(size >= n)
-            first = words.starts[at[fits]] if side == "head" else words.ends[at[fits]] - n
-            letters = words.raw[first[:, None] + np.arange(n)]
-            for x in halves:
-                ok[fits] |= (letters == np.frombuffer(x, np.uint8)).all(1)
+    def _reached(self, h: np.ndarray) -> np.ndarray:
+        ok = self.sieve[(h & np.uint64((1 << 18) - 1)).astype(np.int64)]
+        ok[ok] = self.reach[np.minimum(np.searchsorted(self.reach, h[ok]), len(self.reach) - 1)] == h[ok]
+        return ok
+
+    def _may_be_near(self, words: Words, at: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Whether a term is within one edit of each word, but for some that a lost letter each makes equal by chance."""
+        ok = self._reached(h)
+        place, less = words.hashes_less_a_letter(at)
+        ok[place[self._reached(less)]] = True
         return ok
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,12 +137,12 @@ class Lexicon:
         weight = np.zeros(len(h))
         weight[exact] = self.weights[place[exact]]
         near = np.zeros(0, np.int64)
-        if self.halves:
+        if len(self.reach):
             size = words.ends - words.starts
             distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
             ok = (weight[first] == 0) & (size[first] >= self.lengths[0]) & (size[first] <= self.lengths[1])
             may = np.flatnonzero(ok)
-            may = may[self._half_agrees(words, first[may])]
+            may = may[self._may_be_near(words, first[may], distinct[may])]
             w = np.zeros(len(distinct))
             for i, key in zip(may.tolist(), distinct[may].tolist(), strict=True):
                 if (known := self.cache.get(key)) is None:
@@ -217,12 +221,23 @@ class Toxicity:
 
 def _feature_rows(shared):
     def rows(piece: pa.RecordBatch) -> pa.RecordBatch:
-        x = features(piece.column("text"), shared.value)
-        return pa.record_batch([piece.column("toxic"), list_array(x.ravel(), np.arange(len(x) + 1) * FEATURES)], ["toxic", "x"])
+        x = np.concatenate([features(piece.column("text"), lexicon) for lexicon in shared.value], 1)
+        return pa.record_batch([piece.column("toxic"), piece.column("part"), list_array(x.ravel(), np.arange(len(x) + 1) * x.shape[1])], ["toxic", "part", "x"])
 
     return rows
 
 
+def _best(x: np.ndarray, y: np.ndarray, part: np.ndarray) -> int:
+    """Which lexicon's features (rows, lexicons, FEATURES) predict part 1 best from part 0, by log loss."""
+    if min(len(np.unique(y[part == i])) for i in (0, 1)) < 2:
+        return 0
+    loss = []
+    for k in range(x.shape[1]):
+        p = np.clip(Logistic(x[part == 0, k], y[part == 0]).probability(x[part == 1, k]), 1e-6, 1 - 1e-6)
+        loss.append(-np.log(np.where(y[part == 1] > 0, p, 1 - p)).mean())
+    return int(np.argmin(np.round(loss, 6)))
+
+
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most: int = SAMPLE) -> Toxicity:
     """Learns from the labelled documents for which learn_from (over doc_id) holds."""
     sample = labelled_sample(docs, labels, "toxic", most, learn_from)
@@ -235,12 +250,14 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most: int = SA
     counts = map_pieces(rows.filter(half == 0), _counted_words, "h long, word string, n long, t long").groupBy("h").agg(F.min("word").alias("word"), F.sum("n").alias("n"), F.sum("t").alias("t"))
     z = (F.col("t") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
     odds = F.log((F.col("t") + 4 * p) / (F.col("n") - F.col("t") + 4 * (1 - p))) - float(np.log(p / (1 - p)))
-    terms = counts.filter(F.col("t") >= LEAST).select("word", odds.alias("w"), z.alias("z")).filter(F.col("z") >= Z).orderBy(F.desc("z"), "word").limit(TERMS).collect()
-    lexicon = Lexicon([(r["word"], r["w"]) for r in terms])
-    found = map_pieces(rows.filter(half == 1), _feature_rows(docs.sparkSession.sparkContext.broadcast(lexicon)), "toxic int, x array<double>").toArrow()
-    x = found.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+    terms = counts.filter(F.col("t") >= LEAST).select("word", odds.alias("w"), z.alias("z")).filter(F.col("z") >= min(Z)).orderBy(F.desc("z"), "word").limit(TERMS).collect()
+    lexicons = [Lexicon([(r["word"], r["w"]) for r in terms if r["z"] >= z]) for z in Z]
+    second = rows.filter(half == 1).withColumn("part", F.pmod(F.shiftright(F.xxhash64("doc_id"), 1), F.lit(2)).cast("int"))
+    found = map_pieces(second, _feature_rows(docs.sparkSession.sparkContext.broadcast(lexicons)), "toxic int, part int, x array<double>").toArrow()
+    x = found.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(Z), FEATURES)
     y = (found.column("toxic").to_numpy() > 0).astype(float)
-    return Toxicity(lexicon, Logistic(x, y))
+    best = _best(x, y, found.column("part").to_numpy())
+    return Toxicity(lexicons[best], Logistic(x[:, best], y))
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
