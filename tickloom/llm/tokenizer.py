@@ -12,6 +12,9 @@ the encoding:
   has one encoding), and it is the one that merging gives. Should a position have none, the segment is
   merged directly.
 
+The machines are not built and composed as such: the normaliser is a string replace, a backtracking search for the
+longest pieces that the acceptor lets pass stands in for the path of BPE models, and bytes are filled in after it.
+
 No piece spans a place where a non-space meets U+2581, nor a character that is in no longer piece, so texts
 are cut there and each distinct segment is encoded once a worker (a cache of bounded size).
 
