@@ -9,12 +9,13 @@
    the set Jaccard; for the others both are the same.
 3. Banding: 24 bands of 4 registers of either signature. A pair at a set Jaccard of 0.8 shares no band of equal weights
    once in 300,000 times.
-4. In a bucket each member is held against three leaders (smallest doc_id, smallest hash, the member with most
-   company), never all pairs. Pairs far below the threshold by their signatures of equal weights go; the others are verified on
+4. In a bucket each member is held against three leaders (the member with most company, smallest doc_id, smallest
+   hash), never all pairs. Pairs far below the threshold by their signatures of equal weights go; the others are verified on
    their shingle sets.
-5. What leaders can't settle: members of a bucket that ended in different components and were not compared. Their
-   shingles are counted; the number that occurs elsewhere bounds what two documents share, and only pairs within
-   that bound are compared across components.
+5. What leaders can't settle: members of a bucket that ended in different components and were not compared. Two of them
+   that are alike share a shingle which the first leader has not, but for pairs that their sizes and the shingles in
+   common with the leader let pass, which are compared. The others fall into groups by such shingles (of those that occur
+   in several components the rarest that must hold a shared one), each with leaders of its own, until no group is left.
 6. Components by alternating large and small stars.
 
 Cases: texts of one to four words are one shingle; wordless texts (not null) are copies if their bytes are equal; a
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import ALNUM_SPLIT, Words, list_array, map_pieces, mix, range_hashes, signed, text_bytes, window_hashes, written
@@ -98,8 +99,8 @@ def _hashed_rows(bands: int, rows: int, size: int):
         for i in range(rows):
             flat = mix(flat + signature[:, :, i] * _U(0x9E3779B97F4A7C15))
         return pa.record_batch(
-            [piece.column("doc_id"), pa.array(signed(key), mask=~present), list_array(signed(flat.ravel()), np.searchsorted(owner[order], np.arange(n + 1)) * bands), pa.array(sketch, pa.binary())],
-            ["doc_id", "key", "bands", "sketch"],
+            [piece.column("doc_id"), pa.array(signed(key), mask=~present), list_array(signed(flat.ravel()), np.searchsorted(owner[order], np.arange(n + 1)) * bands), pa.array(sketch, pa.binary()), pa.array(np.bincount(doc, minlength=n).astype(np.int32))],
+            ["doc_id", "key", "bands", "sketch", "size"],
         )
 
     return hashed
@@ -153,35 +154,77 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))
 
 
-def _shingle_rows(size: int):
+def _outside(size: int, threshold: float):
+    """What each document has besides its group's first leader: one row with `most` (h null), one row a shingle h.
+
+    A pair at the threshold shares threshold / (1 + threshold) of both sizes together. If all of it is in the leader, the
+    partner has at most `most` shingles; else they share at least `need` of the rows h.
+    """
+
     def rows(piece: pa.RecordBatch) -> pa.RecordBatch:
-        both, _ = _distinct(*_shingles(Words(*text_bytes(piece.column("text")), ALNUM_SPLIT, lower=True), size))
-        doc = (both >> _U(_HASH_BITS)).astype(np.int64)
-        sizes = np.bincount(doc, minlength=piece.num_rows)
-        return pa.record_batch([piece.column("doc_id").take(pa.array(doc)), pa.array(signed(both & _U((1 << _HASH_BITS) - 1))), pa.array(sizes[doc].astype(np.int32))], ["doc_id", "h", "size"])
+        own, lead = (_distinct(*_shingles(Words(*text_bytes(piece.column(c)), ALNUM_SPLIT, lower=True), size))[0] for c in ("text", "text_leader"))
+        n, share = piece.num_rows, threshold / (1 + threshold)
+        inside = np.isin(own, lead, assume_unique=True)
+        doc = (own >> _U(_HASH_BITS)).astype(np.int64)
+        x, both = np.bincount(doc, minlength=n), np.bincount(doc[inside], minlength=n)
+        least = np.maximum(piece.column("least").to_numpy(), threshold * x)
+        need = np.maximum(1, np.ceil(share * (x + least) - 1e-9).astype(np.int64) - both)
+        keep = np.flatnonzero(~inside & (x - both >= need)[doc])
+        at = np.concatenate([np.arange(n), doc[keep]])
+        h = pa.array(np.concatenate([np.zeros(n, np.int64), signed(own[keep] & _U((1 << _HASH_BITS) - 1))]), mask=np.arange(len(at)) < n)
+        most = np.floor(both / share - x + 1e-9).astype(np.int32)
+        return pa.record_batch([*(piece.column(c).take(pa.array(at)) for c in ("g", "doc_id", "component", "size", "least")), pa.array(need[at].astype(np.int32)), pa.array(most[at]), h], ["g", "doc_id", "component", "size", "least", "need", "most", "h"])
 
     return rows
 
 
-def _unsettled(shared: DataFrame, docs: DataFrame, labels: DataFrame, size: int, threshold: float) -> DataFrame | None:
-    """Pairs a, b of one bucket, in different components, not compared yet and not ruled out by their shingle counts."""
-    inside = shared.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = lambda rows: rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    rows = inside.filter(F.col("n") - F.size("leaders") >= 2)
-    rows = written(rows.join(mixed(rows), "bucket").select("bucket", "doc_id", "component"))
-    if rows.isEmpty():
+def _mixed(rows: DataFrame, *key: str) -> DataFrame:
+    """The keys whose rows are of several components, with n and the smallest size."""
+    found = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("size").alias("least"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return found.filter("low < high").drop("low", "high")
+
+
+def _led(groups: DataFrame) -> DataFrame:
+    """g, doc_id, size with the group's leaders, first the member with most company. groups: g, doc_id, size."""
+    by_hash = F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))["doc_id"]
+    sizes = groups.groupBy("g").agg(F.count("*").alias("n"), F.array(F.min("doc_id"), by_hash).alias("more")).filter("n > 1")
+    shared = written(groups.join(sizes, "g"))
+    company = shared.groupBy("doc_id").agg(F.sum("n").alias("company"))
+    popular = shared.join(company, "doc_id").groupBy("g").agg(F.max(F.struct("company", (-F.col("doc_id")).alias("x")))["x"].alias("x"))
+    return written(shared.join(popular, "g").select("g", "doc_id", "size", F.array_distinct(F.concat(F.array(-F.col("x")), "more")).alias("leaders")))
+
+
+def _pairs(led: DataFrame) -> DataFrame:
+    rows = led.select("doc_id", F.explode("leaders").alias("leader")).filter("doc_id <> leader")
+    return rows.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+
+
+def _split(led: DataFrame, docs: DataFrame, labels: DataFrame, by_leader: bool, size: int, threshold: float) -> tuple[DataFrame, DataFrame] | None:
+    """Groups (g, doc_id, size) of documents that share a shingle their leader has not, and pairs a, b that may be alike without one."""
+    open_ = led.filter(~F.array_contains("leaders", F.col("doc_id"))).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    open_ = open_.select("g", "doc_id", "size", F.col("leaders")[0].alias("leader"), F.coalesce("component", "doc_id").alias("component"))
+    open_ = open_.join(_mixed(open_, "g").select("g"), "g")
+    if by_leader:
+        open_ = open_.withColumn("g", F.col("leader")).distinct()
+    open_ = written(open_)
+    if open_.isEmpty():
         return None
-    shingles = map_pieces(docs.join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), _shingle_rows(size), "doc_id long, h long, size int")
-    often = shingles.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    known = shingles.join(often, "h", "left_semi").groupBy("doc_id").agg(F.count("*").alias("known"), F.max("size").alias("size"))
-    rows = written(rows.join(known, "doc_id"))
-    # |x and y| is at most what either knows, so sizes and the most known of a size bound the similarity
-    able = F.least("known", "known_b") / (F.col("size") + F.col("size_b") - F.least("known", "known_b")) >= threshold
-    by_size = rows.groupBy("bucket", F.col("size").alias("size_b")).agg(F.max("known").alias("known_b"))
-    alive = rows.join(by_size, "bucket").filter(able).select(rows.columns).distinct()
-    alive = written(alive.join(mixed(alive), "bucket"))
-    other = alive.select("bucket", *(F.col(c).alias(d) for c, d in (("doc_id", "b"), ("component", "component_b"), ("size", "size_b"), ("known", "known_b"))))
-    return alive.withColumnRenamed("doc_id", "a").join(other, "bucket").filter("component <> component_b and a < b").filter(able).select("a", "b").distinct()
+    open_ = open_.join(_mixed(open_, "g").select("g", "least"), "g")
+    both = open_.hint("shuffle_hash").join(docs.select("doc_id", "text"), "doc_id").join(docs.select(F.col("doc_id").alias("leader"), F.col("text").alias("text_leader")).hint("merge"), "leader")
+    rows = written(map_pieces(both, _outside(size, threshold), "g long, doc_id long, component long, size int, least int, need int, most int, h long"))
+    inside = rows.filter("h is null and most >= least")
+    inside = inside.join(_mixed(inside, "g").select("g"), "g")
+    other = inside.select("g", F.col("doc_id").alias("b"), F.col("component").alias("component_b"), F.col("size").alias("size_b"), F.col("most").alias("most_b"))
+    pairs = inside.withColumnRenamed("doc_id", "a").join(other, "g").filter("component <> component_b and a < b and size_b <= most and size <= most_b").select("a", "b").distinct()
+    # what two documents of different components share is in known; so many of its rarest hold a shared one
+    tokens = rows.filter("h is not null")
+    known = tokens.drop("least").join(_mixed(tokens, "g", "h").drop("least"), ["g", "h"])
+    by = Window.partitionBy("g", "doc_id")
+    known = known.withColumn("known", F.count("*").over(by)).filter("known >= need").withColumn("i", F.row_number().over(by.orderBy("n", "h"))).filter(F.col("i") <= F.col("known") - F.col("need") + 1)
+    fine = known.select(F.xxhash64("g", "h").alias("g"), "doc_id", "component", "size")
+    fine = written(fine.join(_mixed(fine, "g").select("g"), "g").select("g", "doc_id", "size"))
+    same = fine.groupBy("g").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x")).groupBy("n", "x").agg(F.min("g").alias("g"))
+    return fine.join(same.select("g"), "g"), pairs
 
 
 def _between(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -201,23 +244,16 @@ def _joined(labels: DataFrame, over: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class) for every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashed = written(map_pieces(docs, _hashed_rows(bands, rows, size), "doc_id long, key long, bands array<long>, sketch binary"))
+    hashed = written(map_pieces(docs, _hashed_rows(bands, rows, size), "doc_id long, key long, bands array<long>, sketch binary, size int"))
     classes = hashed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
     nodes = hashed.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sketches = nodes.filter(F.size("bands") > 0).select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    placed = nodes.select("doc_id", F.explode("bands").alias("bucket")).distinct()
-    by_hash = F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))["doc_id"]
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.array(F.min("doc_id"), by_hash).alias("first_leaders")).filter("n > 1")
-    shared = written(placed.join(sizes, "bucket"))
-    company = shared.groupBy("doc_id").agg(F.sum("n").alias("company"))
-    popular = shared.join(company, "doc_id").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("doc_id")).alias("x")))["x"].alias("x"))
-    shared = written(shared.join(popular, "bucket").select("bucket", "doc_id", "n", F.array_distinct(F.concat("first_leaders", F.array(-F.col("x")))).alias("leaders")))
-    pairs = shared.select("doc_id", F.explode("leaders").alias("leader")).filter("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-    edges = written(_verify(pairs, docs, sketches, size, threshold))
-    labels = components(edges)
-    more = _unsettled(shared, docs, labels, size, threshold)
-    if more is not None:
-        extra = written(_verify(more, docs, sketches, size, threshold))
+    led = _led(nodes.select("doc_id", "size", F.explode("bands").alias("g")).dropDuplicates(["g", "doc_id"]))
+    labels, first = components(written(_verify(_pairs(led), docs, sketches, size, threshold))), True
+    while (found := _split(led, docs, labels, first, size, threshold)) is not None:
+        groups, pairs = found
+        led, first = _led(groups), False
+        extra = written(_verify(_pairs(led).unionByName(pairs).distinct(), docs, sketches, size, threshold))
         if not extra.isEmpty():
             labels = _joined(labels, components(_between(extra, labels)))
     node = hashed.select("doc_id", "key").join(classes, "key", "left").withColumn("node", F.coalesce("node", "doc_id"))
