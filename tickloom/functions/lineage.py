@@ -5,14 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that all machines share, spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Writes the rows under spark.checkpoint.dir (or a temporary folder where it is unset, as in tests) and reads them."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    """Writes the rows to the shared folder and reads them: a lost executor costs no recomputation of what led to them."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*stages: DataFrame) -> None:
+    """Deletes the files of stage tables that nothing reads any more."""
+    for df in stages:
+        jvm = df.sparkSession._jvm
+        for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
