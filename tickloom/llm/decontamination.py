@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from ..functions.lineage import stage as written
 from .fmindex import FMIndex
-from .text import ALNUM_SPLIT, Words, list_array, map_pieces, pieces, signed, text_bytes, written
+from .text import ALNUM_SPLIT, Words, list_array, map_pieces, pieces, signed, text_bytes
 
 WINDOW = 10
 #: Phrases in one broadcast: at most so many times WINDOW numbers of 8 bytes.

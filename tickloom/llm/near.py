@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import ALNUM_SPLIT, Words, list_array, map_pieces, mix, range_hashes, signed, text_bytes, window_hashes, written
+from ..functions.lineage import stage as written
+from .text import ALNUM_SPLIT, Words, list_array, map_pieces, mix, range_hashes, signed, text_bytes, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import BLANK_SPLIT, Words, list_array, map_pieces, mix, signed, text_bytes, window_hashes, written
+from ..functions.lineage import stage as written
+from .text import BLANK_SPLIT, Words, list_array, map_pieces, mix, signed, text_bytes, window_hashes
 
 LENGTH, BASE = 20, 5
 
