@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.lineage import stage as written
 from tickloom.llm import decontamination, language, near, substring, tokenizer
-from tickloom.llm.text import table, written
+from tickloom.llm.text import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
