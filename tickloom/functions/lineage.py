@@ -19,11 +19,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+#: Whether the shuffle files that led to a written table go once it is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads them: a lost executor costs no recomputation of what led to them."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes the rows to the shared folder and reads them: a lost executor costs no recomputation of what led to them.
+
+    The shuffle files that led to them are of no use any more and go at once.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(*stages: DataFrame) -> None:
