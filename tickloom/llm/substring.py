@@ -10,12 +10,13 @@ is looked at with twice the length, until the full length is reached:
    to the left. What occurs once is dropped again. This repeats up to half the full length.
 3. Full windows whose every level survived are fingerprinted; the first occurrence of each stays.
 
-Texts are dealt out by doc_id once and that exchange is reused; all other shuffles carry fingerprints and
-positions. Counts combine before the shuffle, and rows come back to their key by a join that AQE may split,
+At each level the texts are dealt out by row, and go to their survivors; all other shuffles carry fingerprints and
+positions, and what a level shuffled goes once its survivors are written. Counts combine before the shuffle, and rows come back to their key by a join that AQE may split,
 so a passage shared by a third of all documents makes no task that holds it whole.
 
 Cases: null and empty texts have no words. A row without doc_id keeps all its words. Rows that share a
-doc_id count as one document at one place: repeated rows don't remove each other. Fingerprints have 64 bits.
+doc_id are at one place: repeated rows don't remove each other, and each row loses its own words only, those of windows
+that start earlier. Fingerprints have 64 bits.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import dropped
 from ..functions.lineage import stage as written
 from .text import BLANK_SPLIT, Words, list_array, map_pieces, mix, signed, text_bytes, window_hashes
 
@@ -68,7 +70,7 @@ def _anchor_rows(length: int, base: int):
         if not len(at):
             return None
         doc = np.searchsorted(found.words.offsets, at, side="right") - 1
-        return pa.record_batch([pa.array(signed(found.short[at])), piece.column("doc_id").take(pa.array(doc)), pa.array((at - found.doc_start[doc]).astype(np.int32))], ["h", "doc_id", "at"])
+        return pa.record_batch([pa.array(signed(found.short[at])), piece.column("r").take(pa.array(doc)), pa.array((at - found.doc_start[doc]).astype(np.int32))], ["h", "r", "at"])
 
     return rows
 
@@ -97,7 +99,7 @@ def _extended_rows(length: int, base: int, level: int):
             at, doc, start = at[ok], doc[ok], start[ok]
             out.append((mix(window_hashes(found.hashes, start, level) + np.uint64(kind)), doc, at - found.doc_start[doc], np.full(len(at), kind == 1)))
         h, doc, at, left = map(np.concatenate, zip(*out, strict=True))
-        return pa.record_batch([pa.array(signed(h)), piece.column("doc_id").take(pa.array(doc)), pa.array(at.astype(np.int32)), pa.array(left)], ["h", "doc_id", "at", "is_left"])
+        return pa.record_batch([pa.array(signed(h)), piece.column("r").take(pa.array(doc)), pa.array(at.astype(np.int32)), pa.array(left)], ["h", "r", "at", "is_left"])
 
     return rows
 
@@ -113,7 +115,7 @@ def _full_rows(length: int, base: int):
         alive = np.where(by_right, _marks(piece, found, "right", False)[found.anchor], _marks(piece, found, "left", False)[found.anchor])
         start = found.full[alive]
         doc = np.searchsorted(found.words.offsets, start, side="right") - 1
-        return pa.record_batch([pa.array(signed(window_hashes(found.hashes, start, length))), piece.column("doc_id").take(pa.array(doc)), pa.array((start - found.doc_start[doc]).astype(np.int32))], ["h", "doc_id", "at"])
+        return pa.record_batch([pa.array(signed(window_hashes(found.hashes, start, length))), piece.column("r").take(pa.array(doc)), piece.column("doc_id").take(pa.array(doc)), pa.array((start - found.doc_start[doc]).astype(np.int32))], ["h", "r", "doc_id", "at"])
 
     return rows
 
@@ -124,32 +126,34 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.join(often, "h", "left_semi")
 
 
-def _by_doc(rows: DataFrame) -> DataFrame:
-    """One row a document with the positions that survive on either side."""
+def _by_row(rows: DataFrame) -> DataFrame:
+    """One row a text with the positions that survive on either side."""
     if "is_left" not in rows.columns:
-        return rows.groupBy("doc_id").agg(F.collect_set("at").alias("right")).withColumn("left", F.col("right"))
+        return rows.groupBy("r").agg(F.collect_set("at").alias("right")).withColumn("left", F.col("right"))
     side = lambda left: F.collect_set(F.when(F.col("is_left") == left, F.col("at")))
-    return rows.groupBy("doc_id").agg(side(False).alias("right"), side(True).alias("left"))
+    return rows.groupBy("r").agg(side(False).alias("right"), side(True).alias("left"))
 
 
 def later_windows(dealt: DataFrame, length: int = LENGTH, base: int = BASE) -> DataFrame:
-    """doc_id, starts: the windows of each document whose word sequence starts earlier somewhere.
+    """r, doc_id, starts: the windows of each row whose word sequence starts earlier somewhere.
 
-    dealt has doc_id and text. length is base times a power of two.
+    dealt has doc_id, text and r, a fingerprint of both. length is base times a power of two.
     """
     if base < 1 or length % base or (length // base) & (length // base - 1) or length < 2 * base:
         raise ValueError("length must be base times 2, 4, 8, ...")
     rows = dealt.filter(F.col("doc_id").isNotNull())
-    survivors = written(_by_doc(_repeated(map_pieces(rows, _anchor_rows(length, base), "h long, doc_id long, at int"))))
+    survivors = written(_by_row(_repeated(map_pieces(rows, _anchor_rows(length, base), "h long, r long, at int"))))
     level = 2 * base
     while level < length:
-        extended = map_pieces(rows.join(survivors, "doc_id"), _extended_rows(length, base, level), "h long, doc_id long, at int, is_left boolean")
-        survivors = written(_by_doc(_repeated(extended)))
+        extended = map_pieces(rows.drop("doc_id").join(survivors, "r"), _extended_rows(length, base, level), "h long, r long, at int, is_left boolean")
+        last, survivors = survivors, written(_by_row(_repeated(extended)))
+        dropped(last)
         level *= 2
-    full = map_pieces(rows.join(survivors, "doc_id"), _full_rows(length, base), "h long, doc_id long, at int")
+    full = map_pieces(rows.join(survivors, "r"), _full_rows(length, base), "h long, r long, doc_id long, at int")
     first = full.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = full.join(first, "h").filter(F.struct("doc_id", "at") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    later = written(full.join(first, "h").filter(F.struct("doc_id", "at") > F.col("first")).groupBy("r", "doc_id").agg(F.collect_set("at").alias("starts")))
+    dropped(survivors)
+    return later
 
 
 def _kept(length: int, whole: bool):
@@ -187,8 +191,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, base: int = BASE, kee
     whole: a document that loses nothing keeps its text as it is.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    row = F.struct(*keep) if keep else F.struct("doc_id")
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row.alias("row")).repartition(partitions, "doc_id")
-    starts = written(later_windows(dealt.select("doc_id", "text"), length, base))
-    out = map_pieces(dealt.join(starts, "doc_id", "left"), _kept(length, whole), f"row {dealt.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    row, doc_id = F.struct(*keep) if keep else F.struct("doc_id"), F.col("doc_id").cast("long").alias("doc_id")
+    dealt = docs.select(doc_id, F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("r"), row.alias("row")).repartition(partitions, "r")
+    starts = later_windows(dealt.drop("row"), length, base)
+    out = map_pieces(dealt.join(starts, ["r", "doc_id"], "left"), _kept(length, whole), f"row {dealt.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string")
     return out.select("row.*", "n_words", "n_removed", "kept")
