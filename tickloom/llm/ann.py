@@ -4,11 +4,12 @@
   between two random sample vectors, at the median of the sample rows that reach it. Depth is bounded, so the forest
   in the broadcast is too. All rows are indexed: each is dealt to one leaf of every tree.
 * A query walks all trees through one shared queue ordered by the smallest margin on the way to a node, and opens
-  leaves until their rows amount to `share` of the index (LEAST rows a tree if that is more).
-* Each opened leaf is reranked by exact cosines in double precision; the best of all leaves stay.
+  leaves until their rows, counted again in each tree, amount to LEAST and `share` of the table.
+* Rows and queries meet in blocks of bounded size. In a block the rows of a query's opened leaves are its candidates;
+  each is reranked once by its exact cosine in double precision, and the best of all blocks stay.
 
 Equal vectors are indexed once with their k + 1 smallest ids (no later one can be among k nearest, as ties go to the
-smaller id), and equal queries are searched once. Leaves larger than BLOCK rows are cut into blocks by a hash.
+smaller id), and equal queries are searched once. A row travels once with its vector and its leaf in each tree.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length is
 not the commonest (the smaller of two as common); a row without vec_id takes no part. With fewer candidates than k
@@ -25,16 +26,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import stage as written
+from .text import list_array
 
-TREES, LEAF, MAX_DEPTH = 8, 200, 10
-#: Vectors the forest is fitted on, at most.
+TREES, LEAF = 32, 20
+#: Vectors the forest is fitted on, at most; its leaves hold LEAF of them, so this bounds its depth (and its broadcast) too.
 SAMPLE = 20_000
-#: Of the index rows in all trees, so much is opened for a query.
-SHARE = 0.15
-#: But at least so many rows a tree.
+#: Rows opened for a query: LEAST and so many of the table's; a row counts once a tree, so fewer distinct ones are.
+SHARE = 0.35
+#: Tables of LEAST rows or fewer are one leaf.
 LEAST = 1000
-#: Rows of a leaf that are reranked in one group.
-BLOCK = 8192
+#: Rows and queries that meet in one group.
+BLOCK, QUERIES = 4096, 4096
 
 
 def _matrix(column) -> np.ndarray:
@@ -116,24 +118,24 @@ def usable(rows: DataFrame) -> DataFrame:
 def _indexed(shared):
     def rows(batches):
         for batch in batches:
-            leaf = shared.value.leaves(_unit(_matrix(batch.column("embedding"))))
-            n, trees = leaf.shape
-            tree = pa.array(np.tile(np.arange(trees), n).astype(np.int32))
-            again = pa.array(np.repeat(np.arange(n), trees))
-            yield pa.record_batch([tree, pa.array(leaf.ravel().astype(np.int32)), *(batch.column(c).take(again) for c in ("node", "embedding"))], ["tree", "leaf", "node", "embedding"])
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                leaf = shared.value.leaves(_unit(_matrix(part.column("embedding"))))
+                yield pa.record_batch([part.column("node"), part.column("embedding"), list_array(leaf.ravel().astype(np.int32), np.arange(len(leaf) + 1) * leaf.shape[1])], ["node", "embedding", "leaves"])
 
     return rows
 
 
 def _search(shared, budget: float):
+    """The numbers of the opened leaves (tree * leaves a tree + leaf) of each query."""
+
     def rows(batches):
+        forest = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = [shared.value.opened(u, budget) for u in _unit(_matrix(part.column("embedding")))]
-                again = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-                flat = np.array([y for x in found for y in x], np.int32).reshape(-1, 2)
-                yield pa.record_batch([pa.array(flat[:, 0]), pa.array(flat[:, 1]), *(part.column(c).take(again) for c in ("query", "embedding"))], ["tree", "leaf", "query", "embedding"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [np.sort(np.array([t << forest.depth | leaf for t, leaf in forest.opened(u, budget)], np.int32)) for u in _unit(_matrix(part.column("embedding")))]
+                yield pa.record_batch([part.column("query"), part.column("embedding"), list_array(np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])]))], ["query", "embedding", "opened"])
 
     return rows
 
@@ -142,60 +144,73 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
-def _rerank(k: int):
-    """The k + 1 best rows of one leaf's block for each of its queries."""
+def _rerank(k: int, depth: int):
+    """The k + 1 best candidates of one block for each of its queries; the first row says how many there were."""
 
     def rows(queries: pa.Table, members: pa.Table) -> pa.Table:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
         if queries.num_rows and members.num_rows:
-            m, node = _matrix(members.column("embedding")), members.column("node").to_numpy()
+            m, node, leaf = _matrix(members.column("embedding")), members.column("node").to_numpy(), _matrix(members.column("leaves")).astype(np.int64)
             order = np.argsort(node)
-            m, node = m[order], node[order]
-            unit, keep = _unit(m), min(k + 1, len(m))
-            for at in range(0, queries.num_rows, 512):
-                part = queries.slice(at, 512)
-                q, ids = _matrix(part.column("embedding")), part.column("query").to_numpy()
-                scores = _unit(q) @ unit.T
+            m, node, leaf = m[order], node[order], leaf[order]
+            unit, trees = _unit(m), leaf.shape[1]
+            key = (leaf + (np.arange(trees) << depth)).ravel()
+            by_leaf = np.argsort(key, kind="stable")
+            first = np.searchsorted(key[by_leaf], np.arange((trees << depth) + 1))
+            row = by_leaf // trees
+            opened = queries.column("opened").combine_chunks()
+            flat, bounds = opened.flatten().to_numpy(), opened.offsets.to_numpy() - opened.offsets[0].as_py()
+            for i, (q, query) in enumerate(zip(_matrix(queries.column("embedding")), queries.column("query").to_numpy(), strict=True)):
+                of = flat[bounds[i] : bounds[i + 1]]
+                sizes = first[of + 1] - first[of]
+                mark = np.zeros(len(m), bool)
+                mark[row[np.repeat(first[of] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]] = True
+                at = np.flatnonzero(mark)
+                if not len(at):
+                    continue
+                scores, keep = unit[at] @ _unit(q[None])[0], min(k + 1, len(at))
                 # ties at the edge: all rows that reach the last kept score come
-                edge = np.partition(scores, len(m) - keep, axis=1)[:, len(m) - keep]
-                i, j = np.nonzero(scores >= edge[:, None] - 1e-12)
-                s = _cosines(q[i], m[j])
-                best = np.lexsort((node[j], -s, i))
-                i, j, s = i[best], j[best], s[best]
-                top = np.arange(len(i)) - np.searchsorted(i, i) < keep
-                out.append((ids[i[top]], node[j[top]], s[top]))
-        q, n, s = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"query": q, "node": n, "score": s})
+                at = at[scores >= np.partition(scores, len(at) - keep)[len(at) - keep] - 1e-12]
+                s = _cosines(np.broadcast_to(q, (len(at), len(q))), m[at])
+                best = np.lexsort((node[at], -s))[:keep]
+                out.append((np.full(len(best), query), node[at[best]], s[best], np.where(np.arange(len(best)) == 0, mark.sum(), 0)))
+        q, n, s, c = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"query": q, "node": n, "score": s, "candidates": c})
 
     return rows
 
 
+def _blocks(df: DataFrame, key: str, most: int, other: int, names: tuple[str, str]) -> DataFrame:
+    """Each row in one of the blocks of names[0], once for each of the `other` blocks of names[1]."""
+    df = df.withColumn(names[0], F.pmod(F.xxhash64(key), F.lit(most)).cast("int"))
+    return df.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+
+
 def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, leaf: int = LEAF, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found for each query, itself left out."""
+    """query_id, rank, vec_id, score: the k nearest rows found for each query, itself left out; opened: candidates reranked for it."""
     spark = rows.sparkSession
     rows, queries = usable(rows), usable(queries)
     same = Window.partitionBy("embedding").orderBy("vec_id")
     first = rows.distinct().withColumn("i", F.row_number().over(same)).filter(F.col("i") <= k + 1)
     members = written(first.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_set("vec_id")).alias("ids")))
-    n = members.count()
-    depth = int(np.clip(np.ceil(np.log2(max(n, 1) / leaf)), 0, MAX_DEPTH))
-    fit = members.select("embedding").orderBy(F.xxhash64("node"), "node").limit(sample).toArrow()
     asked = written(queries.groupBy("embedding").agg(F.min("vec_id").alias("query")))
+    n, m = members.count(), asked.count()
     if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    forest = Forest(_matrix(fit.column("embedding")), trees, depth)
-    index = written(members.select("node", "embedding").mapInArrow(_indexed(spark.sparkContext.broadcast(forest)), "tree int, leaf int, node long, embedding array<double>"))
-    forest.leaf_rows = {(r["tree"], r["leaf"]): r["count"] for r in index.groupBy("tree", "leaf").count().collect()}
-    blocks = max(1, -(-max(forest.leaf_rows.values()) // BLOCK))
-    opened = asked.mapInArrow(_search(spark.sparkContext.broadcast(forest), max(share * n, LEAST) * trees), "tree int, leaf int, query long, embedding array<double>")
-    opened = opened.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    index = index.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
-    key = ["tree", "leaf", "block"]
-    found = opened.groupBy(*key).cogroup(index.groupBy(*key)).applyInArrow(_rerank(k), "query long, node long, score double")
-    best = found.groupBy("query", "node").agg(F.max("score").alias("score"))
-    best = best.withColumn("i", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))).filter(F.col("i") <= k + 1)
-    near = best.join(members.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("vec_id"))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, opened long")
+    depth = 0 if n <= LEAST else int(np.ceil(np.log2(min(n, sample) / leaf)))
+    fit = members.select("embedding").orderBy(F.xxhash64("node"), "node").limit(sample).toArrow()
+    forest = Forest(_matrix(fit.column("embedding")), trees if depth else 1, depth)
+    index = written(members.select("node", "embedding").mapInArrow(_indexed(spark.sparkContext.broadcast(forest)), "node long, embedding array<double>, leaves array<int>"))
+    counts = index.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count()
+    forest.leaf_rows = {(r["tree"], r["leaf"]): r["count"] for r in counts.collect()}
+    opened = written(asked.mapInArrow(_search(spark.sparkContext.broadcast(forest), LEAST + share * n), "query long, embedding array<double>, opened array<int>"))
+    blocks, chunks = -(-n // BLOCK), max(1, -(-m // QUERIES))
+    opened, index = _blocks(opened, "query", chunks, blocks, ("chunk", "block")), _blocks(index, "node", blocks, chunks, ("block", "chunk"))
+    found = opened.groupBy("block", "chunk").cogroup(index.groupBy("block", "chunk")).applyInArrow(_rerank(k, depth), "query long, node long, score double, candidates long")
+    by = Window.partitionBy("query")
+    found = found.withColumn("opened", F.sum("candidates").over(by)).withColumn("i", F.row_number().over(by.orderBy(F.desc("score"), "node")))
+    near = found.filter(F.col("i") <= k + 1).join(members.select("node", "ids"), "node").select("query", "score", "opened", F.explode("ids").alias("vec_id"))
     every = queries.distinct().join(asked, "embedding").select(F.col("vec_id").alias("query_id"), "query")
     near = every.join(near, "query").filter("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+    return near.select("query_id", rank.alias("rank"), "vec_id", "score", "opened").filter(F.col("rank") <= k)
