@@ -15,7 +15,7 @@
 5. What leaders can't settle: members of a bucket that ended in different components and were not compared. Two of them
    that are alike share a shingle which the first leader has not, but for pairs that their sizes and the shingles in
    common with the leader let pass, which are compared. The others fall into groups by such shingles (of those that occur
-   in several components the rarest that must hold a shared one), each with leaders of its own, until no group is left.
+   in several components the rarest that must hold a shared one), each with leaders of its own, until no group is left. Groups of at most SMALL members have no need of leaders.
 6. Components by alternating large and small stars.
 
 Cases: texts of one to four words are one shingle; wordless texts (not null) are copies if their bytes are equal; a
@@ -37,6 +37,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Pairs whose share of equal registers (of equal weights) is lower than the threshold by this (5 standard errors) aren't verified.
 MARGIN = 0.2
+#: Members of a group of at most so many, once split, are all compared.
+SMALL = 32
 _U = np.uint64
 _HASH_BITS = 44
 
@@ -130,11 +132,11 @@ def _verified(size: int, threshold: float):
     return rows
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, size: int, threshold: float) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, size: int, threshold: float) -> DataFrame:
     """a, b, similarity of the pairs at or over the threshold."""
     held = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")).hint("merge"), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")).hint("merge"), "b")
     likely = written(held.mapInArrow(_agreeing(threshold - MARGIN), "a long, b long"))
-    text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = likely.hint("shuffle_hash").join(text("b"), "b").join(text("a").hint("merge"), "a")
     return map_pieces(both, _verified(size, threshold), "a long, b long, similarity double", "text_b")
 
@@ -185,14 +187,19 @@ def _mixed(rows: DataFrame, *key: str) -> DataFrame:
     return found.filter("low < high").drop("low", "high")
 
 
-def _led(groups: DataFrame) -> DataFrame:
-    """g, doc_id, size with the group's leaders, first the member with most company. groups: g, doc_id, size."""
+def _led(groups: DataFrame, small: int = 0) -> DataFrame:
+    """g, doc_id, size with the group's leaders, first the member with most company; all members of groups of at most `small`. groups: g, doc_id, size."""
     by_hash = F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))["doc_id"]
     sizes = groups.groupBy("g").agg(F.count("*").alias("n"), F.array(F.min("doc_id"), by_hash).alias("more")).filter("n > 1")
     shared = written(groups.join(sizes, "g"))
     company = shared.groupBy("doc_id").agg(F.sum("n").alias("company"))
     popular = shared.join(company, "doc_id").groupBy("g").agg(F.max(F.struct("company", (-F.col("doc_id")).alias("x")))["x"].alias("x"))
-    return written(shared.join(popular, "g").select("g", "doc_id", "size", F.array_distinct(F.concat(F.array(-F.col("x")), "more")).alias("leaders")))
+    led = shared.join(popular, "g")
+    more = F.col("more")
+    if small:
+        every = shared.filter(F.col("n") <= small).groupBy("g").agg(F.array_sort(F.collect_set("doc_id")).alias("every"))
+        led, more = led.join(every, "g", "left"), F.coalesce("every", "more")
+    return written(led.select("g", "doc_id", "size", F.array_distinct(F.concat(F.array(-F.col("x")), more)).alias("leaders")))
 
 
 def _pairs(led: DataFrame) -> DataFrame:
@@ -200,8 +207,8 @@ def _pairs(led: DataFrame) -> DataFrame:
     return rows.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
 
 
-def _split(led: DataFrame, docs: DataFrame, labels: DataFrame, by_leader: bool, size: int, threshold: float) -> tuple[DataFrame, DataFrame] | None:
-    """Groups (g, doc_id, size) of documents that share a shingle their leader has not, and pairs a, b that may be alike without one."""
+def _split(led: DataFrame, texts: DataFrame, labels: DataFrame, by_leader: bool, size: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Groups (g, doc_id, size) of documents that share a shingle their leader has not, pairs a, b that may be alike without one, and their texts."""
     open_ = led.filter(~F.array_contains("leaders", F.col("doc_id"))).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     open_ = open_.select("g", "doc_id", "size", F.col("leaders")[0].alias("leader"), F.coalesce("component", "doc_id").alias("component"))
     open_ = open_.join(_mixed(open_, "g").select("g"), "g")
@@ -211,7 +218,8 @@ def _split(led: DataFrame, docs: DataFrame, labels: DataFrame, by_leader: bool,
     if open_.isEmpty():
         return None
     open_ = open_.join(_mixed(open_, "g").select("g", "least"), "g")
-    both = open_.hint("shuffle_hash").join(docs.select("doc_id", "text"), "doc_id").join(docs.select(F.col("doc_id").alias("leader"), F.col("text").alias("text_leader")).hint("merge"), "leader")
+    texts = written(texts.join(open_.select("doc_id").union(open_.select("leader")).distinct(), "doc_id", "left_semi"))
+    both = open_.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("text_leader")), "leader")
     rows = written(map_pieces(both, _outside(size, threshold), "g long, doc_id long, component long, size int, least int, need int, most int, h long"))
     inside = rows.filter("h is null and most >= least")
     inside = inside.join(_mixed(inside, "g").select("g"), "g")
@@ -225,7 +233,7 @@ def _split(led: DataFrame, docs: DataFrame, labels: DataFrame, by_leader: bool,
     fine = known.select(F.xxhash64("g", "h").alias("g"), "doc_id", "component", "size")
     fine = written(fine.join(_mixed(fine, "g").select("g"), "g").select("g", "doc_id", "size"))
     same = fine.groupBy("g").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x")).groupBy("n", "x").agg(F.min("g").alias("g"))
-    return fine.join(same.select("g"), "g"), pairs
+    return fine.join(same.select("g"), "g"), pairs, texts
 
 
 def _between(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -250,11 +258,14 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESH
     nodes = hashed.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sketches = nodes.filter(F.size("bands") > 0).select("doc_id", "sketch").dropDuplicates(["doc_id"])
     led = _led(nodes.select("doc_id", "size", F.explode("bands").alias("g")).dropDuplicates(["g", "doc_id"]))
-    labels, first = components(written(_verify(_pairs(led), docs, sketches, size, threshold))), True
-    while (found := _split(led, docs, labels, first, size, threshold)) is not None:
-        groups, pairs = found
-        led, first = _led(groups), False
-        extra = written(_verify(_pairs(led).unionByName(pairs).distinct(), docs, sketches, size, threshold))
+    texts = written(docs.join(led.select("doc_id").distinct(), "doc_id", "left_semi"))
+    labels, first = components(written(_verify(_pairs(led), texts, sketches, size, threshold))), True
+    while (found := _split(led, texts, labels, first, size, threshold)) is not None:
+        groups, pairs, texts = found
+        if groups.isEmpty() and pairs.isEmpty():
+            break
+        led, first = _led(groups, SMALL), False
+        extra = written(_verify(_pairs(led).unionByName(pairs).distinct(), texts, sketches, size, threshold))
         if not extra.isEmpty():
             labels = _joined(labels, components(_between(extra, labels)))
     node = hashed.select("doc_id", "key").join(classes, "key", "left").withColumn("node", F.coalesce("node", "doc_id"))
