@@ -40,7 +40,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
-    out = mixing.score(docs, *mixing.learn(docs.filter(~held_out)))
+    out = mixing.score(docs, *mixing.learn(docs.filter(~held_out)), ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 

@@ -93,7 +93,11 @@ class Words:
         return np.diff(self.offsets)
 
     def hashes(self) -> np.ndarray:
-        return _ranges(_BYTE[self.raw], _P, self.starts, self.ends)
+        return self.range_hashes(self.starts, self.ends)
+
+    def range_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of bytes starts..ends, as of a word."""
+        return _ranges(_BYTE[self.raw], _P, starts, ends)
 
     def hashes_less_a_letter(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the words numbered at, each once without each of its letters: place in at, and the hash of what is left."""
