@@ -10,7 +10,7 @@ is looked at with twice the length, until the full length is reached:
    to the left. What occurs once is dropped again. This repeats up to half the full length.
 3. Full windows whose every level survived are fingerprinted; the first occurrence of each stays.
 
-At each level the texts are dealt out by row, and go to their survivors; all other shuffles carry fingerprints and
+From the second level on the texts are dealt out to meet their survivors; all other shuffles carry fingerprints and
 positions, and what a level shuffled goes once its survivors are written. Counts combine before the shuffle, and rows come back to their key by a join that AQE may split,
 so a passage shared by a third of all documents makes no task that holds it whole.
 
@@ -115,7 +115,7 @@ def _full_rows(length: int, base: int):
         alive = np.where(by_right, _marks(piece, found, "right", False)[found.anchor], _marks(piece, found, "left", False)[found.anchor])
         start = found.full[alive]
         doc = np.searchsorted(found.words.offsets, start, side="right") - 1
-        return pa.record_batch([pa.array(signed(window_hashes(found.hashes, start, length))), piece.column("r").take(pa.array(doc)), piece.column("doc_id").take(pa.array(doc)), pa.array((start - found.doc_start[doc]).astype(np.int32))], ["h", "r", "doc_id", "at"])
+        return pa.record_batch([pa.array(signed(window_hashes(found.hashes, start, length))), piece.column("tag").take(pa.array(doc)), piece.column("doc_id").take(pa.array(doc)), pa.array((start - found.doc_start[doc]).astype(np.int32))], ["h", "tag", "doc_id", "at"])
 
     return rows
 
@@ -134,24 +134,25 @@ def _by_row(rows: DataFrame) -> DataFrame:
     return rows.groupBy("r").agg(side(False).alias("right"), side(True).alias("left"))
 
 
-def later_windows(dealt: DataFrame, length: int = LENGTH, base: int = BASE) -> DataFrame:
-    """r, doc_id, starts: the windows of each row whose word sequence starts earlier somewhere.
+def later_windows(texts: DataFrame, length: int = LENGTH, base: int = BASE) -> DataFrame:
+    """doc_id, tag, starts: the windows of each row whose word sequence starts earlier somewhere.
 
-    dealt has doc_id, text and r, a fingerprint of both. length is base times a power of two.
+    texts has doc_id, text, r (a fingerprint of both) and tag (half of it, to tell rows of a doc_id apart). length is base
+    times a power of two.
     """
     if base < 1 or length % base or (length // base) & (length // base - 1) or length < 2 * base:
         raise ValueError("length must be base times 2, 4, 8, ...")
-    rows = dealt.filter(F.col("doc_id").isNotNull())
-    survivors = written(_by_row(_repeated(map_pieces(rows, _anchor_rows(length, base), "h long, r long, at int"))))
+    rows = texts.filter(F.col("doc_id").isNotNull())
+    survivors = written(_by_row(_repeated(map_pieces(rows.select("r", "text"), _anchor_rows(length, base), "h long, r long, at int"))))
     level = 2 * base
     while level < length:
-        extended = map_pieces(rows.drop("doc_id").join(survivors, "r"), _extended_rows(length, base, level), "h long, r long, at int, is_left boolean")
+        extended = map_pieces(rows.select("r", "text").join(survivors, "r"), _extended_rows(length, base, level), "h long, r long, at int, is_left boolean")
         last, survivors = survivors, written(_by_row(_repeated(extended)))
         dropped(last)
         level *= 2
-    full = map_pieces(rows.join(survivors, "r"), _full_rows(length, base), "h long, r long, doc_id long, at int")
+    full = map_pieces(rows.join(survivors, "r"), _full_rows(length, base), "h long, tag int, doc_id long, at int")
     first = full.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = written(full.join(first, "h").filter(F.struct("doc_id", "at") > F.col("first")).groupBy("r", "doc_id").agg(F.collect_set("at").alias("starts")))
+    later = written(full.join(first, "h").filter(F.struct("doc_id", "at") > F.col("first")).groupBy("doc_id", "tag").agg(F.collect_set("at").alias("starts")))
     dropped(survivors)
     return later
 
@@ -190,9 +191,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, base: int = BASE, kee
 
     whole: a document that loses nothing keeps its text as it is.
     """
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    row, doc_id = F.struct(*keep) if keep else F.struct("doc_id"), F.col("doc_id").cast("long").alias("doc_id")
-    dealt = docs.select(doc_id, F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("r"), row.alias("row")).repartition(partitions, "r")
-    starts = later_windows(dealt.drop("row"), length, base)
-    out = map_pieces(dealt.join(starts, ["r", "doc_id"], "left"), _kept(length, whole), f"row {dealt.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    row, doc_id, r = F.struct(*keep) if keep else F.struct("doc_id"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text")
+    texts = docs.select(doc_id, F.coalesce("text", F.lit("")).alias("text"), r.alias("r"), r.bitwiseAND(0x7FFFFFFF).cast("int").alias("tag"), row.alias("row"))
+    starts = later_windows(texts.drop("row"), length, base)
+    out = map_pieces(texts.drop("r").join(starts, ["doc_id", "tag"], "left"), _kept(length, whole), f"row {texts.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string")
     return out.select("row.*", "n_words", "n_removed", "kept")
