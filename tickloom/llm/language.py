@@ -20,6 +20,8 @@ from .text import map_pieces
 DEPTH = 300
 UNKNOWN = "und"
 _BITS = 17
+#: Bytes of text whose n-grams are counted at once: each byte takes some 200.
+PIECE = 1 << 18
 _letters: list[np.ndarray] = []
 
 
@@ -121,16 +123,17 @@ def _predictor(shared):
 def learn_profiles(training: DataFrame, depth: int = DEPTH) -> Profiles:
     """Profiles of the languages of text, lang rows; depth n-grams a language come to the driver."""
     rows = training.select("text", "lang").filter("text is not null and lang is not null")
-    counts = map_pieces(rows, _training_rows, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_pieces(rows, _training_rows, "lang string, gram long, n long", most=PIECE).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counts.withColumn("place", F.row_number().over(by) - 1).filter(F.col("place") < depth)
-    return Profiles(top.select("lang", "gram", "place").collect(), depth)
+    # a limit that Spark knows to keep before the exchange, too
+    top = counts.withColumn("i", F.row_number().over(by)).filter(F.col("i") <= depth)
+    return Profiles(top.select("lang", "gram", (F.col("i") - 1).alias("place")).collect(), depth)
 
 
 def identify(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None) -> DataFrame:
     """doc_id (or the columns of `keep`), lang_pred, score for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     if keep is None:
-        return map_pieces(docs.select("doc_id", "text"), _predictor(shared), "doc_id long, lang_pred string, score double")
+        return map_pieces(docs.select("doc_id", "text"), _predictor(shared), "doc_id long, lang_pred string, score double", most=PIECE)
     rows = docs.select(F.struct(*keep).alias("row"), "text")
-    return map_pieces(rows, _predictor(shared), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    return map_pieces(rows, _predictor(shared), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double", most=PIECE).select("row.*", "lang_pred", "score")

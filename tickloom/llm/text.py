@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once (a longer text is still taken whole).
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 U = np.uint64
 
