@@ -14,7 +14,7 @@ def family() -> F.Column:
 
 
 def clean(msg: DataFrame, c: Config = CONFIG) -> DataFrame:
-    """In-window rows of event types 1 to 5 with price, family and bin_id."""
+    """Rows in the grid, of event types 1 to 5 with price, family and bin_id."""
     keep = F.col("bin_idx").between(0, c.bins - 1) & F.col("event_type").between(1, 5)
     return msg.filter(keep).select("asset", "row_idx", "bin_idx", (F.col("bin_idx") + 1).alias("bin_id"), "event_type", family().alias("event_family"), "size", (F.col("price_int") / 10000).alias("price"), "direction")
 

@@ -6,16 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, Config
-from ..sources.market import levels
 from .bins import carry_forward
 
 
-def binned_book(msg: DataFrame, c: Config = CONFIG) -> DataFrame:
-    """asset, bin_idx, h, prices in ticks, sizes, and whether the level is valid; only rows that some bin holds get levels."""
-    held = carry_forward(msg, c).join(msg.select(F.col("row_idx").alias("last_row"), "k"), "last_row")
-    x = levels(held.withColumnRenamed("last_row", "row_idx"), c)
+def wanted_rows(msg: DataFrame, c: Config = CONFIG) -> DataFrame:
+    """row_idx of the messages that some bin holds: assets x bins at most."""
+    return carry_forward(msg, c).select(F.col("last_row").alias("row_idx")).distinct()
+
+
+def binned_book(msg: DataFrame, book: DataFrame, c: Config = CONFIG) -> DataFrame:
+    """asset, bin_idx, h, row_idx, prices in ticks, sizes, and whether the level is valid. book: row_idx, h, ask_p, ask_q, bid_p, bid_q.
+
+    Row i of the book belongs to message i; where files hold several tickers, both have an asset too.
+    """
+    held = carry_forward(msg, c).withColumnRenamed("last_row", "row_idx")
+    x = held.join(book, ["asset", "row_idx"] if "asset" in book.columns else "row_idx")
     valid = (F.col("ask_p").between(1, 9999999998)) & (F.col("bid_p") > 0) & (F.col("ask_q") > 0) & (F.col("bid_q") > 0) & (F.col("ask_p") > F.col("bid_p"))
-    return x.withColumn("valid", valid).drop("k")
+    return x.withColumn("valid", valid)
 
 
 def assert_best(book: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG, Config
 
+#: The penalties that are tried.
 RIDGE_ALPHAS = (1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0)
 LASSO_ALPHAS = (1e-7, 1e-6, 1e-5, 1e-4, 1e-3)
 
@@ -42,12 +43,12 @@ def legacy_predicted(std: DataFrame, near: DataFrame, theta: np.ndarray) -> Data
     return d.select("asset", "bin_idx", (F.col("d") * float(theta.sum())).alias("pred"))
 
 
-def metrics(rows: DataFrame, c: Config = CONFIG) -> DataFrame:
-    """mse, mae, da, sharpe of rows (bin_idx, y, pred)."""
+def metrics(rows: DataFrame, c: Config = CONFIG, *keys: str) -> DataFrame:
+    """mse, mae, da, sharpe of rows (bin_idx, y, pred), for each of the keys."""
     e = F.col("pred") - F.col("y")
     hit = F.when(F.col("y") != 0, (F.signum("pred") == F.signum("y")).cast("double"))
-    per_bin = rows.groupBy("bin_idx").agg(F.count("*").alias("n"), F.sum(e * e).alias("se"), F.sum(F.abs(e)).alias("ae"), F.sum(hit).alias("hits"), F.count(hit).alias("signs"), (F.sum(F.col("pred") * F.col("y")) / (F.sum(F.abs("pred")) + c.tiny)).alias("pnl"))
-    return per_bin.agg((F.sum("se") / F.sum("n")).alias("mse"), (F.sum("ae") / F.sum("n")).alias("mae"), F.try_divide(F.sum("hits"), F.sum("signs")).alias("da"), (F.avg("pnl") / (F.stddev_pop("pnl") + c.tiny)).alias("sharpe"))
+    per_bin = rows.groupBy(*keys, "bin_idx").agg(F.count("*").alias("n"), F.sum(e * e).alias("se"), F.sum(F.abs(e)).alias("ae"), F.sum(hit).alias("hits"), F.count(hit).alias("signs"), (F.sum(F.col("pred") * F.col("y")) / (F.sum(F.abs("pred")) + c.tiny)).alias("pnl"))
+    return per_bin.groupBy(*keys).agg((F.sum("se") / F.sum("n")).alias("mse"), (F.sum("ae") / F.sum("n")).alias("mae"), F.try_divide(F.sum("hits"), F.sum("signs")).alias("da"), (F.avg("pnl") / (F.stddev_pop("pnl") + c.tiny)).alias("sharpe"))
 
 
 def design(std: DataFrame, near: DataFrame, y: DataFrame) -> DataFrame:

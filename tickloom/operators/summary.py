@@ -27,15 +27,11 @@ def ablation(base: DataFrame, feature: DataFrame, graph: DataFrame) -> DataFrame
 
 
 def verdicts(table: DataFrame) -> DataFrame:
+    """Whose robust models lose less under attack than the plain one, and what they cost without one."""
     f, g = F.col("feature_gain") > 0, F.col("graph_gain") > 0
-    text = F.when(g & ~f, "graph robust improves; feature robust does not").when(g & f, "both feature and graph robustness improve degradation").when(f, "feature robust improves; graph robust does not").otherwise("neither robust variant improves degradation")
-    return table.select("tau", f.alias("feature_gain_positive"), g.alias("graph_gain_positive"), (F.col("feature_robust_clean_mse") - F.col("erm_clean_mse_reference")).alias("clean_tradeoff_feature"), (F.col("graph_robust_clean_mse") - F.col("erm_clean_mse_reference")).alias("clean_tradeoff_graph"), text.alias("verdict"))
-
-
-def check(rows: DataFrame, name: str, observed: Column, expected: Column) -> DataFrame:
-    """name, status, observed, expected of an aggregate."""
-    x = rows.agg(observed.cast("double").alias("observed"), expected.cast("double").alias("expected"))
-    return x.select(F.lit(name).alias("name"), F.when(F.col("observed") == F.col("expected"), "PASS").otherwise("FAIL").alias("status"), "observed", "expected")
+    text = F.when(f & g, "both").when(g, "graph").when(f, "feature").otherwise("neither")
+    cost = lambda kind: (F.col(f"{kind}_robust_clean_mse") - F.col("erm_clean_mse_reference")).alias(f"clean_cost_{kind}")
+    return table.select("tau", cost("feature"), cost("graph"), text.alias("robustness_pays"))
 
 
 def cell(value: object) -> str:

@@ -1,82 +1,110 @@
-"""Adversarial training of a grid of models: one task a cell, over the packed tensor of the time grid.
+"""Adversarial training of a grid of linear models, all cells side by side over the panel.
 
-The tensor has bins x assets x 51 numbers whatever the number of messages (the grid is fixed), so it is broadcast.
+Each step is one job: executors attack the cells' current batches and sum the gradients over their bins; the sums, some
+numbers a cell, come to the driver, which moves the parameters. Warm start and validation use the panel's moments.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from ..config import CONFIG, Config
-from .attacks import feature_attack, products, project_graph
+from . import models
+from .attacks import GraphLoss, feature_attack
+from .panel import Bins, moments, pooled, sums
 
 RHOS, STEPS = (0.01, 0.05, 0.1), (1, 3)
+BATCH, RATE, DECAY, WARM = 512, 0.03, 1e-4, 1e-2
 
 
-def cells(taus: tuple[int, ...] = CONFIG.taus, rhos: tuple[float, ...] = RHOS, steps: tuple[int, ...] = STEPS) -> list[tuple[int, float, int]]:
+class Cell:
+    """One model of the grid: horizon, radius and steps of the attack it is trained against, and its state."""
+
+    def __init__(self, number: int, tau: int, rho: float, steps: int, seed: int, c: Config = CONFIG):
+        self.number, self.tau, self.rho, self.steps = number, tau, rho, steps
+        self.rng, self.best = np.random.default_rng(seed + tau + int(1000 * rho) + steps), np.inf
+        self.bins = np.arange(*c.split("train", tau))
+
+    def deal(self, size: int, c: Config = CONFIG) -> int:
+        """A new order of the training bins; the number of batches."""
+        self.batch = np.full(c.bins, -1, np.int32)
+        self.batch[self.rng.permutation(self.bins)] = np.arange(len(self.bins)) // size
+        return -(-len(self.bins) // size)
+
+    def move(self, gradient: np.ndarray, rate: float, decay: float, c: Config = CONFIG) -> None:
+        """A step against the gradient with decay (not of the intercept); gradients longer than 1 are cut to 1."""
+        full = gradient + 2 * decay * np.append(self.theta[:-1], 0)
+        self.theta = self.theta - rate * full / max(1.0, float(np.linalg.norm(full)))
+
+    def judge(self, error: float) -> None:
+        if error < self.best:
+            self.best, self.kept = error, self.theta.copy()
+
+
+def grid(taus: tuple[int, ...] = CONFIG.taus, rhos: tuple[float, ...] = RHOS, steps: tuple[int, ...] = STEPS) -> list[tuple[int, float, int]]:
     """(tau, rho, steps): the plain model, then each rho with each number of steps."""
     return [(t, r, s) for t in taus for r, s in [(0.0, 1), *((r, s) for r in rhos for s in steps)]]
 
 
-def _design(x: np.ndarray, g: np.ndarray) -> np.ndarray:
-    return np.concatenate([x, np.einsum("ij,tjd->tid", g, x), np.ones((*x.shape[:2], 1))], 2)
+def _picked(bins: Bins, cell: Cell, k: int) -> np.ndarray:
+    return np.flatnonzero((cell.batch[bins.bin] == k) & np.isfinite(bins.y[cell.tau]).all(1))
 
 
-def train_cell(x: np.ndarray, y: np.ndarray, g: np.ndarray, kind: str, tau: int, rho: float, steps: int, epochs: int, seed: int, batch: int = 512, rate: float = 0.03, decay: float = 1e-4, c: Config = CONFIG) -> tuple[np.ndarray, float]:
-    """theta of the best epoch by validation error, and that error. x: bins, assets, features; y: bins, assets (NaN at the end)."""
-    d, rng = c.features, np.random.default_rng(seed + tau + int(1000 * rho) + steps)
-    train, val = (np.arange(*c.split(s, tau)) for s in ("train", "val"))
-    a = _design(x[train], g).reshape(-1, 2 * d + 1)
-    penalty = np.full(2 * d + 1, 1e-2)
-    penalty[-1] = 0
-    theta = np.linalg.solve(a.T @ a + np.diag(penalty), a.T @ y[train].ravel())
-    best, best_error = theta.copy(), np.inf
-    for _ in range(epochs):
-        order = rng.permutation(train)
-        for at in range(0, len(order), batch):
-            idx = order[at : at + batch]
-            idx = idx[np.isfinite(y[idx]).all(1)]
-            if not len(idx):
+def _gradients(rows: DataFrame, cells: list[Cell], k: int, kind: str, g: np.ndarray, deltas: dict[int, np.ndarray], c: Config) -> dict[int, np.ndarray]:
+    """Of each cell the gradient of the mean squared error of its batch k, under attack."""
+    d = c.features
+
+    def per(bins: Bins):
+        for cell in cells:
+            at = _picked(bins, cell, k)
+            if not len(at):
                 continue
-            xb, yb, gb = x[idx], y[idx], g
-            s, p = xb @ theta[:d], xb @ theta[d : 2 * d]
+            x, y, w0, w1 = bins.x[at], bins.y[cell.tau][at], cell.theta[:d], cell.theta[d : 2 * d]
+            around = g + deltas.get(cell.number, 0)
             if kind == "feature":
-                u, v = feature_attack(s, p, yb, g, theta, rho, steps, yb.size, c)
-                xb = xb + u[..., None] * theta[:d] + v[..., None] * theta[d : 2 * d]
-            elif rho > 0:
-                delta, e0 = np.zeros_like(g), s + theta[-1] - yb
-                for _ in range(steps):
-                    step = 2 / yb.size * (e0 + p @ (g + delta).T).T @ p
-                    step = (step + step.T) / 2
-                    np.fill_diagonal(step, 0)
-                    delta = project_graph(delta + rho / steps * step / (np.linalg.norm(step) + c.tiny), g, rho, c)
-                gb = g + delta
-            full = _design(xb, gb)
-            error = full @ theta - yb
-            step = 2 * np.einsum("tnp,tn->p", full, error) / error.size
-            step[:-1] += 2 * decay * theta[:-1]
-            size = np.linalg.norm(step)
-            theta = theta - rate * (step / (size + c.tiny) if size > 1 else step)
-        error = float(np.mean((_design(x[val], g) @ theta - y[val]) ** 2))
-        if error < best_error:
-            best, best_error = theta.copy(), error
-    return best, best_error
-
-
-def train_grid(spark: SparkSession, x: np.ndarray, y: dict[int, np.ndarray], g: np.ndarray, kind: str, grid: list[tuple[int, float, int]], epochs: int, seed: int) -> DataFrame:
-    """kind ("feature" or "graph"), tau, rho, r_adv, val_mse, theta of each cell."""
-    shared = spark.sparkContext.broadcast((x, y, g))
-
-    def one(cell: pd.DataFrame) -> pd.DataFrame:
-        x, y, g = shared.value
-        tau, rho, steps = int(cell["tau"][0]), float(cell["rho"][0]), int(cell["r_adv"][0])
-        theta, error = train_cell(x, y[tau], g, kind, tau, rho, steps, epochs, seed)
-        return pd.DataFrame({"kind": [kind], "tau": [tau], "rho": [rho], "r_adv": [steps], "val_mse": [error], "theta": [theta.tolist()]})
-
-    rows = spark.createDataFrame(grid, "tau int, rho double, r_adv int")
-    return rows.repartition(len(grid)).groupBy("tau", "rho", "r_adv").applyInPandas(one, "kind string, tau int, rho double, r_adv int, val_mse double, theta array<double>")
-
-
-__all__ = ["cells", "products", "train_cell", "train_grid"]
+                a, b = feature_attack(x @ w0, x @ w1, y, g, cell.theta, cell.rho, cell.steps, int((cell.batch == k).sum()) * c.assets, c)
+                x = x + a[..., None] * w0 + b[..., None] * w1
+            error = x @ w0 + (x @ w1) @ around.T + cell.theta[-1] - y
+            back = error @ around
+            yield (cell.number,), np.concatenate([np.einsum("ta,tad->d", error, x), np.einsum("ta,tad->d", back, x), [error.sum(), error.size]])
+
+    return {number: 2 * v[:-1] / v[-1] for (number,), v in sums(rows, "cell long", per, c).items()}
+
+
+def graph_losses(rows: DataFrame, cells: list[tuple[int, int, np.ndarray]], picked, c: Config = CONFIG) -> dict[int, GraphLoss]:
+    """Of each cell (number, tau, theta) the loss as a function of the graph; picked(bins, number): the bins it is over."""
+    d, n = c.features, c.assets
+
+    def per(bins: Bins):
+        for number, tau, theta in cells:
+            at = picked(bins, number)
+            if len(at):
+                e, p = bins.x[at] @ theta[:d] + theta[-1] - bins.y[tau][at], bins.x[at] @ theta[d : 2 * d]
+                yield (number,), np.concatenate([(e.T @ p).ravel(), (p.T @ p).ravel(), [(e * e).sum(), e.size]])
+
+    return {k: GraphLoss(v[: n * n].reshape(n, n), v[n * n : -2].reshape(n, n), v[-2], v[-1]) for (k,), v in sums(rows, "cell long", per, c).items()}
+
+
+def train(rows: DataFrame, g: np.ndarray, kind: str, epochs: int, seed: int, cells: list[tuple[int, float, int]] | None = None, c: Config = CONFIG) -> list[Cell]:
+    """The cells after training; kept: theta of the best epoch by validation error, best: that error. kind: feature or graph."""
+    of, columns = moments(rows, c), np.arange(2 * c.features + 1)
+    trained = [Cell(i, *cell, seed, c) for i, cell in enumerate(cells or grid(c.taus))]
+    for cell in trained:
+        cell.theta = models.ridge(pooled(of["train", cell.tau], g, c), WARM, columns)
+    checked = {tau: pooled(of["val", tau], g, c) for tau in c.taus}
+    for _ in range(epochs):
+        batches = max(cell.deal(BATCH, c) for cell in trained)
+        for k in range(batches):
+            deltas = {}
+            if kind == "graph":
+                attacked = {cell.number: cell for cell in trained if cell.rho > 0}
+                losses = graph_losses(rows, [(i, cell.tau, cell.theta) for i, cell in attacked.items()], lambda bins, i, k=k, attacked=attacked: _picked(bins, attacked[i], k), c)
+                deltas = {i: loss.attack(g, attacked[i].rho, attacked[i].steps, c) for i, loss in losses.items()}
+            gradients = _gradients(rows, trained, k, kind, g, deltas, c)
+            for cell in trained:
+                if cell.number in gradients:
+                    cell.move(gradients[cell.number], RATE, DECAY, c)
+        for cell in trained:
+            cell.judge(models.mse_of(checked[cell.tau], cell.theta))
+    return trained

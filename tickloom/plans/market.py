@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG as C
 from ..functions.lineage import stage
-from ..operators import attacks, bins, book, features, graphs, models, summary, training
-from ..sources import market
+from ..operators import attacks, bins, book, evaluation, features, gates, graphs, models, summary, training
+from ..operators.panel import panel
+from ..operators.selection import best_of_tau, selection
+from ..sources import logs
+from . import fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 RESULTS = [(1, 0.0, 1, 3.0, 0.9, 2.0), (1, 0.05, 1, 3.1, 0.7, 1.8), (1, 0.1, 3, 3.2, 0.7, 1.7), (2, 0.0, 1, 4.0, 0.5, 1.0), (2, 0.05, 1, 4.5, 0.6, 0.9), (2, 0.1, 1, 4.1, 0.8, 1.2), (10, 0.0, 1, 5.0, 0.4, 3.0), (10, 0.1, 3, 5.5, 0.4, 2.5)]
@@ -31,12 +34,12 @@ class Market:
     """The pipeline's stages on one folder of tables, each built when asked for; those that many stages read are written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.msg = spark, market.messages(spark, sf_dir)
+        self.spark, self.msg = spark, fixture.messages(spark, sf_dir)
         self.theta = models.fixed_theta()
 
     @cached_property
     def book(self) -> DataFrame:
-        return stage(book.binned_book(self.msg))
+        return stage(book.binned_book(self.msg, fixture.book(self.msg, book.wanted_rows(self.msg))))
 
     @property
     def mids(self) -> DataFrame:
@@ -99,15 +102,40 @@ class Market:
         std = self.split(self.std, split, tau)
         return models.design(std, graphs.neighbours(std, g), self.y(tau))
 
-    def tensor(self) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-        """The standardised features and targets on the fixed grid, for training."""
-        rows = self.std.groupBy("asset", "bin_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "x"))), lambda e: e["x"]).alias("x")).toArrow()
-        x = np.zeros((C.bins, C.assets, C.features))
-        x[rows.column("bin_idx").to_numpy(), rows.column("asset").to_numpy()] = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, C.features)
-        y = {t: np.full((C.bins, C.assets), np.nan) for t in C.taus}
-        for r in features.targets(self.mids).filter("y is not null").select("asset", "bin_idx", "tau", "y").toArrow().to_pylist():
-            y[r["tau"]][r["bin_idx"], r["asset"]] = r["y"]
-        return x, y
+    @cached_property
+    def panel(self) -> DataFrame:
+        """One row a bin with all assets' features and targets."""
+        return stage(panel(self.std, features.targets(self.mids)))
+
+    def matrices(self) -> dict[str, np.ndarray]:
+        """The unsigned graphs with rows summing to 1, on the driver: assets x assets numbers each."""
+        out: dict[str, np.ndarray] = {}
+        for r in graphs.row_normalized(self.variants()).filter("graph like '%abs%'").orderBy("graph").collect():
+            out.setdefault(r["graph"], np.zeros((C.assets, C.assets)))[r["src"], r["dst"]] = r["w"]
+        return out
+
+    @cached_property
+    def selected(self) -> DataFrame:
+        return stage(selection(self.panel, self.matrices()))
+
+    def symmetric(self) -> DataFrame:
+        return graphs.row_normalized_symmetric(self.graph())
+
+    @cached_property
+    def feature_robust(self) -> DataFrame:
+        g = self.matrix(self.graph())
+        return stage(evaluation.evaluate_features(self.panel, training.train(self.panel, g, "feature", 6, 11), g))
+
+    @cached_property
+    def graph_robust(self) -> DataFrame:
+        g = self.matrix(self.symmetric())
+        return stage(evaluation.evaluate_graphs(self.panel, training.train(self.panel, g, "graph", 7, 23), g))
+
+    def final(self) -> DataFrame:
+        """Selected, feature-robust and graph-robust models side by side per horizon."""
+        best = best_of_tau(self.selected).select("tau", F.col("model").alias("best_model"), F.col("graph").alias("best_graph"), F.col("mse").alias("best_clean_mse"), F.col("da").alias("best_da"))
+        robust = [summary.robust_vs_plain(x.withColumn("deg_mse", F.col("deg_mse_r010"))) for x in (self.feature_robust, self.graph_robust)]
+        return summary.ablation(best, *robust)
 
 
 @query
@@ -120,61 +148,78 @@ def flagship(spark, sf_dir):
 
 @query
 def clean_messages(spark, sf_dir):
-    return bins.clean(market.messages(spark, sf_dir))
+    return bins.clean(fixture.messages(spark, sf_dir))
 
 
 @query
 def event_type_counts(spark, sf_dir):
-    return market.messages(spark, sf_dir).groupBy("asset", "event_type").agg(F.count("*").alias("n"))
+    return fixture.messages(spark, sf_dir).groupBy("asset", "event_type").agg(F.count("*").alias("n"))
 
 
 @query
 def family_volume(spark, sf_dir):
-    return market.messages(spark, sf_dir).groupBy(bins.family().alias("event_family")).agg(F.count("*").alias("n"), F.sum("size").alias("volume"))
+    return fixture.messages(spark, sf_dir).groupBy(bins.family().alias("event_family")).agg(F.count("*").alias("n"), F.sum("size").alias("volume"))
 
 
 @query
 def bin_event_summary(spark, sf_dir):
-    return bins.bin_event_summary(market.messages(spark, sf_dir))
+    return bins.bin_event_summary(fixture.messages(spark, sf_dir))
 
 
 @query
 def event_bins(spark, sf_dir):
-    return bins.clean(market.messages(spark, sf_dir)).groupBy("asset").agg(F.countDistinct("bin_idx").alias("bins"))
+    return bins.clean(fixture.messages(spark, sf_dir)).groupBy("asset").agg(F.countDistinct("bin_idx").alias("bins"))
 
 
 @query
 def any_asset_bins(spark, sf_dir):
-    return bins.clean(market.messages(spark, sf_dir)).agg(F.countDistinct("bin_idx").alias("bins"))
+    return bins.clean(fixture.messages(spark, sf_dir)).agg(F.countDistinct("bin_idx").alias("bins"))
 
 
 @query
 def duplicate_rows(spark, sf_dir):
-    return market.messages(spark, sf_dir).groupBy("row_idx").agg(F.count("*").alias("n")).filter("n > 1")
+    return fixture.messages(spark, sf_dir).groupBy("row_idx").agg(F.count("*").alias("n")).filter("n > 1")
 
 
 @query
 def book_sample_audit(spark, sf_dir):
-    x = market.levels(market.messages(spark, sf_dir).filter("row_idx < 500").select("row_idx", "k")).filter("h = 1")
+    x = fixture.levels(fixture.messages(spark, sf_dir).filter("row_idx < 500").select("row_idx", "k")).filter("h = 1")
     a, b = F.col("ask_p") / 10000, F.col("bid_p") / 10000
-    return x.agg(F.count("*").alias("sample_rows"), F.round(F.min(a), 6).alias("ask1_min"), F.round(F.min(b), 6).alias("bid1_min"), F.round(F.min(a - b), 6).alias("spread_min"), F.round(F.median(a - b), 6).alias("spread_median"))
+    return x.agg(F.count("*").alias("sample_rows"), F.round(F.min(a), 6).alias("ask1_min"), F.round(F.min(b), 6).alias("bid1_min"), F.round(F.min(a - b), 6).alias("spread_min"), F.round(F.median(a - b), 6).alias("spread_median"), F.bool_and((F.col("ask_q") > 0) & (F.col("bid_q") > 0)).alias("sizes_positive"))
 
 
 @query
 def last_row_per_bin(spark, sf_dir):
-    return bins.last_row_per_bin(market.messages(spark, sf_dir))
+    return bins.last_row_per_bin(fixture.messages(spark, sf_dir))
 
 
 @query
 def carry_forward_grid(spark, sf_dir):
-    return bins.carry_forward(market.messages(spark, sf_dir))
+    return bins.carry_forward(fixture.messages(spark, sf_dir))
 
 
 @query
 def selected_book_rows(spark, sf_dir):
-    msg = market.messages(spark, sf_dir)
-    wanted = bins.carry_forward(msg).select(F.col("last_row").alias("row_idx")).distinct()
-    return market.levels(msg.select("row_idx", "k").join(wanted, "row_idx", "left_semi")).drop("k")
+    msg = fixture.messages(spark, sf_dir)
+    return fixture.book(msg, book.wanted_rows(msg))
+
+
+@query
+def message_book_counts(spark, sf_dir):
+    """Messages and book rows of each asset; raises where they differ."""
+    msg = fixture.messages(spark, sf_dir)
+    named = msg.withColumn("ticker", F.concat(F.lit("A"), F.col("asset").cast("string")))
+    return logs.counts_match(named, fixture.book(msg).filter("h = 1").join(named.select("row_idx", "ticker"), "row_idx"))
+
+
+@query
+def ticker_stats(spark, sf_dir):
+    """Statistics in a fixed order of tickers; a ticker without any has zeros."""
+    msg = fixture.messages(spark, sf_dir)
+    tickers = spark.range(C.assets).select(F.col("id").cast("int").alias("asset"), (F.col("id") + 1).alias("ord"), F.concat(F.lit("A"), F.col("id").cast("string")).alias("ticker"))
+    per = msg.groupBy("asset").agg(F.count("*").alias("message_rows"))
+    events = bins.clean(msg).groupBy("asset").agg(F.countDistinct("bin_idx").alias("event_bins"))
+    return tickers.join(per, "asset", "left").join(events, "asset", "left").na.fill(0).drop("asset")
 
 
 @query
@@ -220,6 +265,8 @@ def asset_feature_summary(spark, sf_dir):
     m = Market(spark, sf_dir)
     b = m.book
     s = m.mids.groupBy("asset").agg(*(F.round(f(v), 6).alias(n) for n, f, v in (("min_spread", F.min, "spread"), ("median_spread", F.median, "spread"), ("max_spread", F.max, "spread"), ("min_mid", F.min, "mid"), ("max_mid", F.max, "mid"))))
+    moved = " or ".join(f"{x} <> 0" for x in ("size_exe", "traded", *(f"{v}_{k}" for v in ("dp", "q") for k in ("sub", "can", "exe"))))
+    s = s.join(m.flow.groupBy("asset").agg(F.count_if(F.expr(moved)).alias("flow_bins")), "asset")
     return s.join(b.groupBy("asset").agg(F.count_if(~F.col("valid")).alias("invalid_cells")), "asset").join(book.ofi(b).groupBy("asset").agg(F.count_if(F.col("ofi_share") != 0).alias("nonzero_ofi")), "asset")
 
 
@@ -362,6 +409,42 @@ def feature_attack_1step(spark, sf_dir):
     return _round(attacks.feature_step(x, 0.1, 1), a=5, b=5, norm2=8)
 
 
+def _gradient(m: Market) -> DataFrame:
+    g = m.graph()
+    return attacks.feature_gradient(m.scored(g).select("asset", "bin_idx", "e"), g, m.theta)
+
+
+@query
+def project_feature_ball(spark, sf_dir):
+    """The gradients, made large, back into the ball of radius 0.05."""
+    x = _gradient(Market(spark, sf_dir)).select("asset", "bin_idx", (F.col("a") * 1000).alias("a"), (F.col("b") * 1000).alias("b"), (F.col("norm2") * 1e6).alias("norm2"))
+    return _round(attacks.project_features(x, 0.05), a=5, b=5, norm2=8)
+
+
+@query
+def raw_attack_1step(spark, sf_dir):
+    """First of five steps of the older attack."""
+    x = attacks.raw_feature_step(_gradient(Market(spark, sf_dir)), 0.1, 5)
+    return x.select("asset", "bin_idx", *((F.round(F.col(n) * k, 6) + 0.0).alias(n) for n, k in (("a", 1e4), ("b", 1e4), ("norm2", 1e8))))
+
+
+@query
+def graph_attack_1step(spark, sf_dir):
+    m = Market(spark, sf_dir)
+    return _round(attacks.graph_step(attacks.graph_gradient(m.scored(m.graph())), stage(m.symmetric()), 0.1, 7), d=8)
+
+
+@query
+def raw_attack_curve(spark, sf_dir):
+    """Degradation of the fixed model by the older attack of five steps, by radius."""
+    m = Market(spark, sf_dir)
+    g = m.graph()
+    rows, matrix, rhos = m.scored(g), m.matrix(g), (0.05, 0.1)
+    x = attacks.attacked(attacks.packed(rows, "s", "p", "y"), matrix, m.theta, rhos, 5, rows.count(), raw=True)
+    sq = lambda c: F.avg(F.pow(F.col(c) - F.col("y"), 2))
+    return x.groupBy("rho").agg(sq("clean").alias("clean_mse"), sq("pred").alias("mse"), (sq("pred") - sq("clean")).alias("deg_mse"))
+
+
 @query
 def sensitivity_fixed(spark, sf_dir):
     m = Market(spark, sf_dir)
@@ -387,45 +470,76 @@ def robust_vs_erm(spark, sf_dir):
     return _round(summary.robust_vs_plain(_results(spark)).drop("robust_choice"), deg_mse_improvement=8, sensitivity_improvement=8)
 
 
+@query
+def ablation_join(spark, sf_dir):
+    """Three summaries side by side, of literal results."""
+    return _round(_literal_ablation(spark), feature_gain=8, graph_gain=8, sensitivity_improvement=8)
+
+
+@query
+def verdict(spark, sf_dir):
+    """Which kind of robustness pays, of literal results."""
+    return _round(summary.verdicts(_literal_ablation(spark)), clean_cost_feature=8, clean_cost_graph=8)
+
+
+def _literal_ablation(spark: SparkSession) -> DataFrame:
+    r = _results(spark)
+    other = r.select("tau", "rho", "r_adv", (F.col("clean_mse") + F.col("rho")).alias("clean_mse"), (F.col("deg_mse") - F.col("rho") * F.col("tau") + 0.3).alias("deg_mse"), "sensitivity")
+    base = summary.best_by(r, ["tau"], "clean_mse", "rho", "r_adv").select("tau", F.col("clean_mse").alias("best_clean_mse"))
+    return summary.ablation(base, summary.robust_vs_plain(r), summary.robust_vs_plain(other))
+
+
 @query
 def checks(spark, sf_dir):
+    """The gates of raw data, features and graphs."""
     m = Market(spark, sf_dir)
-    a = summary.check(bins.carry_forward(m.msg), "grid_rows", F.count("last_row"), F.lit(C.assets * C.bins))
-    b = summary.check(m.book.filter("h = 1"), "best_level_valid", F.count_if(~F.col("valid")), F.lit(0))
-    c = summary.check(m.feats.groupBy("asset", "bin_idx").count(), "features_per_row", F.max("count"), F.lit(C.features))
-    return a.unionByName(b).unionByName(c)
+    targets = stage(features.targets(m.mids))
+    return gates.stacked(gates.raw(m.msg, fixture.book(m.msg)), gates.features(m.feats, m.std, m.mids, targets, m.msg), gates.graphs(m.std, m.flow, targets, m.variants()))
 
 
-def _fitted(spark: SparkSession, sf_dir: str, fit: Callable, alphas: tuple[float, ...], columns: np.ndarray) -> DataFrame:
-    """alpha, val_mse, mse, chosen: fitted on the training moments, chosen by the validation moments."""
+@query
+def checks_trained(spark, sf_dir):
+    """The gates of selected and trained models, and of the summary."""
     m = Market(spark, sf_dir)
-    g = m.graph()
-    train, val, test = (models.gram_matrix(m.design(g, s)) for s in ("train", "val", "test"))
-    rows = []
-    for i, alpha in enumerate(alphas):
-        theta = fit(train, alpha, columns)
-        rows.append((i, alpha, models.mse_of(val, theta), models.mse_of(test, theta)))
-    best = min(rows, key=lambda r: r[2])[0]
-    return spark.createDataFrame([(a, v, t, i == best) for i, a, v, t in rows], "alpha double, val_mse double, mse double, chosen boolean")
+    older = gates.stacked(gates.baselines(m.selected), gates.edges("04b", stage(m.graph())), gates.robust("04b", m.feature_robust), gates.edges("05", stage(m.symmetric())), gates.robust("05", m.graph_robust, share=0.8, radius=("delta_fro_r010", 0.09, 0.75)))
+    older = stage(older)
+    return older.unionByName(gates.final(m.final(), older))
 
 
-_OWN = np.append(np.arange(C.features), 2 * C.features)
-_ALL = np.arange(2 * C.features + 1)
+@query
+def check_statuses(spark, sf_dir):
+    """One row a step."""
+    return gates.statuses(checks(spark, sf_dir))
 
 
 @query
-def ridge_own(spark, sf_dir):
-    return _fitted(spark, sf_dir, models.ridge, models.RIDGE_ALPHAS, _OWN)
+def selected_models(spark, sf_dir):
+    """Own ridge, own lasso and ridge on six graphs for every horizon: 32 rows with test metrics."""
+    return Market(spark, sf_dir).selected
 
 
 @query
-def lasso_own(spark, sf_dir):
-    return _fitted(spark, sf_dir, models.lasso, models.LASSO_ALPHAS, _OWN)
+def best_models(spark, sf_dir):
+    return best_of_tau(Market(spark, sf_dir).selected)
 
 
 @query
-def graph_ridge(spark, sf_dir):
-    return _fitted(spark, sf_dir, lambda m, a, c: models.ridge(m, a, c, free=False), models.RIDGE_ALPHAS, _ALL)
+def feature_robust(spark, sf_dir):
+    """28 models trained against attacks on features, evaluated clean and attacked."""
+    return Market(spark, sf_dir).feature_robust
+
+
+@query
+def graph_robust(spark, sf_dir):
+    """28 models trained against attacks on the graph, evaluated clean and attacked."""
+    return Market(spark, sf_dir).graph_robust
+
+
+@query
+def robustness_verdict(spark, sf_dir):
+    """The summary of all trained models per horizon."""
+    table = Market(spark, sf_dir).final()
+    return table.join(summary.verdicts(table), "tau")
 
 
 @query
@@ -437,31 +551,7 @@ def attack_curve(spark, sf_dir):
     n = rows.count()
     x = attacks.attacked(attacks.packed(rows, "s", "p", "y"), matrix, m.theta, rhos, 7, n)
     by_feature = x.groupBy("rho").agg((F.avg(F.pow(F.col("pred") - F.col("y"), 2)) - F.avg(F.pow(F.col("clean") - F.col("y"), 2))).alias("deg_mse")).withColumn("kind", F.lit("feature"))
-    moments = attacks.GraphMoments(rows, float(m.theta[-1]))
-    clean = moments.mse(matrix)
-    by_graph = spark.createDataFrame([(r, moments.mse(matrix + moments.attack(matrix, r, 7)) - clean, "graph") for r in rhos], "rho double, deg_mse double, kind string")
+    loss = attacks.graph_loss(rows, float(m.theta[-1]))
+    clean = loss.mse(matrix)
+    by_graph = spark.createDataFrame([(r, loss.mse(matrix + loss.attack(matrix, r, 7)) - clean, "graph") for r in rhos], "rho double, deg_mse double, kind string")
     return by_feature.unionByName(by_graph)
-
-
-def _trained(kind: str, epochs: int, seed: int) -> Callable:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        m = Market(spark, sf_dir)
-        g = m.graph()
-        matrix = m.matrix(g if kind == "feature" else graphs.row_normalized_symmetric(g))
-        x, y = m.tensor()
-        return training.train_grid(spark, x, y, matrix, kind, training.cells(), epochs, seed).drop("theta")
-
-    return run
-
-
-QUERIES["feature_robust_train"] = _trained("feature", 6, 11)
-QUERIES["graph_robust_train"] = _trained("graph", 7, 23)
-
-
-@query
-def verdict(spark, sf_dir):
-    """Summary of both robust families side by side, from literal results."""
-    r = _results(spark)
-    s = summary.robust_vs_plain(r)
-    other = summary.robust_vs_plain(r.withColumn("deg_mse", F.col("deg_mse") * F.col("tau")))
-    return summary.verdicts(summary.ablation(r.select("tau").distinct(), s, other))

@@ -90,6 +90,48 @@ def _rounded(table: str, keys: str, values: dict[str, int], scale: str = "") ->
 
 _METRICS = """SELECT round(avg(e * e), 8) AS mse, round(avg(abs(e)), 8) AS mae, round((sum((sign(pred) = sign(y))::INT) FILTER (y <> 0)) / (count(*) FILTER (y <> 0)), 8) AS da, (SELECT round(avg(pnl) / (stddev_pop(pnl) + 1e-12::DOUBLE), 5) FROM (SELECT bin_idx, sum(pred * y) / (sum(abs(pred)) + 1e-12::DOUBLE) AS pnl FROM {t} GROUP BY ALL)) AS sharpe FROM (SELECT *, pred - y AS e FROM {t})"""
 
+_ROBUST = "(SELECT b.tau, p.clean_mse AS erm_clean_mse, b.clean_mse AS robust_clean_mse, p.deg_mse - b.deg_mse AS gain, p.sensitivity - b.sensitivity AS sens, 'rho=' || b.rho || ',R=' || b.r_adv AS choice FROM (SELECT *, row_number() OVER (PARTITION BY tau ORDER BY deg_mse, rho, r_adv) AS i FROM {t} WHERE rho > 0) b JOIN (SELECT * FROM {t} WHERE rho = 0) p ON p.tau = b.tau WHERE i = 1)"
+_OTHER = "(SELECT tau, rho, r_adv, clean_mse + rho AS clean_mse, deg_mse - rho * tau + 0.3::DOUBLE AS deg_mse, sensitivity FROM res)"
+_ABLATION = f"SELECT f.tau, (SELECT min(clean_mse) FROM res WHERE res.tau = f.tau) AS best_clean_mse, f.robust_clean_mse AS feature_robust_clean_mse, f.gain AS feature_gain, f.choice AS feature_robust_choice, g.erm_clean_mse AS erm_clean_mse_reference, g.robust_clean_mse AS graph_robust_clean_mse, g.gain AS graph_gain, g.sens AS sensitivity_improvement, g.choice AS graph_robust_choice FROM {_ROBUST.format(t='res')} f JOIN {_ROBUST.format(t=_OTHER)} g ON g.tau = f.tau"
+
+
+def _checks(step: str, table: str, checks: list[tuple[str, str, str, str]], prefix: str = "''") -> str:
+    """Rows step, name, status, observed, expected: name, observed, whether right, expected of each check over the rows of table."""
+    packed = ", ".join(f"{{'name': '{n}', 'observed': ({o})::DOUBLE, 'ok': coalesce({ok}, false), 'expected': '{e}'}}" for n, o, ok, e in checks)
+    return f"SELECT '{step}' AS step, prefix || c.name AS name, CASE WHEN c.ok THEN 'PASS' ELSE 'FAIL' END AS status, c.observed AS observed, c.expected AS expected FROM (SELECT {prefix} AS prefix, unnest([{packed}]) AS c FROM ({table}))"
+
+
+def _is(name: str, column: str, value: int) -> tuple[str, str, str, str]:
+    return name, column, f"{column} = {value}", str(value)
+
+
+def _over_zero(name: str, column: str) -> tuple[str, str, str, str]:
+    return name, column, f"{column} > 0", "> 0"
+
+
+def _true(name: str, column: str) -> tuple[str, str, str, str]:
+    return name, f"{column}::INT", column, "1"
+
+
+_BINS = ("bins", "bins BETWEEN 1 AND 720", "1 to bins")
+_CHECKS = [
+    _checks("01", "SELECT asset, count(*) AS message_rows, count(*) AS book_rows, min(bin_idx) AS first_bin, max(bin_idx) AS last_bin, (SELECT count(DISTINCT bin_idx) FROM cln WHERE cln.asset = msg.asset) AS event_bins, 10 AS levels, min(100 * (1 + row_idx % 3)) FILTER (row_idx < 500) / 10000 AS spread_min, coalesce(bool_and(1 + (row_idx * 7 + 13) % 50 > 0 AND 1 + (row_idx * 11 + 17) % 50 > 0) FILTER (row_idx < 500), true) AS sizes FROM msg GROUP BY asset",
+        [_over_zero("message_rows", "message_rows"), ("book_rows", "book_rows", "book_rows = message_rows", "message rows"), ("first_bin", "first_bin", "first_bin BETWEEN 0 AND 719", "in the grid"), ("last_bin", "last_bin", "last_bin BETWEEN 0 AND 719", "in the grid"), _over_zero("event_bins", "event_bins"), _is("levels", "levels", 10), ("sample_spread_positive", "spread_min", "spread_min > 0 OR spread_min IS NULL", "> 0"), _true("sample_best_sizes_positive", "sizes")], "'asset_' || asset || '_'"),
+    _checks("01", "SELECT count(DISTINCT bin_idx) AS bins FROM cln", [("any_asset_event_bins", *_BINS)]),
+    _checks("02", "SELECT 720 AS bins, 504 + 108 + 108 AS split_bins, count(DISTINCT f) AS width FROM feat", [_is("time_bins", "bins", 720), _is("chronological_split", "split_bins", 720), _is("feature_dimension", "width", 51)]),
+    _checks("02", "SELECT asset, count(*) AS v, sum(x) FILTER (f = 50) AS mask, (SELECT count(DISTINCT bin_idx) FROM cln WHERE cln.asset = feat.asset) AS event_bins, (SELECT min(mid) FROM mids WHERE mids.asset = feat.asset) AS mid, (SELECT min(spread) FROM mids WHERE mids.asset = feat.asset) AS spread, bool_and(isfinite(x)) AS fin FROM feat GROUP BY asset",
+        [_is("values", "v", 36720), ("event_bins", "mask", "mask = event_bins", "bins with events"), _over_zero("spread_positive", "spread"), _over_zero("mid_positive", "mid"), _true("features_finite", "fin")], "'asset_' || asset || '_'"),
+    _checks("02", "SELECT count(*) AS v, bool_and(isfinite(x)) AS fin FROM feat", [_is("feature_values", "v", 183600), _true("features_all_finite", "fin")]),
+    _checks("02", "SELECT count(DISTINCT bin_idx) AS bins FROM feat WHERE f = 50 AND x > 0", [("any_asset_event_bins", *_BINS)]),
+    _checks("02", "SELECT count(*) AS v, bool_and(isfinite(x)) AS fin FROM sdz", [_is("standardized_values", "v", 183600), _true("standardized_all_finite", "fin")]),
+    _checks("02", "SELECT max(abs(m)) AS mean, max(abs(s - 1)) FILTER (s > 0.5) AS std FROM (SELECT asset, f, avg(x) AS m, stddev_pop(x) AS s FROM sdz WHERE bin_idx < 504 GROUP BY ALL)", [("train_mean_close_to_zero", "round(mean, 6)", "mean < 1e-4", "< 1e-4"), ("train_std_close_to_one", "round(std, 6)", "coalesce(std, 0) < 1e-4", "< 1e-4")]),
+    _checks("02", "SELECT tau, bool_and(coalesce(isfinite(y), false) OR bin_idx >= 720 - tau) AS y, bool_and(coalesce(isfinite(z), false) OR bin_idx >= 720 - tau) AS z, bool_and(bin_idx < 720 - tau OR (y IS NULL AND z IS NULL)) AS tail FROM tgt GROUP BY tau", [_true("logret_finite", "y"), _true("spread_return_finite", "z"), _true("tail_empty", "tail")], "'tau_' || tau || '_'"),
+    _checks("03", "SELECT count(*) AS v, bool_and(isfinite(x)) AS fin FROM sdz", [_is("standardized_values", "v", 183600), _true("standardized_finite", "fin")]),
+    _checks("03", "SELECT count(*) AS v, bool_and(mask IN (0, 1)) AS b FROM flow", [_is("mask_values", "v", 3600), _true("mask_binary", "b")]),
+    _checks("03", "SELECT tau, count(y) AS there, count(*) AS v FROM tgt GROUP BY tau", [_over_zero("target_exists", "there"), _is("target_values", "v", 3600)], "'tau_' || tau || '_'"),
+    _checks("03", "SELECT graph, count(*) AS edges, bool_and(isfinite(w)) AS fin, max(abs(w)) FILTER (src = dst) AS diagonal FROM vars GROUP BY graph", [_is("edges", "edges", 25), _true("finite", "fin"), ("diagonal_zero", "round(diagonal, 7)", "diagonal < 1e-7", "0")], "'graph_' || graph || '_'"),
+]
+
 ORACLES = {
     name: sql(query)
     for name, query in {
@@ -101,7 +143,7 @@ ORACLES = {
         "event_bins": "SELECT asset, count(DISTINCT bin_idx) AS bins FROM cln GROUP BY ALL",
         "any_asset_bins": "SELECT count(DISTINCT bin_idx) AS bins FROM cln",
         "duplicate_rows": "SELECT row_idx, count(*) AS n FROM msg GROUP BY ALL HAVING count(*) > 1",
-        "book_sample_audit": "SELECT count(*) AS sample_rows, round(min(a), 6) AS ask1_min, round(min(b), 6) AS bid1_min, round(min(a - b), 6) AS spread_min, round(median(a - b), 6) AS spread_median FROM (SELECT (1000000 + k % 7 * 100 + 50 * (1 + row_idx % 3)) / 10000 AS a, (1000000 + k % 7 * 100 - 50 * (1 + row_idx % 3)) / 10000 AS b FROM msg WHERE row_idx < 500)",
+        "book_sample_audit": "SELECT count(*) AS sample_rows, round(min(a), 6) AS ask1_min, round(min(b), 6) AS bid1_min, round(min(a - b), 6) AS spread_min, round(median(a - b), 6) AS spread_median, bool_and(qa > 0 AND qb > 0) AS sizes_positive FROM (SELECT 1 + (row_idx * 7 + 13) % 50 AS qa, 1 + (row_idx * 11 + 17) % 50 AS qb, (1000000 + k % 7 * 100 + 50 * (1 + row_idx % 3)) / 10000 AS a, (1000000 + k % 7 * 100 - 50 * (1 + row_idx % 3)) / 10000 AS b FROM msg WHERE row_idx < 500)",
         "last_row_per_bin": "SELECT * FROM lst",
         "carry_forward_grid": "SELECT * FROM grd",
         "selected_book_rows": "SELECT DISTINCT row_idx, h, ask_p, ask_q, bid_p, bid_q FROM bk",
@@ -117,7 +159,7 @@ ORACLES = {
         "flow_execution": _rounded("flow", "asset, bin_idx", {"size_exe": 4, "dp_exe": 6, "q_exe": 4}),
         "traded_value": _rounded("flow", "asset, bin_idx", {"traded": 3}),
         "event_mask": "SELECT asset, bin_idx, mask FROM flow",
-        "asset_feature_summary": "SELECT asset, round(min(spread), 6) AS min_spread, round(median(spread), 6) AS median_spread, round(max(spread), 6) AS max_spread, round(min(mid), 6) AS min_mid, round(max(mid), 6) AS max_mid, (SELECT count_if(NOT valid) FROM bk WHERE bk.asset = mids.asset) AS invalid_cells, (SELECT count_if(ofi_share <> 0) FROM ofi WHERE ofi.asset = mids.asset) AS nonzero_ofi FROM mids GROUP BY asset",
+        "asset_feature_summary": "SELECT asset, round(min(spread), 6) AS min_spread, round(median(spread), 6) AS median_spread, round(max(spread), 6) AS max_spread, round(min(mid), 6) AS min_mid, round(max(mid), 6) AS max_mid, (SELECT count_if(size_exe <> 0 OR traded <> 0 OR dp_sub <> 0 OR q_sub <> 0 OR dp_can <> 0 OR q_can <> 0 OR dp_exe <> 0 OR q_exe <> 0) FROM flow WHERE flow.asset = mids.asset) AS flow_bins, (SELECT count_if(NOT valid) FROM bk WHERE bk.asset = mids.asset) AS invalid_cells, (SELECT count_if(ofi_share <> 0) FROM ofi WHERE ofi.asset = mids.asset) AS nonzero_ofi FROM mids GROUP BY asset",
         "targets_logret": "SELECT asset, bin_idx, tau, round(y * 10000, 6) + 0.0 AS y_bps FROM tgt",
         "targets_spread": "SELECT asset, bin_idx, tau, round(z, 6) + 0.0 AS z FROM tgt",
         "purged_splits": "SELECT tau, split, count(*) AS bins FROM (SELECT tau, CASE WHEN b < 504 - tau THEN 'train' WHEN b >= 504 AND b < 612 - tau THEN 'val' WHEN b >= 612 AND b < 720 - tau THEN 'test' END AS split FROM range(720) r(b), (VALUES (1), (2), (10), (20)) t(tau)) WHERE split IS NOT NULL GROUP BY ALL",
@@ -147,6 +189,14 @@ ORACLES = {
         "sensitivity_fixed": "SELECT round(avg(n) * 1000, 6) AS sensitivity FROM (SELECT s, avg(norm) AS n FROM (SELECT bin_idx, sqrt(sum(norm2)) AS norm FROM fg GROUP BY ALL) JOIN (SELECT DISTINCT i, 612 + (75 * i) // 7 AS s FROM range(8) r(i)) ON bin_idx >= s AND bin_idx < s + 32 GROUP BY i, s)",
         "best_by_tau": "SELECT tau, rho, r_adv, clean_mse FROM (SELECT *, row_number() OVER (PARTITION BY tau ORDER BY clean_mse, rho, r_adv) AS i FROM res) WHERE i = 1",
         "robust_vs_erm": "SELECT b.tau, p.clean_mse AS erm_clean_mse, b.clean_mse AS robust_clean_mse, p.deg_mse AS erm_deg_mse, b.deg_mse AS robust_deg_mse, round(p.deg_mse - b.deg_mse, 8) AS deg_mse_improvement, round(p.sensitivity - b.sensitivity, 8) AS sensitivity_improvement FROM (SELECT *, row_number() OVER (PARTITION BY tau ORDER BY deg_mse, rho, r_adv) AS i FROM res WHERE rho > 0) b JOIN (SELECT * FROM res WHERE rho = 0) p ON p.tau = b.tau WHERE i = 1",
-        "checks": "SELECT 'grid_rows' AS name, 'PASS' AS status, 3600.0::DOUBLE AS observed, 3600.0::DOUBLE AS expected UNION ALL SELECT 'best_level_valid', 'PASS', 0.0, 0.0 UNION ALL SELECT 'features_per_row', 'PASS', 51.0, 51.0",
+        "checks": " UNION ALL ".join(_CHECKS),
+        "check_statuses": f"SELECT step, CASE WHEN bool_and(status = 'PASS') THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS checks, count_if(status <> 'PASS') AS failed FROM ({' UNION ALL '.join(_CHECKS)}) GROUP BY step",
+        "ticker_stats": "SELECT 'A' || i AS ticker, i + 1 AS ord, coalesce(message_rows, 0) AS message_rows, coalesce(event_bins, 0) AS event_bins FROM range(5) r(i) LEFT JOIN (SELECT asset, count(*) AS message_rows FROM msg GROUP BY ALL) m ON m.asset = i LEFT JOIN (SELECT asset, count(DISTINCT bin_idx) AS event_bins FROM cln GROUP BY ALL) c ON c.asset = i",
+        "message_book_counts": "SELECT 'A' || asset AS ticker, count(*) AS message_rows, count(*) AS book_rows FROM msg GROUP BY asset",
+        "project_feature_ball": "SELECT asset, bin_idx, round(a * k, 5) + 0.0 AS a, round(b * k, 5) + 0.0 AS b, round(norm2 * k * k, 8) AS norm2 FROM (SELECT *, least(1, 0.05::DOUBLE / (sqrt(sum(norm2) OVER (PARTITION BY bin_idx)) + 1e-12::DOUBLE)) AS k FROM (SELECT asset, bin_idx, a * k AS a, b * k AS b, norm2 * k * k AS norm2 FROM (SELECT asset, bin_idx, a * 1000 AS a, b * 1000 AS b, norm2 * 1e6::DOUBLE AS norm2, least(1, 0.05::DOUBLE / sqrt(5) / (sqrt(norm2) * 1000 + 1e-12::DOUBLE)) AS k FROM fg)))",
+        "raw_attack_1step": "SELECT asset, bin_idx, round(a * k * 1e4::DOUBLE, 6) + 0.0 AS a, round(b * k * 1e4::DOUBLE, 6) + 0.0 AS b, round(norm2 * k * k * 1e8::DOUBLE, 6) + 0.0 AS norm2 FROM (SELECT *, least(1, 0.1::DOUBLE / (sqrt(sum(norm2) OVER (PARTITION BY bin_idx)) + 1e-12::DOUBLE)) AS k FROM (SELECT asset, bin_idx, a * k AS a, b * k AS b, norm2 * k * k AS norm2 FROM (SELECT asset, bin_idx, a * 0.025::DOUBLE AS a, b * 0.025::DOUBLE AS b, norm2 * 0.000625::DOUBLE AS norm2, least(1, 0.1::DOUBLE / sqrt(5) / (sqrt(norm2) * 0.025::DOUBLE + 1e-12::DOUBLE)) AS k FROM fg)))",
+        "graph_attack_1step": "SELECT src, dst, round(d * CASE WHEN fro > 0.1::DOUBLE THEN 0.1::DOUBLE / (fro + 1e-12::DOUBLE) ELSE 1 END, 8) + 0.0 AS d FROM (SELECT *, sqrt(sum(d * d) OVER ()) AS fro FROM (SELECT gg.src, gg.dst, CASE WHEN gg.src = gg.dst THEN 0.0 ELSE greatest(0, least(1, w + g * (0.1::DOUBLE / 7) / (sqrt(sum(g * g) OVER ()) + 1e-12::DOUBLE))) - w END AS d FROM gg JOIN nsy ON nsy.src = gg.src AND nsy.dst = gg.dst AND nsy.graph = 'return_abs'))",
+        "ablation_join": f"SELECT tau, best_clean_mse, feature_robust_clean_mse, round(feature_gain, 8) AS feature_gain, feature_robust_choice, erm_clean_mse_reference, graph_robust_clean_mse, round(graph_gain, 8) AS graph_gain, round(sensitivity_improvement, 8) AS sensitivity_improvement, graph_robust_choice FROM ({_ABLATION})",
+        "verdict": f"SELECT tau, round(feature_robust_clean_mse - erm_clean_mse_reference, 8) AS clean_cost_feature, round(graph_robust_clean_mse - erm_clean_mse_reference, 8) AS clean_cost_graph, CASE WHEN feature_gain > 0 AND graph_gain > 0 THEN 'both' WHEN graph_gain > 0 THEN 'graph' WHEN feature_gain > 0 THEN 'feature' ELSE 'neither' END AS robustness_pays FROM ({_ABLATION})",
     }.items()
 }
