@@ -44,9 +44,9 @@ def graph(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return found
 
 
-def results(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Rows of a JSON result, an array of objects over several lines or an object a line."""
-    reader = spark.read.option("multiLine", True)
+def results(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """Rows of a JSON result: one document a file (an object or an array of them), or an object a line."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
