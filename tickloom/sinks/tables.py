@@ -35,8 +35,8 @@ def results_json(rows: DataFrame, path: str) -> None:
 
 
 def text(spark: SparkSession, content: str, path: str) -> None:
-    """A small text as it is, on any file system that Spark writes."""
-    spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(path)
+    """A small text, with a newline at its end, on any file system that Spark writes."""
+    spark.createDataFrame([(content.removesuffix("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def metadata(spark: SparkSession, values: dict, path: str) -> None:
