@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from ..functions.lineage import stage as written
 from .fmindex import FMIndex
-from .text import ALNUM_SPLIT, Words, list_array, map_pieces, pieces, signed, text_bytes
+from .text import ALNUM_SPLIT, Words, list_array, map_pieces, pieces, signed, small_batches, text_bytes
 
 WINDOW = 10
 #: Phrases in one broadcast: at most so many times WINDOW numbers of 8 bytes.
@@ -161,6 +161,7 @@ def _search(docs: DataFrame, book, carried: list[str]) -> DataFrame:
         if shard.docs:
             yield shard.found()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(*carried, *(["text"] if "text" not in carried else []))
     return rows.mapInArrow(run, StructType([*(StructField(c, rows.schema[c].dataType) for c in carried), *FOUND]))
 
@@ -180,6 +181,7 @@ def _merged(spans):
 def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = PHRASES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep, n_words, spans (first and last word of each hit stretch, from 0), items found, of every row."""
     phrases = map_pieces(benchmark.filter("item_id is not null").select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), _phrase_rows(window), "item_id long, phrase array<long>")
+    phrases = written(phrases)
     blocks, keep = max(1, -(-phrases.count() // (most // 2 or 1))), list(keep)
     rows, carried = docs, keep
     if blocks > 1:

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once (a longer text is still taken whole).
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
+
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 U = np.uint64
 
@@ -161,6 +163,12 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
         at = to
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB for this session, unless it has set a size of its own: workers and executors hold several at once."""
+    if spark.conf.get(_BATCH_BYTES, "") in ("", "64MB", "67108864b"):
+        spark.conf.set(_BATCH_BYTES, str(8 << 20))
+
+
 def map_pieces(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", most: int = PIECE_BYTES) -> DataFrame:
     """mapInArrow with a function of pieces of bounded size."""
 
@@ -170,7 +178,9 @@ def map_pieces(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatc
                 out = function(piece)
                 if out is not None and out.num_rows:
                     yield out
+            pa.default_memory_pool().release_unused()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
