@@ -165,7 +165,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 8 MB for this session, unless it has set a size of its own: workers and executors hold several at once."""
-    if spark.conf.get(_BATCH_BYTES, "") in ("", "64MB", "67108864b"):
+    if spark.conf.get(_BATCH_BYTES) in ("64MB", "67108864b", "67108864"):
         spark.conf.set(_BATCH_BYTES, str(8 << 20))
 
 
