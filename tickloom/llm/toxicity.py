@@ -7,9 +7,9 @@
    each has lost a letter at most; other words aren't tried.
 3. Each hit is judged by its context window: quotation marks at the word and reporting verbs nearby make it a
    quotation, second person nearby makes it abuse.
-4. A logistic model over the sums of both kinds gives the score. Lexicon and model learn from different halves of
-   the sample, so that the model sees hits as they are on unseen texts. How much commoner a term must be is chosen by
-   the log loss of a model of one part of the second half on the other.
+4. A logistic model over the sums of both kinds gives the score. It learns from each half of the sample by the lexicon
+   of the other half, so that it sees hits as they are on unseen texts; texts are scored by the lexicon of both halves.
+   How much commoner a term must be is chosen by the log loss of a model of one part of the sample on the other.
 
 At most SAMPLE labelled rows are learned from (those with the smallest hash of doc_id).
 
@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import stage as written
 from .logistic import Logistic
 from .text import ALNUM_SPLIT, Words, list_array, map_pieces, range_hashes, signed, text_bytes
 
@@ -35,9 +36,19 @@ SAMPLE, TERMS, WINDOW = 40_000, 4000, 5
 #: nothing tells them apart), and in so many of them.
 Z, LEAST = (6.0, 5.0, 4.5, 4.0), 3
 SHORTEST_FUZZY = 4
-#: Words that report what others say, and words that address the reader.
-REPORTING = ("said", "says", "quote", "quoted", "quotes", "called", "wrote", "term", "word", "words", "reported", "insult", "slur", "phrase", "writes", "mentioned")
-ADDRESSING = ("you", "your", "youre", "u", "ur", "yourself")
+#: Words that report what others say, and words that address the reader, in English, German, French, Spanish.
+REPORTING = tuple("""
+said says quote quoted quotes called wrote term word words reported insult slur phrase writes mentioned
+sagte sagt schrieb nannte genannt wort wörter zitat zitierte begriff beleidigung
+dit écrit écrivit appelé mot mots terme citation cité insulte
+dijo dice escribió llamó llamado palabra palabras término cita citó insulto
+""".split())
+ADDRESSING = tuple("""
+you your youre u ur yourself
+du dich dir dein deine euch ihr
+tu toi te ton ta vous votre
+tú ti tus usted vosotros
+""".split())
 
 
 def edits_within_one(word: str, trie: dict) -> list[str]:
@@ -195,14 +206,14 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
 
 
 def _counted_words(piece: pa.RecordBatch) -> pa.RecordBatch:
-    """Each word with the documents, and toxic documents, of the piece that hold it."""
+    """Each word with the documents, and toxic documents, of each half of the piece that hold it."""
     words = Words(*text_bytes(piece.column("text")), ALNUM_SPLIT, lower=True)
-    toxic = piece.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+    toxic, half = (piece.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("toxic", "half"))
     distinct, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
     pairs = np.unique(inverse.astype(np.int64) * piece.num_rows + words.doc_of_word()) if len(distinct) else np.zeros(0, np.int64)
     word, doc = pairs // max(piece.num_rows, 1), pairs % max(piece.num_rows, 1)
-    n, t = np.bincount(word, minlength=len(distinct)), np.bincount(word, toxic[doc], len(distinct)).astype(np.int64)
-    return pa.record_batch([pa.array(signed(distinct)), pa.array([words.word(i) for i in first.tolist()], pa.string()), pa.array(n), pa.array(t)], ["h", "word", "n", "t"])
+    sums = [np.bincount(word, x, len(distinct)).astype(np.int64) for k in (0, 1) for x in ((half[doc] == k).astype(float), toxic[doc] * (half[doc] == k))]
+    return pa.record_batch([pa.array(signed(distinct)), pa.array([words.word(i) for i in first.tolist()], pa.string()), *map(pa.array, sums)], ["h", "word", "n0", "t0", "n1", "t1"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, learn: Column) -> DataFrame:
@@ -220,8 +231,11 @@ class Toxicity:
 
 
 def _feature_rows(shared):
+    """Features by the lexicons of the other half than each row's."""
+
     def rows(piece: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.concatenate([features(piece.column("text"), lexicon) for lexicon in shared.value], 1)
+        both = np.stack([np.concatenate([features(piece.column("text"), lexicon) for lexicon in lexicons], 1) for lexicons in shared.value])
+        x = both[1 - piece.column("half").to_numpy(), np.arange(piece.num_rows)]
         return pa.record_batch([piece.column("toxic"), piece.column("part"), list_array(x.ravel(), np.arange(len(x) + 1) * x.shape[1])], ["toxic", "part", "x"])
 
     return rows
@@ -242,22 +256,29 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most: int = SA
     """Learns from the labelled documents for which learn_from (over doc_id) holds."""
     sample = labelled_sample(docs, labels, "toxic", most, learn_from)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(F.broadcast(sample), "doc_id")
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    h = F.xxhash64("doc_id")
+    rows = rows.withColumn("half", F.pmod(h, F.lit(2)).cast("int")).withColumn("part", F.pmod(F.shiftright(h, 1), F.lit(2)).cast("int"))
     share = sample.agg(F.count("*").alias("n"), F.avg("toxic").alias("p")).first()
     if not share["n"]:
         return Toxicity(Lexicon([]), None)
     p = min(max(share["p"], 1e-3), 1 - 1e-3)
-    counts = map_pieces(rows.filter(half == 0), _counted_words, "h long, word string, n long, t long").groupBy("h").agg(F.min("word").alias("word"), F.sum("n").alias("n"), F.sum("t").alias("t"))
-    z = (F.col("t") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
-    odds = F.log((F.col("t") + 4 * p) / (F.col("n") - F.col("t") + 4 * (1 - p))) - float(np.log(p / (1 - p)))
-    terms = counts.filter(F.col("t") >= LEAST).select("word", odds.alias("w"), z.alias("z")).filter(F.col("z") >= min(Z)).orderBy(F.desc("z"), "word").limit(TERMS).collect()
-    lexicons = [Lexicon([(r["word"], r["w"]) for r in terms if r["z"] >= z]) for z in Z]
-    second = rows.filter(half == 1).withColumn("part", F.pmod(F.shiftright(F.xxhash64("doc_id"), 1), F.lit(2)).cast("int"))
-    found = map_pieces(second, _feature_rows(docs.sparkSession.sparkContext.broadcast(lexicons)), "toxic int, part int, x array<double>").toArrow()
+    counts = map_pieces(rows, _counted_words, "h long, word string, n0 long, t0 long, n1 long, t1 long").groupBy("h").agg(F.min("word").alias("word"), *(F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")))
+    counts = written(counts.filter(F.col("t0") + F.col("t1") >= LEAST))
+
+    def lexicons(n: Column, t: Column) -> list[Lexicon]:
+        """One for each Z, by so many documents and toxic documents of each word."""
+        z = (t - n * p) / F.sqrt(n * (p * (1 - p)))
+        odds = F.log((t + 4 * p) / (n - t + 4 * (1 - p))) - float(np.log(p / (1 - p)))
+        terms = counts.filter(t >= LEAST).select("word", odds.alias("w"), z.alias("z")).filter(F.col("z") >= min(Z)).orderBy(F.desc("z"), "word").limit(TERMS).collect()
+        return [Lexicon([(r["word"], r["w"]) for r in terms if r["z"] >= least]) for least in Z]
+
+    n, t = [F.col("n0"), F.col("n1")], [F.col("t0"), F.col("t1")]
+    halves = [lexicons(n[k], t[k]) for k in (0, 1)]
+    found = map_pieces(rows, _feature_rows(docs.sparkSession.sparkContext.broadcast(halves)), "toxic int, part int, x array<double>").toArrow()
     x = found.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(Z), FEATURES)
     y = (found.column("toxic").to_numpy() > 0).astype(float)
     best = _best(x, y, found.column("part").to_numpy())
-    return Toxicity(lexicons[best], Logistic(x[:, best], y))
+    return Toxicity(lexicons(n[0] + n[1], t[0] + t[1])[best], Logistic(x[:, best], y))
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
