@@ -1,6 +1,5 @@
 """Small cases with defined results, and brute force."""
 
-import hashlib
 import itertools
 import re
 import zlib
@@ -9,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann, decontamination, language, license, mixing, near, quality, substring, tokenizer, toxicity
+from tickloom.llm import ann, decontamination, language, license, mixing, near, quality, queries, substring, tokenizer, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, h long"
 ODD = [(1, None, None, None, None, "k", 1), (2, "", "en", "s", 0, None, None), (3, "word", "en", None, 4, "k", 2), (3, "word", "en", None, 4, "k", 2), (None, "a b c d e f", "fr", "s", 11, "k", 3), (5, "x " * 60_000, "en", "s", 120_000, "k", 4), (6, "é ß — ”quoted“ 漢字 \u0001", "de", "s", 9, "k", 5), (7, "!!! ???", "de", "s", 7, "k", 6)]
@@ -302,4 +301,207 @@ def test_pipeline_small(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert out and all(r["round_trip"] for r in out)
-    assert hashlib and zlib
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"t{i}" for i in range(12))
+    spark.createDataFrame([(1, item), (None, "x"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    more = [(7, f"a {item} b", "en", "s", 1, None, None), (8, None, "en", "s", 0, None, None), (9, "x " * 60_000 + "z", "en", "s", 9, None, None)]
+    docs = odd.unionByName(spark.createDataFrame(more, DOCS))
+    stages, sf = dict(corpus_pipeline.STAGES), str(tmp_path)
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=str)
+    kept = stages["language_id"](spark, docs, sf)
+    assert ids(kept) == sorted([3, 3, None, 5, 6, 7, 9], key=str) and kept.columns == corpus_pipeline.COLUMNS
+    assert {r["lang"] for r in kept.filter("doc_id = 3").collect()} == {"en"}
+    # the repeated row goes, 9 is 5 but for one word
+    assert ids(stages["near_dedup"](spark, kept, sf)) == sorted([3, None, 5, 6, 7], key=str)
+    left = {r["doc_id"]: r["text"] for r in stages["substring_dedup"](spark, docs, sf).collect()}
+    assert left[5] == " ".join(["x"] * 20) and left[9] == "z" and left[8] == "" and left[7] == f"a {item} b" and left[None] == "a b c d e f"
+    clean = {r["doc_id"]: r["text"] for r in stages["decontamination"](spark, docs, sf).collect()}
+    assert clean[7] == "a  b" and clean[8] is None and clean[3] == "word"
+    pieces = {r["doc_id"]: (r["n_pieces"], r["round_trip"]) for r in stages["sentencepiece"](spark, docs.filter("doc_id <> 8"), sf).collect()}
+    assert pieces[2] == (0, True) and all(ok for _, ok in pieces.values())
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty.select(corpus_pipeline.COLUMNS), sf).count() == 0
+
+
+def _folder(tmp_path, spark, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+TEXTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_op6_columns_by_brute_force(spark, tmp_path):
+    texts = ["CC BY 4.0; cc-by again", "All rights reserved. GNU General Public License v3 all RIGHTS reserved", "see the MIT License", "", None, "cc bye"]
+    d = _folder(tmp_path, spark, documents=([(i, t, "en", "s", 1) for i, t in enumerate(texts)], TEXTS))
+    phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    for r in queries.op6_licenses(spark, d).collect():
+        w = ALNUM.findall(lower(texts[r["doc_id"]]))
+        at = sorted((i, label) for p, label in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None)
+        base = sorted({x for _, x in at})
+        assert r["base_labels"] == ",".join(base) and set(base) <= set(r["labels"].split(","))
+        assert 0 <= r["score"] <= 1 and r["labels"].split(",") == sorted(set(r["labels"].split(",")))
+
+
+def test_op6_suppression_by_brute_force(spark):
+    texts = ["Licensed under the Apache License, Version 2.0 and the MIT License", "released under the terms of the GNU General Public License version 2, copyright 2001", "SPDX-License-Identifier: MIT", "CC BY-SA 3.0 unported, cc by"]
+    got = license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        spans = [s for s in r["spans"] if not s["base"]]
+        rank = lambda s: (s["first"], -s["last"], -s["priority"], s["label"])
+        held = lambda s, t: t["first"] <= s["first"] and s["last"] <= t["last"] and t["priority"] >= s["priority"] and rank(t) < rank(s)
+        want = {s["label"] for s in spans if not any(held(s, t) for t in spans)} | set(r["base_labels"])
+        assert set(r["labels"]) == want, r
+
+
+def test_op3_op8_op2_contract_columns(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    crc = {i: zlib.crc32(str(i).encode()) for (i,) in docs.select("doc_id").collect()}
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    tox = queries.op3_toxicity(spark, d).collect()
+    assert len(tox) == len(crc) and all(r["held_out"] == (crc[r["doc_id"]] % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in tox)
+    clean = [r["predicted"] for r in tox if r["held_out"] and r["doc_id"] in labels and not labels[r["doc_id"]]["toxic"]]
+    assert np.mean(clean) < 0.03
+    lang = queries.op8_language(spark, d).collect()
+    known = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert len(lang) == len(crc) and all(r["held_out"] == (crc[r["doc_id"]] % 4 == 2) and 0 <= r["score"] <= 1 for r in lang)
+    assert np.mean([r["lang_pred"] == known[r["doc_id"]] for r in lang if r["held_out"] and r["lang_pred"] != "und"]) > 0.97
+    found = queries.op2_quality(spark, d).collect()
+    assert len(found) == len(crc) and np.mean([r["keep"] == (labels[r["doc_id"]]["quality"] == 1) for r in found if r["held_out"] and r["doc_id"] in labels]) > 0.85
+
+
+def test_distances_by_brute_force():
+    rng = np.random.default_rng(7)
+    places = {lang: {g: k for k, g in enumerate(rng.permutation(60)[:40].tolist())} for lang in ("a", "b")}
+    profiles = language.Profiles([{"lang": x, "gram": g, "place": k} for x, p in places.items() for g, k in p.items()], 40)
+    counts = [dict(zip(rng.permutation(70)[:30].tolist(), rng.integers(1, 9, 30).tolist(), strict=True)) for _ in range(5)]
+    doc, gram, n = (np.array(x) for x in zip(*sorted((d, g, k) for d, c in enumerate(counts) for g, k in c.items()), strict=True))
+    got, compared = profiles.distances(5, doc, gram.astype(np.uint64), n)
+    for d, c in enumerate(counts):
+        ranked = sorted(c, key=lambda g: (-c[g], g))[:40]
+        want = [sum(abs(k - places[x][g]) if g in places[x] else 40 for k, g in enumerate(ranked)) for x in ("a", "b")]
+        assert got[d].tolist() == want and compared[d] == len(ranked)
+
+
+def test_views_teach_each_other():
+    """The labelled rows say nothing in the text view: all it knows comes from the other's labels of the pool."""
+    rng = np.random.default_rng(8)
+    truth = rng.integers(0, 2, 3000)
+    text = (truth[:, None] * 2.0 - 1) * 1.5 + rng.standard_normal((3000, 3))
+    text[:300] = 0
+    meta = np.column_stack([(truth * 2.0 - 1) * 2 + rng.standard_normal(3000), rng.standard_normal((3000, 3))])
+    few, pool, test = slice(0, 300), slice(300, 2000), slice(2000, 3000)
+    calibrate = np.arange(300) % 3 == 0
+    fit = lambda rows: quality.CoTrained().fit(text[few], meta[few], truth[few].astype(float), calibrate, text[rows], meta[rows])
+    right = lambda m: np.mean((m.text.logit(text[test]) > 0) == truth[test])
+    assert right(fit(pool)) > 0.95 and right(fit(slice(0, 0))) < 0.6
+
+
+def test_op4_on_whole_tables(spark):
+    d = "/root/testdata/sf0.01"
+    rows = queries.op4_language_model(spark, d).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    count: dict = {}
+    for i, t in texts.items():
+        for w in [*WORD.findall(lower(t)), None] if not held[i] else ():
+            count[w] = count.get(w, 0) + 1
+    n, v = sum(count.values()), len(count)
+    for r in rows:
+        words = [*WORD.findall(lower(texts[r["doc_id"]])), None]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(words), sum(w in count for w in words), n)
+        assert r["base_score"] == pytest.approx(sum(np.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in words), rel=1e-9)
+    out = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
+def test_op10_against_exact_search(spark):
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, unit = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    got: dict = {}
+    for r in queries.op10_neighbours(spark, d).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = unit @ unit[q]
+        s[q] = -9
+        assert all(np.isclose(x, s[ids == i][0]) for i, x in got[ids[q]].items())
+        hits += len(set(ids[np.argsort(-s)[:5]].tolist()) & set(got[ids[q]]))
+    assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()
+
+
+def test_neighbours_of_symbols_equal_merging():
+    machine = tokenizer.Transducer(tokenizer.MODEL)
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    with open(tokenizer.MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    scores = {p.piece: p.score for p in model.pieces if p.type == tokenizer.NORMAL}
+    names, rng = list(scores), np.random.default_rng(9)
+    pairs = rng.choice(len(names), (4000, 2))
+    pairs = pairs[machine.neighbours.whole[pairs].all(1)]
+    for (a, b), ok in zip(pairs.tolist(), machine.neighbours.passes(pairs[:, 0], pairs[:, 1]).tolist(), strict=True):
+        assert ok == (tokenizer.merged(names[a] + names[b], scores)[0] == [names[a], names[b]])
+
+
+def test_unigram_paths_by_brute_force():
+    from types import SimpleNamespace
+
+    words = {"▁": -2.0, "a": -3.0, "b": -3.5, "ab": -4.0, "▁a": -3.2, "ba": -5.0, "bab": -6.5, "▁ab": -8.0}
+    machine = tokenizer.Transducer.__new__(tokenizer.Transducer)
+    machine.compile([SimpleNamespace(piece=p, score=s, type=tokenizer.NORMAL) for p, s in words.items()], False, True, 0)
+    names = list(words)
+
+    def best(text):
+        if not text:
+            return 0.0, []
+        return min(((c - words[p], [p, *rest]) for p in names if text.startswith(p) for c, rest in [best(text[len(p) :])]), key=lambda x: x[0])
+
+    for text in ("ab", "abab", "babab", "a ab ba", "aaaa bbbb"):
+        ids, bounds = machine.encode([text])
+        want = sum(best(s)[0] for s in machine.cut.findall(machine.normalised(text)))
+        assert sum(-words[names[i]] for i in ids[bounds[0] : bounds[1]]) == pytest.approx(want)
+
+
+def test_near_group_of_many_copies_loses_no_link(spark):
+    """Copies of copies of one text, most of them too far from each other: every link is found."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(80)]
+    texts = [base]
+    for _ in range(250):
+        words = list(texts[int(rng.integers(len(texts)))] if rng.random() < 0.3 else base)
+        for _ in range(int(rng.integers(1, 5))):
+            words[int(rng.integers(len(words)))] = f"v{int(rng.integers(40))}"
+        texts.append(words)
+    texts += [base[:k] for k in range(40, 80, 3)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near.near_classes(docs).collect()} == {i: root(i) for i in range(len(texts))}
+
+
+def test_rows_of_one_doc_id_lose_their_own_words(spark):
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(30)]
+    rows = [(2, " ".join(a)), (2, " ".join(b)), (1, " ".join(a[:25])), (3, " ".join(b + a)), (3, " ".join(b + a)), (None, " ".join(a))]
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("1", 25, 0), ("2", 30, 0), ("2", 40, 25), ("3", 70, 70), ("3", 70, 70), ("None", 40, 0)]
