@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import dropped
 from ..functions.lineage import stage as written
-from .text import BLANK_SPLIT, Words, list_array, map_pieces, mix, signed, text_bytes, window_hashes
+from .text import BLANK_SPLIT, Words, map_pieces, mix, signed, text_bytes, window_hashes
 
 LENGTH, BASE = 20, 5
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import stage as written
 from .logistic import Logistic
-from .text import ALNUM_SPLIT, Words, list_array, map_pieces, range_hashes, signed, text_bytes
+from .text import ALNUM_SPLIT, Words, list_array, map_pieces, signed, text_bytes
 
 #: Labelled rows learned from, terms of the lexicon, words on each side of a hit, at most.
 SAMPLE, TERMS, WINDOW = 40_000, 4000, 5
