@@ -120,10 +120,13 @@ def _full_rows(length: int, base: int):
     return rows
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows whose fingerprint occurs more than once."""
+def _survivors(rows: DataFrame) -> DataFrame:
+    """By text the positions of the rows whose fingerprint occurs more than once; the rows are written, as they are read twice."""
+    rows = written(rows)
     often = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    return rows.join(often, "h", "left_semi")
+    out = written(_by_row(rows.join(often, "h", "left_semi")))
+    dropped(rows)
+    return out
 
 
 def _by_row(rows: DataFrame) -> DataFrame:
@@ -143,17 +146,18 @@ def later_windows(texts: DataFrame, length: int = LENGTH, base: int = BASE) -> D
     if base < 1 or length % base or (length // base) & (length // base - 1) or length < 2 * base:
         raise ValueError("length must be base times 2, 4, 8, ...")
     rows = texts.filter(F.col("doc_id").isNotNull())
-    survivors = written(_by_row(_repeated(map_pieces(rows.select("r", "text"), _anchor_rows(length, base), "h long, r long, at int"))))
+    survivors = _survivors(map_pieces(rows.select("r", "text"), _anchor_rows(length, base), "h long, r long, at int"))
     level = 2 * base
     while level < length:
         extended = map_pieces(rows.select("r", "text").join(survivors, "r"), _extended_rows(length, base, level), "h long, r long, at int, is_left boolean")
-        last, survivors = survivors, written(_by_row(_repeated(extended)))
+        last, survivors = survivors, _survivors(extended)
         dropped(last)
         level *= 2
-    full = map_pieces(rows.join(survivors, "r"), _full_rows(length, base), "h long, tag int, doc_id long, at int")
+    full = written(map_pieces(rows.join(survivors, "r"), _full_rows(length, base), "h long, tag int, doc_id long, at int"))
+    dropped(survivors)
     first = full.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = written(full.join(first, "h").filter(F.struct("doc_id", "at") > F.col("first")).groupBy("doc_id", "tag").agg(F.collect_set("at").alias("starts")))
-    dropped(survivors)
+    dropped(full)
     return later
 
 
