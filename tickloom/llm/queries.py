@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, toxicity
+from . import mixing, quality, rules, toxicity
 from .ann import neighbours
 from .decontamination import find_phrases
 from .language import identify, learn_profiles
@@ -80,8 +80,13 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(rows, rows.filter("vec_id % 50 = 0"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.passes(rules.BASE)).alias("base_failed"), "kept", "failed", "policy")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_toxicity, op4_language_model, op5_near_duplicates, op6_licenses, op7_substring_dedup, op8_language, op9_decontamination, op10_neighbours)
+    f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_toxicity, op4_language_model, op5_near_duplicates, op6_licenses, op7_substring_dedup, op8_language, op9_decontamination, op10_neighbours, op13_quality_rules)
 }
 
 ORACLES: dict[str, str] = {
@@ -107,4 +112,15 @@ c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id""",
+    "op13_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
+s AS (SELECT rid, p, list_slice(w, p, p + 2) AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)),
+r AS (SELECT rid, p, count(*) OVER (PARTITION BY rid, k) AS n FROM s),
+c AS (SELECT rid, count(DISTINCT x) AS n FROM (SELECT rid, unnest([p, p + 1, p + 2]) AS x FROM r WHERE n > 1) GROUP BY rid),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+  len(list_filter(l, lambda x: regexp_matches(x, '^ *[-*•▪]'))) AS n_bullet_lines, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…) *$'))) AS n_cut_lines, coalesce(c.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: NOT regexp_matches(x, '\pL'))) AS n_letterless, contains(lower(t), 'lorem ipsum')::INT AS n_fillers
+  FROM d LEFT JOIN c ON d.rid = c.rid),
+f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT + 64 * (10 * n_bullet_lines > 9 * n_lines)::BIGINT + 128 * (10 * n_cut_lines > 3 * n_lines)::BIGINT
+  + 256 * (10 * n_letterless > 4 * n_words)::BIGINT + 512 * (n_fillers > 0)::BIGINT + 1024 * (n_words > 100000)::BIGINT + 2048 * (50 * n_symbols > n_words)::BIGINT + 4096 * (100 * n_repeat_words > 20 * n_words)::BIGINT AS failed FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, failed & 3 <> 0 AS base_failed, failed & 1023 = 0 AS kept, failed, 'default-1' AS policy FROM f""",
 }
