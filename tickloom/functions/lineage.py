@@ -23,12 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the rows to the shared folder and reads them: a lost executor costs no recomputation of what led to them.
 
-    The shuffle files that led to them are of no use any more and go at once.
+    The shuffle files that led to them are of no use any more and go at once. path: a new one, unless told.
     """
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    spark, path = df.sparkSession, path or shared_folder(df.sparkSession)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
