@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, rules, toxicity
+from . import merkle, mixing, quality, rules, toxicity
 from .ann import neighbours
 from .decontamination import find_phrases
 from .language import identify, learn_profiles
@@ -80,13 +80,18 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(rows, rows.filter("vec_id % 50 = 0"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.manifest(table(spark, sf_dir, "documents")).withColumn("folded_root", merkle.folded(F.col("forged"), F.col("way")))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.siblings(F.col("way")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.passes(rules.BASE)).alias("base_failed"), "kept", "failed", "policy")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_toxicity, op4_language_model, op5_near_duplicates, op6_licenses, op7_substring_dedup, op8_language, op9_decontamination, op10_neighbours, op13_quality_rules)
+    f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_toxicity, op4_language_model, op5_near_duplicates, op6_licenses, op7_substring_dedup, op8_language, op9_decontamination, op10_neighbours, op11_merkle_manifest, op13_quality_rules)
 }
 
 ORACLES: dict[str, str] = {
@@ -112,6 +117,28 @@ c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE c AS (SELECT doc_id, coalesce('=' || source, '-') AS tree, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head, text,
+  list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))) AS r FROM documents),
+l AS (SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+  CASE WHEN xor(r, 4294967295) % 5 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS forged FROM c),
+b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, forged) - 1 AS idx FROM l),
+n AS (SELECT 0 AS lev, tree, idx, leaf AS digest, count(*) OVER (PARTITION BY tree) AS size FROM b
+  UNION ALL
+  SELECT lev + 1, tree, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(size) + 15) // 16 FROM n WHERE size > 1 GROUP BY lev, tree, idx // 16),
+s AS MATERIALIZED (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS size FROM n WHERE size = 1),
+u AS (SELECT 0 AS lev, idx, subroot AS digest, size FROM s UNION ALL SELECT lev + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(size) + 15) // 16 FROM u WHERE size > 1 GROUP BY lev, idx // 16),
+g AS MATERIALIZED (SELECT lev, tree, idx // 16 AS up, list(digest ORDER BY idx) AS d FROM n WHERE size > 1 GROUP BY ALL),
+v AS MATERIALIZED (SELECT lev, idx // 16 AS up, list(digest ORDER BY idx) AS d FROM u WHERE size > 1 GROUP BY ALL),
+w AS (SELECT b.tree, b.doc_id, b.leaf, b.idx, b.forged, 0 AS lev, b.idx AS at, false AS top, b.forged AS h, '' AS proof FROM b
+  UNION ALL
+  SELECT w.tree, w.doc_id, w.leaf, w.idx, w.forged, w.lev + 1, w.at // 16, false, sha256(array_to_string(list_concat(d[:w.at % 16], [h], d[w.at % 16 + 2:]), '')), proof || array_to_string(list_concat(d[:w.at % 16], d[w.at % 16 + 2:]), '') FROM w JOIN g ON g.lev = w.lev AND g.tree = w.tree AND g.up = w.at // 16),
+e AS MATERIALIZED (SELECT w.* FROM w JOIN n ON n.lev = w.lev AND n.tree = w.tree AND n.size = 1),
+x AS (SELECT e.tree, doc_id, leaf, e.idx, 0 AS lev, s.idx AS at, h, proof FROM e JOIN s ON s.tree = e.tree
+  UNION ALL
+  SELECT x.tree, doc_id, leaf, x.idx, x.lev + 1, x.at // 16, sha256(array_to_string(list_concat(d[:x.at % 16], [h], d[x.at % 16 + 2:]), '')), proof || array_to_string(list_concat(d[:x.at % 16], d[x.at % 16 + 2:]), '') FROM x JOIN v ON v.lev = x.lev AND v.up = x.at // 16),
+t AS (SELECT lev, digest AS root FROM u WHERE size = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM x JOIN t ON t.lev = x.lev JOIN s ON s.tree = x.tree""",
     "op13_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
 s AS (SELECT rid, p, list_slice(w, p, p + 2) AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)),
