@@ -16,6 +16,7 @@ from .near import near_classes
 from .substring import substring_dedup
 from .text import remainder, table
 from .tokenizer import encode_decode
+from .whitening import whitened
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,13 +86,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", merkle.siblings(F.col("way")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.passes(rules.BASE)).alias("base_failed"), "kept", "failed", "policy")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_toxicity, op4_language_model, op5_near_duplicates, op6_licenses, op7_substring_dedup, op8_language, op9_decontamination, op10_neighbours, op11_merkle_manifest, op13_quality_rules)
+    f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_toxicity, op4_language_model, op5_near_duplicates, op6_licenses, op7_substring_dedup, op8_language, op9_decontamination, op10_neighbours, op11_merkle_manifest, op12_whitening, op13_quality_rules)
 }
 
 ORACLES: dict[str, str] = {
