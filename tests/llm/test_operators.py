@@ -309,16 +309,18 @@ def test_pipeline_stages_on_odd_tables(spark, odd, empty, tmp_path):
     item = " ".join(f"t{i}" for i in range(12))
     spark.createDataFrame([(1, item), (None, "x"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     more = [(7, f"a {item} b", "en", "s", 1, None, None), (8, None, "en", "s", 0, None, None), (9, "x " * 60_000 + "z", "en", "s", 9, None, None)]
+    hundred = " ".join(f"h{i}" for i in range(100))
+    more += [(10, hundred, "en", "s", 10, None, None), (11, hundred[: hundred.rindex(" ")] + " last", "en", "s", 11, None, None)]
     docs = odd.unionByName(spark.createDataFrame(more, DOCS))
     stages, sf = dict(corpus_pipeline.STAGES), str(tmp_path)
     ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=str)
     kept = stages["language_id"](spark, docs, sf)
-    assert ids(kept) == sorted([3, 3, None, 5, 6, 7, 9], key=str) and kept.columns == corpus_pipeline.COLUMNS
+    assert ids(kept) == sorted([3, 3, None, 5, 6, 7, 9, 10, 11], key=str) and kept.columns == corpus_pipeline.COLUMNS
     assert {r["lang"] for r in kept.filter("doc_id = 3").collect()} == {"en"}
-    # the repeated row goes, 9 is 5 but for one word
-    assert ids(stages["near_dedup"](spark, kept, sf)) == sorted([3, None, 5, 6, 7], key=str)
+    # the repeated row goes, 11 is 10 but for one word; 5 has one shingle, half of 9's two
+    assert ids(stages["near_dedup"](spark, kept, sf)) == sorted([3, None, 5, 6, 7, 9, 10], key=str)
     left = {r["doc_id"]: r["text"] for r in stages["substring_dedup"](spark, docs, sf).collect()}
-    assert left[5] == " ".join(["x"] * 20) and left[9] == "z" and left[8] == "" and left[7] == f"a {item} b" and left[None] == "a b c d e f"
+    assert left[5] == " ".join(["x"] * 20) and left[9] == "z" and left[10] == hundred and left[11] == "last" and left[8] == "" and left[7] == f"a {item} b" and left[None] == "a b c d e f"
     clean = {r["doc_id"]: r["text"] for r in stages["decontamination"](spark, docs, sf).collect()}
     assert clean[7] == "a  b" and clean[8] is None and clean[3] == "word"
     pieces = {r["doc_id"]: (r["n_pieces"], r["round_trip"]) for r in stages["sentencepiece"](spark, docs.filter("doc_id <> 8"), sf).collect()}
