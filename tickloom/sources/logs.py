@@ -9,7 +9,7 @@ from __future__ import annotations
 import fnmatch
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,25 +19,32 @@ from ..config import CONFIG, Config
 
 #: The columns of a message, in order, and their types.
 MESSAGE = {"time": "float64", "event_type": "int16", "order_id": "int64", "size": "float64", "price": "float64", "direction": "int16"}
-_SPARK = {"float64": "double", "int16": "short", "int64": "long"}
+SPARK_TYPES = {"float64": "double", "int16": "short", "int64": "long"}
 #: The columns of a level of the book, in order.
 LEVEL = ("ask_p", "ask_q", "bid_p", "bid_q")
 #: Rows of a member that are parsed at once.
 CHUNK = 100_000
 
 
+def fitting(names: list[tuple[str, str]], ticker: str, patterns: Sequence[str] = ()) -> str | None:
+    """Of (name, path) in order, the first path whose name fits the first pattern that any fits."""
+    for pattern in patterns or ("*{ticker}*.zip",):
+        for name, path in names:
+            if fnmatch.fnmatchcase(name, pattern.format(ticker=ticker)):
+                return path
+    return None
+
+
 def find_zip(spark: SparkSession, folder: str, ticker: str, *patterns: str) -> str:
     """The path of the ticker's zip: the first in order of name that fits the first pattern that any fits.
 
     patterns: globs with {ticker}; without any, the ticker anywhere in the name.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ticker}*.zip").load(folder).select("path")
-    names = sorted((p.rpartition("/")[2], p) for (p,) in found.collect())
-    for pattern in patterns or ("*{ticker}*.zip",):
-        fitting = [p for name, p in names if fnmatch.fnmatchcase(name, pattern.format(ticker=ticker))]
-        if fitting:
-            return fitting[0]
-    raise FileNotFoundError(f"no zip of {ticker} in {folder}")
+    path = fitting(sorted((p.rpartition("/")[2], p) for (p,) in found.collect()), ticker, patterns)
+    if path is None:
+        raise FileNotFoundError(f"no zip of {ticker} in {folder}")
+    return path
 
 
 def member(names: list[str], kind: str, ticker: str = "") -> str:
@@ -80,7 +87,7 @@ def messages(spark: SparkSession, paths: dict[str, str], columns: tuple[str, ...
                         at += len(chunk)
                         yield chunk[["ticker", "row_idx", *columns]]
 
-    return _zips(spark, paths).mapInPandas(rows, "ticker string, row_idx long, " + ", ".join(f"{c} {_SPARK[MESSAGE[c]]}" for c in columns))
+    return _zips(spark, paths).mapInPandas(rows, "ticker string, row_idx long, " + ", ".join(f"{c} {SPARK_TYPES[MESSAGE[c]]}" for c in columns))
 
 
 def book_rows(spark: SparkSession, paths: dict[str, str], c: Config = CONFIG, first: int | None = None) -> DataFrame:
