@@ -1,14 +1,16 @@
 """The events table seen as messages and an order book: stands in for log files in the registered queries (FIXTURES.md).
 
-Library code takes messages and books as tables; only the registered queries use this.
+Library code takes messages and books as tables; only the registered queries use this. `zips` writes them as real logs first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, Config
+from ..functions.lineage import shared_folder
+from ..sinks.logs import zip_logs
 
 
 def messages(spark: SparkSession, sf_dir: str, c: Config = CONFIG) -> DataFrame:
@@ -48,3 +50,22 @@ def book(msg: DataFrame, wanted: DataFrame | None = None, c: Config = CONFIG) ->
     """row_idx, h and the level's prices and sizes, of the wanted rows (row_idx) or all."""
     rows = msg.select("row_idx", "k")
     return levels(rows if wanted is None else rows.join(wanted, "row_idx", "left_semi"), c).drop("k")
+
+
+TICKERS = [f"A{i}" for i in range(CONFIG.assets)]
+
+
+def timed(spark: SparkSession, sf_dir: str, c: Config = CONFIG) -> DataFrame:
+    """The events as messages of tickers in order of time: ticker, row_idx (from 0 in each), a message's columns (time in seconds from the start), asset and k."""
+    ids = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{c.start}', ts) / 1e6").alias("time"))
+    x = messages(spark, sf_dir, c).join(ids, F.col("row_idx") == F.col("event_id")).withColumnRenamed("row_idx", "order_id")
+    x = x.withColumn("row_idx", F.row_number().over(Window.partitionBy("asset").orderBy("time", "order_id")).cast("long") - 1)
+    return x.select(F.concat(F.lit("A"), F.col("asset").cast("string")).alias("ticker"), "row_idx", "time", "event_type", "order_id", "size", F.col("price_int").alias("price"), "direction", "asset", "bin_idx", "k")
+
+
+def zips(spark: SparkSession, sf_dir: str, c: Config = CONFIG) -> tuple[str, DataFrame]:
+    """A folder in the shared place with the events as zipped logs, a zip a ticker, and the messages written to them."""
+    folder, msg = shared_folder(spark), timed(spark, sf_dir, c)
+    book = levels(msg.select("row_idx", "k", "ticker"), c)
+    zip_logs(msg, book, folder, c).collect()
+    return folder, msg

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CONFIG as C
-from ..functions.lineage import stage
+from ..functions.lineage import shared_folder, stage
 from ..operators import attacks, bins, book, evaluation, features, gates, graphs, models, summary, training
 from ..operators.panel import panel
 from ..operators.selection import best_of_tau, selection
-from ..sources import logs
+from ..sources import logs, zipped
 from . import fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,6 +212,30 @@ def message_book_counts(spark, sf_dir):
     return logs.counts_match(named, fixture.book(msg).filter("h = 1").join(named.select("row_idx", "ticker"), "row_idx"))
 
 
+@query
+def zipped_messages(spark, sf_dir):
+    """The events written as zipped logs and read back by restart points: some columns, and hours 100 to 300 by time."""
+    folder, _ = fixture.zips(spark, sf_dir)
+    index = shared_folder(spark)
+    stage(zipped.restart_points(spark, folder, fixture.TICKERS, span=1 << 20), index)
+    msg = zipped.reader(spark, folder, fixture.TICKERS, index=index).load("ticker", "row_idx", "time", "size", "price")
+    return _round(msg.filter((F.col("time") >= 360_000.0) & (F.col("time") < 1_080_000.0)), time=3)
+
+
+@query
+def zipped_selected_book(spark, sf_dir):
+    """The last row of each ticker and bin, read from the zipped books; other rows aren't parsed."""
+    folder, msg = fixture.zips(spark, sf_dir)
+    wanted = msg.filter(F.col("bin_idx").between(0, C.bins - 1)).groupBy("ticker", "bin_idx").agg(F.max("row_idx").alias("row_idx"))
+    return zipped.selected_book(spark, folder, wanted, fixture.TICKERS)
+
+
+@query
+def zipped_line_counts(spark, sf_dir):
+    folder, _ = fixture.zips(spark, sf_dir)
+    return zipped.line_counts(stage(zipped.restart_points(spark, folder, fixture.TICKERS)))
+
+
 @query
 def ticker_stats(spark, sf_dir):
     """Statistics in a fixed order of tickers; a ticker without any has zeros."""

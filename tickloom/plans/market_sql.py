@@ -8,6 +8,7 @@ PARTS = {
     "msg": """SELECT (user_id % 5)::INT AS asset, event_id AS row_idx, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000 AS bin_idx, (props::JSON->>'$.k')::BIGINT AS k,
   CASE WHEN (props::JSON->>'$.k')::BIGINT >= 97 THEN 7 WHEN event_type = 'signup' THEN 1 WHEN event_type = 'view' THEN 2 WHEN event_type = 'error' THEN 3 WHEN event_type = 'click' THEN 4 ELSE 5 END AS event_type,
   CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS direction, ((props::JSON->>'$.k')::BIGINT)::DOUBLE AS size, (1000000 + round(value * 100))::BIGINT AS price_int FROM events""",
+    "zlg": "SELECT 'A' || asset AS ticker, bin_idx, k, size, price_int, time, row_number() OVER (PARTITION BY asset ORDER BY time, event_id) - 1 AS row_idx FROM (SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6::DOUBLE AS time FROM events) JOIN msg ON row_idx = event_id",
     "cln": """SELECT asset, row_idx, bin_idx, bin_idx + 1 AS bin_id, event_type, CASE WHEN event_type = 1 THEN 'submission' WHEN event_type IN (2, 3) THEN 'cancellation' WHEN event_type IN (4, 5) THEN 'execution' ELSE 'other' END AS event_family,
   size, price_int / 10000 AS price, direction FROM msg WHERE bin_idx BETWEEN 0 AND 719 AND event_type BETWEEN 1 AND 5""",
     "axis": "SELECT a::INT AS asset, b AS bin_idx FROM range(5) t(a), range(720) u(b)",
@@ -193,6 +194,10 @@ ORACLES = {
         "check_statuses": f"SELECT step, CASE WHEN bool_and(status = 'PASS') THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS checks, count_if(status <> 'PASS') AS failed FROM ({' UNION ALL '.join(_CHECKS)}) GROUP BY step",
         "ticker_stats": "SELECT 'A' || i AS ticker, i + 1 AS ord, coalesce(message_rows, 0) AS message_rows, coalesce(event_bins, 0) AS event_bins FROM range(5) r(i) LEFT JOIN (SELECT asset, count(*) AS message_rows FROM msg GROUP BY ALL) m ON m.asset = i LEFT JOIN (SELECT asset, count(DISTINCT bin_idx) AS event_bins FROM cln GROUP BY ALL) c ON c.asset = i",
         "message_book_counts": "SELECT 'A' || asset AS ticker, count(*) AS message_rows, count(*) AS book_rows FROM msg GROUP BY asset",
+        "zipped_messages": "SELECT ticker, row_idx, round(time, 3) AS time, size, price_int::DOUBLE AS price FROM zlg WHERE time >= 360000 AND time < 1080000",
+        "zipped_selected_book": """SELECT ticker, row_idx, bin_idx, h::INT AS h, CASE WHEN inv THEN 9999999999 ELSE 1000000 + k % 7 * 100 + hf + 100 * (h - 1) END AS ask_p, CASE WHEN inv THEN 0 ELSE 1 + (row_idx * 7 + h * 13) % 50 END AS ask_q, CASE WHEN inv THEN -9999999999 ELSE 1000000 + k % 7 * 100 - hf - 100 * (h - 1) END AS bid_p, CASE WHEN inv THEN 0 ELSE 1 + (row_idx * 11 + h * 17) % 50 END AS bid_q
+  FROM (SELECT *, h >= 8 AND row_idx % 11 = 0 AS inv, 50 * (1 + row_idx % 3) AS hf FROM (SELECT ticker, bin_idx, max(row_idx) AS row_idx, max_by(k, row_idx) AS k FROM zlg WHERE bin_idx BETWEEN 0 AND 719 GROUP BY ALL), range(1, 11) t(h))""",
+        "zipped_line_counts": "SELECT ticker, count(*) AS message_rows, count(*) AS book_rows FROM zlg GROUP BY ALL",
         "project_feature_ball": "SELECT asset, bin_idx, round(a * k, 5) + 0.0 AS a, round(b * k, 5) + 0.0 AS b, round(norm2 * k * k, 8) AS norm2 FROM (SELECT *, least(1, 0.05::DOUBLE / (sqrt(sum(norm2) OVER (PARTITION BY bin_idx)) + 1e-12::DOUBLE)) AS k FROM (SELECT asset, bin_idx, a * k AS a, b * k AS b, norm2 * k * k AS norm2 FROM (SELECT asset, bin_idx, a * 1000 AS a, b * 1000 AS b, norm2 * 1e6::DOUBLE AS norm2, least(1, 0.05::DOUBLE / sqrt(5) / (sqrt(norm2) * 1000 + 1e-12::DOUBLE)) AS k FROM fg)))",
         "raw_attack_1step": "SELECT asset, bin_idx, round(a * k * 1e4::DOUBLE, 6) + 0.0 AS a, round(b * k * 1e4::DOUBLE, 6) + 0.0 AS b, round(norm2 * k * k * 1e8::DOUBLE, 6) + 0.0 AS norm2 FROM (SELECT *, least(1, 0.1::DOUBLE / (sqrt(sum(norm2) OVER (PARTITION BY bin_idx)) + 1e-12::DOUBLE)) AS k FROM (SELECT asset, bin_idx, a * k AS a, b * k AS b, norm2 * k * k AS norm2 FROM (SELECT asset, bin_idx, a * 0.025::DOUBLE AS a, b * 0.025::DOUBLE AS b, norm2 * 0.000625::DOUBLE AS norm2, least(1, 0.1::DOUBLE / sqrt(5) / (sqrt(norm2) * 0.025::DOUBLE + 1e-12::DOUBLE)) AS k FROM fg)))",
         "graph_attack_1step": "SELECT src, dst, round(d * CASE WHEN fro > 0.1::DOUBLE THEN 0.1::DOUBLE / (fro + 1e-12::DOUBLE) ELSE 1 END, 8) + 0.0 AS d FROM (SELECT *, sqrt(sum(d * d) OVER ()) AS fro FROM (SELECT gg.src, gg.dst, CASE WHEN gg.src = gg.dst THEN 0.0 ELSE greatest(0, least(1, w + g * (0.1::DOUBLE / 7) / (sqrt(sum(g * g) OVER ()) + 1e-12::DOUBLE))) - w END AS d FROM gg JOIN nsy ON nsy.src = gg.src AND nsy.dst = gg.dst AND nsy.graph = 'return_abs'))",
