@@ -134,20 +134,73 @@ def test_training_learns_and_evaluation_equals_the_direct_one(market):
         assert set(fine.values()) == {"PASS"}
 
 
-def test_one_training_step_equals_the_direct_one(market):
+def _trained_directly(x, y, g, kind, epochs, seed, cells, size):
+    """The plain loop over all bins: ridge start, attacked batches, the best epoch by validation error."""
+    d, out = C.features, []
+    design = lambda x, g: np.concatenate([x, np.einsum("ij,tjd->tid", g, x), np.ones((*x.shape[:2], 1))], 2)
+    for tau, rho, steps in cells:
+        train, val = (np.arange(*C.split(s, tau)) for s in ("train", "val"))
+        a, b = design(x[train], g).reshape(-1, 103), y[train].ravel()
+        theta = np.linalg.solve(a.T @ a + np.diag([1e-2] * 102 + [0]), a.T @ b)
+        cell = training.Cell(0, tau, rho, steps, seed + tau + int(1000 * rho) + steps)
+        best, kept = np.inf, None
+        for epoch in range(epochs):
+            batch = training.batch_of(train, cell, epoch, size)
+            assert sorted(np.bincount(batch)) == sorted([size] * (len(train) // size) + [len(train) % size] * (len(train) % size > 0))
+            for k in range(batch.max() + 1):
+                xb, yb, around = x[train[batch == k]], y[train[batch == k]], g
+                w0, w1 = theta[:d], theta[d:-1]
+                if kind == "graph" and rho:
+                    e, p = xb @ w0 + theta[-1] - yb, xb @ w1
+                    around = g + attacks.GraphLoss(e.T @ p, p.T @ p, (e * e).sum(), e.size).attack(g, rho, steps)
+                elif rho:
+                    u = np.zeros_like(xb)
+                    for _ in range(steps):
+                        e = (2 / yb.size) * ((xb + u) @ w0 + ((xb + u) @ w1) @ g.T + theta[-1] - yb)
+                        grad = e[..., None] * w0 + (e @ g)[..., None] * w1
+                        u = u + (1.25 * rho / steps * grad if kind == "raw" else rho / steps * grad / (np.linalg.norm(grad.reshape(len(grad), -1), axis=1)[:, None, None] + 1e-12))
+                        u *= np.minimum(1, rho / np.sqrt(5) / (np.linalg.norm(u, axis=2) + 1e-12))[..., None]
+                        u *= np.minimum(1, rho / (np.linalg.norm(u.reshape(len(u), -1), axis=1) + 1e-12))[:, None, None]
+                    xb = xb + u
+                z = design(xb, around).reshape(-1, 103)
+                grad = 2 / yb.size * z.T @ (z @ theta - yb.ravel()) + 2e-4 * np.append(theta[:-1], 0)
+                theta = theta - 0.03 * grad / max(1, np.linalg.norm(grad))
+            error = np.mean((design(x[val], g) @ theta - y[val]) ** 2)
+            if error < best:
+                best, kept = error, theta
+        out.append((best, kept))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["feature", "raw", "graph"])
+def test_training_equals_the_direct_loop(spark, market, kind):
     rows, x, y, g, _ = market
-    cell = training.Cell(0, 1, 0.0, 1, 11)
-    assert cell.deal(512) == 1
-    cell.theta = np.linspace(-0.1, 0.1, 103)
-    got = training._gradients(rows, [cell], 0, "feature", g, {}, C)[0]
-    at = slice(*C.split("train", 1))
-    d = np.concatenate([x[at], np.einsum("ij,tjd->tid", g, x[at]), np.ones((*x[at].shape[:2], 1))], 2).reshape(-1, 103)
-    e = d @ cell.theta - y[at].ravel()
-    assert np.allclose(got, 2 * d.T @ e / len(e))
-    before = cell.theta
-    cell.move(got, 0.03, 1e-4)
-    full = got + 2e-4 * np.append(before[:-1], 0)
-    assert np.allclose(cell.theta, before - 0.03 * full / max(1, np.linalg.norm(full)))
+    cells, tracker = [(1, 0.0, 1), (2, 0.2, 3), (20, 0.05, 1)], spark.sparkContext.statusTracker()
+    jobs = lambda: len(tracker.getJobIdsForGroup(None))
+    training.train(rows, g, kind, 1, 11, cells, size=512, tasks=1)
+    before = jobs()
+    done = training.train(rows, g, kind, 3, 11, cells, size=90, tasks=3)
+    few = jobs()
+    # six batches an epoch over three tasks
+    for cell, (best, kept) in zip(done, _trained_directly(x, y, g, kind, 3, 11, cells, 90), strict=True):
+        assert np.allclose(cell.kept, kept, rtol=0, atol=1e-9) and np.isclose(cell.best, best, rtol=1e-9)
+    training.train(rows, g, kind, 1, 11, cells, size=20, tasks=3)
+    assert jobs() - few == few - before
+
+
+def test_grid_of_radii():
+    assert training.grid((1,)) == [(1, 0.0, 1), (1, 0.05, 1), (1, 0.05, 3), (1, 0.1, 1), (1, 0.1, 3), (1, 0.2, 1), (1, 0.2, 3)]
+    assert training.KINDS == {"raw": (8, 7), "feature": (6, 11), "graph": (7, 23)} and training.BATCH == 512
+
+
+def test_keyed_permutation():
+    for n in (1, 2, 3, 16, 17, 1000, 4097):
+        a, b = (training.shuffled(np.arange(n), n, k) for k in (1, 2))
+        assert sorted(a) == sorted(b) == list(range(n)) and (n < 17 or (a != b).any())
+        # a part of the places goes where it goes among all
+        assert (training.shuffled(np.arange(n)[::3], n, 1) == a[::3]).all()
+    a = training.shuffled(np.arange(100_000), 100_000, 5)
+    assert abs(np.corrcoef(a, np.arange(100_000))[0, 1]) < 0.02
 
 
 def test_selection_has_a_row_for_every_model_and_takes_the_best_penalty(market):

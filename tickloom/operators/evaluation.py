@@ -13,7 +13,10 @@ from .attacks import feature_attack, products
 from .panel import Bins, predictions, sums
 from .training import Cell, graph_losses
 
+#: Radii and steps of the attacks that models are judged by, batches and their bins for sensitivity.
 RHOS, STEPS, STARTS, BATCH = (0.01, 0.05, 0.1, 0.2), 7, 8, 512
+#: The same of the older attack.
+RAW_RHOS, RAW_STEPS = (0.05, 0.1), 5
 
 
 def label(rho: float) -> str:
@@ -27,7 +30,7 @@ def _starts(tau: int, c: Config, size: int = BATCH) -> list[tuple[int, int]]:
     return [(a + s, min(a + s + size, b)) for s in np.linspace(0, max(0, b - a - size), STARTS).astype(int).tolist()]
 
 
-def _feature_rows(rows: DataFrame, cells: list[Cell], g: np.ndarray, rhos: tuple[float, ...], c: Config) -> DataFrame:
+def _feature_rows(rows: DataFrame, cells: list[Cell], g: np.ndarray, rhos: tuple[float, ...], c: Config, steps: int = STEPS, raw: bool = False) -> DataFrame:
     """cell, rho, bin_idx, asset, y, pred; rho 0 is clean."""
     d, known = c.features, [(x.number, x.tau, x.kept) for x in cells]
     size = {tau: (c.split("test", tau)[1] - c.split("test", tau)[0]) * c.assets for tau in c.taus}
@@ -42,7 +45,7 @@ def _feature_rows(rows: DataFrame, cells: list[Cell], g: np.ndarray, rhos: tuple
                 s, p, y = bins.x[at] @ theta[:d], bins.x[at] @ theta[d : 2 * d], bins.y[tau][at]
                 pp, q, r = products(theta, c)
                 for rho in (0.0, *rhos):
-                    a, b = feature_attack(s, p, y, g, theta, rho, STEPS, size[tau], c)
+                    a, b = feature_attack(s, p, y, g, theta, rho, steps, size[tau], c, raw)
                     pred = s + a * pp + b * q + (p + a * q + b * r) @ g.T + theta[-1]
                     yield pa.record_batch([pa.array(np.full(pred.size, number, np.int32)), pa.array(np.full(pred.size, rho)), pa.array(np.repeat(bins.bin[at], c.assets)), pa.array(np.tile(np.arange(c.assets, dtype=np.int32), len(at))), pa.array(y.ravel()), pa.array(pred.ravel())], ["cell", "rho", "bin_idx", "asset", "y", "pred"])
 
@@ -81,9 +84,9 @@ def _evaluated(rows: DataFrame, cells: list[Cell], tested: DataFrame, extra: dic
     return listed.join(tidy.select("cell", *out), "cell").drop("cell")
 
 
-def evaluate_features(rows: DataFrame, cells: list[Cell], g: np.ndarray, rhos: tuple[float, ...] = RHOS, c: Config = CONFIG) -> DataFrame:
-    """One row a cell: tau, rho, r_adv, val_mse, sensitivity, clean and attacked metrics; attacks on features."""
-    tested = models.metrics(_feature_rows(rows, cells, g, rhos, c), c, "cell", "rho")
+def evaluate_features(rows: DataFrame, cells: list[Cell], g: np.ndarray, rhos: tuple[float, ...] = RHOS, c: Config = CONFIG, steps: int = STEPS, raw: bool = False) -> DataFrame:
+    """One row a cell: tau, rho, r_adv, val_mse, sensitivity, clean and attacked metrics; attacks on features, normalised or raw."""
+    tested = models.metrics(_feature_rows(rows, cells, g, rhos, c, steps, raw), c, "cell", "rho")
     return _evaluated(rows, cells, tested, {"sensitivity": _feature_sensitivity(rows, cells, g, c)}, rhos)
 
 

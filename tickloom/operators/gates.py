@@ -122,9 +122,10 @@ def baselines(selected: DataFrame) -> DataFrame:
     return rows_of(r, "03", [positive("results", "n"), holds("mse_finite", "finite"), ("da_range", F.col("high"), (F.col("low") >= 0) & (F.col("high") <= 1), "[0,1]")])
 
 
-def robust(step: str, evaluated: DataFrame, least: float = -1e-14, share: float = 0.9, radius: tuple[str, float, float] | None = None) -> DataFrame:
+def robust(step: str, evaluated: DataFrame, least: float = -1e-14, share: float = 0.9, radius: tuple[str, float, float] | None = None, there: float | None = 0.75) -> DataFrame:
     """Steps 04, 04b and 05, of their rows: all metrics finite, accuracy in range, degradation mostly there and not negative.
 
+    there: the share of rows with any degradation, if that is asked for;
     radius: a column, and the share of rows in which it must be over a number (that the attack uses its radius).
     """
     numbers = [n for n, kind in evaluated.dtypes if kind == "double"]
@@ -132,7 +133,9 @@ def robust(step: str, evaluated: DataFrame, least: float = -1e-14, share: float
     deg = F.col("deg_mse_r010")
     mean = lambda x: F.avg(x.cast("double"))
     r = evaluated.agg(F.count("*").alias("n"), F.bool_and(fine).alias("finite"), F.min("clean_da").alias("low"), F.max("clean_da").alias("high"), mean(F.abs(deg) > 1e-14).alias("there"), mean(deg >= least).alias("up"), F.bool_or(F.col("rho") > 0).alias("robust"), (mean(F.col(radius[0]) > radius[1]) if radius else F.lit(1.0)).alias("radius"))
-    checks = [positive("results", "n"), holds("metrics_finite", "finite"), ("clean_da_range", F.col("high"), (F.col("low") >= 0) & (F.col("high") <= 1), "[0,1]"), ("degradation_there", F.col("there"), F.col("there") >= 0.75, ">= 75%"), ("degradation_mostly_not_negative", F.col("up"), F.col("up") >= share, f">= {share:.0%}"), holds("has_robust_models", "robust")]
+    checks = [positive("results", "n"), holds("metrics_finite", "finite"), ("clean_da_range", F.col("high"), (F.col("low") >= 0) & (F.col("high") <= 1), "[0,1]"), ("degradation_mostly_not_negative", F.col("up"), F.col("up") >= share, f">= {share:.0%}"), holds("has_robust_models", "robust")]
+    if there is not None:
+        checks.append(("degradation_there", F.col("there"), F.col("there") >= there, f">= {there:.0%}"))
     if radius:
         checks.append(("attack_uses_radius", F.col("radius"), F.col("radius") >= radius[2], f">= {radius[2]:.0%}"))
     return rows_of(r, step, checks)
@@ -144,6 +147,17 @@ def edges(step: str, g: DataFrame, c: Config = CONFIG) -> DataFrame:
     return rows_of(r, step, [equals("graph_edges", "n", c.assets * c.assets), ("graph_diagonal_zero", F.col("diagonal"), F.col("diagonal") < 1e-8, "0"), ("graph_range", F.col("high"), (F.col("low") >= -1e-8) & (F.col("high") <= 1 + 1e-8), "[0,1]")])
 
 
+def inputs(steps: list[str], std: DataFrame, targets: DataFrame, c: Config = CONFIG) -> DataFrame:
+    """Steps 04 to 05, of what they are trained on: as many values as bins, assets and features, and targets of every horizon."""
+    r = std.agg(F.count("*").alias("values")).join(targets.filter("y is not null").agg(F.countDistinct("tau").alias("taus")), F.lit(True))
+    return stacked(*(rows_of(r, s, [equals("standardized_values", "values", c.bins * c.assets * c.features), equals("targets_available", "taus", len(c.taus))]) for s in steps))
+
+
+def horizons(parts: dict[str, DataFrame], c: Config = CONFIG) -> DataFrame:
+    """Step 06, of the results of earlier steps: each has every horizon."""
+    return stacked(*(rows_of(rows.agg(F.countDistinct("tau").alias("taus")), "06", [equals(f"all_horizons_in_{step}", "taus", len(c.taus))]) for step, rows in parts.items()))
+
+
 def final(table: DataFrame, earlier: DataFrame, c: Config = CONFIG) -> DataFrame:
     """Step 06: earlier steps passed, every horizon is there, gains of graph (all horizons) and feature (some) models."""
     r = table.agg(F.countDistinct("tau").alias("taus"), F.count("*").alias("n"), F.bool_and(F.col("graph_gain") > 0).alias("graph"), F.bool_or(F.col("feature_gain") > 0).alias("feature"))

@@ -38,6 +38,17 @@ class Bins:
         self.x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, c.assets, c.features)
         self.y = {t: batch.column(f"y{t}").flatten().to_numpy(zero_copy_only=False).reshape(n, c.assets) for t in c.taus}
 
+    @classmethod
+    def together(cls, parts: list[Bins], c: Config = CONFIG) -> Bins:
+        """The bins of all parts, in order of bins."""
+        out = cls.__new__(cls)
+        out.bin = np.concatenate([p.bin for p in parts]) if parts else np.zeros(0, np.int64)
+        order = np.argsort(out.bin, kind="stable")
+        out.bin = out.bin[order]
+        out.x = np.concatenate([p.x for p in parts])[order] if parts else np.zeros((0, c.assets, c.features))
+        out.y = {t: np.concatenate([p.y[t] for p in parts])[order] if parts else np.zeros((0, c.assets)) for t in c.taus}
+        return out
+
     def inside(self, split: str, tau: int, c: Config = CONFIG) -> np.ndarray:
         a, b = c.split(split, tau)
         return np.flatnonzero((self.bin >= a) & (self.bin < b) & np.isfinite(self.y[tau]).all(1))

@@ -124,12 +124,17 @@ class Market:
     @cached_property
     def feature_robust(self) -> DataFrame:
         g = self.matrix(self.graph())
-        return stage(evaluation.evaluate_features(self.panel, training.train(self.panel, g, "feature", 6, 11), g))
+        return stage(evaluation.evaluate_features(self.panel, training.train(self.panel, g, "feature"), g))
+
+    @cached_property
+    def raw_robust(self) -> DataFrame:
+        g = self.matrix(self.graph())
+        return stage(evaluation.evaluate_features(self.panel, training.train(self.panel, g, "raw"), g, evaluation.RAW_RHOS, steps=evaluation.RAW_STEPS, raw=True))
 
     @cached_property
     def graph_robust(self) -> DataFrame:
         g = self.matrix(self.symmetric())
-        return stage(evaluation.evaluate_graphs(self.panel, training.train(self.panel, g, "graph", 7, 23), g))
+        return stage(evaluation.evaluate_graphs(self.panel, training.train(self.panel, g, "graph"), g))
 
     def final(self) -> DataFrame:
         """Selected, feature-robust and graph-robust models side by side per horizon."""
@@ -525,9 +530,15 @@ def checks(spark, sf_dir):
 def checks_trained(spark, sf_dir):
     """The gates of selected and trained models, and of the summary."""
     m = Market(spark, sf_dir)
-    older = gates.stacked(gates.baselines(m.selected), gates.edges("04b", stage(m.graph())), gates.robust("04b", m.feature_robust), gates.edges("05", stage(m.symmetric())), gates.robust("05", m.graph_robust, share=0.8, radius=("delta_fro_r010", 0.09, 0.75)))
+    g = stage(m.graph())
+    older = gates.stacked(
+        gates.baselines(m.selected), gates.inputs(["04", "04b", "05"], m.std, features.targets(m.mids)),
+        gates.edges("04", g), gates.robust("04", m.raw_robust, least=-1e-12, there=None),
+        gates.edges("04b", g), gates.robust("04b", m.feature_robust),
+        gates.edges("05", stage(m.symmetric())), gates.robust("05", m.graph_robust, share=0.8, radius=("delta_fro_r010", 0.09, 0.75)),
+    )
     older = stage(older)
-    return older.unionByName(gates.final(m.final(), older))
+    return gates.stacked(older, gates.horizons({"03": m.selected, "04b": m.feature_robust, "05": m.graph_robust}), gates.final(m.final(), older))
 
 
 @query
@@ -553,6 +564,12 @@ def feature_robust(spark, sf_dir):
     return Market(spark, sf_dir).feature_robust
 
 
+@query
+def raw_robust(spark, sf_dir):
+    """28 models trained against the older attack on features, along the gradient as it is, and judged by five steps of it."""
+    return Market(spark, sf_dir).raw_robust
+
+
 @query
 def graph_robust(spark, sf_dir):
     """28 models trained against attacks on the graph, evaluated clean and attacked."""
