@@ -26,13 +26,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each near-duplicate class stays.
 
-    Of rows with one doc_id and one text one stays; rows with one doc_id and other texts are one document and stay or go
+    Of rows with one doc_id and one text one stays, the first by lang, source and n_chars; rows with one doc_id and other texts are one document and stay or go
     together. Rows without doc_id or text stay.
     """
     gone = near.near_classes(docs).filter("doc_id <> class_id").select("doc_id").distinct()
     kept = docs.filter("doc_id is not null").join(gone.hint("merge"), "doc_id", "left_anti")
     # dealt by doc_id already
-    once = kept.withColumn("i", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))).filter("i = 1")
+    once = kept.withColumn("i", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source", "n_chars"))).filter("i = 1")
     return once.select(COLUMNS).unionByName(docs.filter("doc_id is null").select(COLUMNS))
 
 
