@@ -11,6 +11,12 @@ from . import models
 from .panel import moments, pooled, predictions
 
 
+def ridge_path(of: dict[tuple[str, int], np.ndarray], g: np.ndarray, tau: int, columns: np.ndarray, free: bool, c: Config = CONFIG) -> list[tuple[float, float, np.ndarray]]:
+    """alpha, validation error, theta of every ridge penalty, from the panel's moments."""
+    train, val = (pooled(of[split, tau], g, c) for split in ("train", "val"))
+    return [(a, models.mse_of(val, theta), theta) for a in models.RIDGE_ALPHAS for theta in [models.ridge(train, a, columns, free)]]
+
+
 def fitted(rows: DataFrame, graphs: dict[str, np.ndarray], c: Config = CONFIG) -> list[tuple[str, str, int, float, float, np.ndarray]]:
     """model, graph, tau, alpha, val_mse, theta of the best penalty (the first of equals) for every horizon and model."""
     found, own, every = [], np.append(np.arange(c.features), 2 * c.features), np.arange(2 * c.features + 1)

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..config import CONFIG as C
 from ..functions.lineage import shared_folder, stage
 from ..operators import attacks, bins, book, evaluation, features, gates, graphs, models, summary, training
+from ..operators.panel import moments as panel_moments
 from ..operators.panel import panel
 from ..operators.selection import best_of_tau, selection
+from ..operators.selection import ridge_path as ridge_path_of
 from ..sources import logs, zipped
 from . import fixture
 
@@ -463,15 +465,36 @@ def graph_attack_1step(spark, sf_dir):
     return _round(attacks.graph_step(attacks.graph_gradient(m.scored(m.graph())), stage(m.symmetric()), 0.1, 7), d=8)
 
 
+def _degraded(m: Market, rows: DataFrame, matrix: np.ndarray, rhos: tuple[float, ...], steps: int, raw: bool = False) -> DataFrame:
+    """rho, clean, mse of the fixed model attacked on its features; rows: a test split as one batch, of one row a bin and asset."""
+    x = attacks.attacked(attacks.packed(rows, "s", "p", "y"), matrix, m.theta, rhos, steps, rows.count(), raw=raw)
+    return x.groupBy("rho").agg(*(F.avg(F.pow(F.col(c) - F.col("y"), 2)).alias(n) for c, n in (("clean", "clean"), ("pred", "mse"))))
+
+
 @query
 def raw_attack_curve(spark, sf_dir):
     """Degradation of the fixed model by the older attack of five steps, by radius."""
     m = Market(spark, sf_dir)
     g = m.graph()
-    rows, matrix, rhos = m.scored(g), m.matrix(g), (0.05, 0.1)
-    x = attacks.attacked(attacks.packed(rows, "s", "p", "y"), matrix, m.theta, rhos, 5, rows.count(), raw=True)
-    sq = lambda c: F.avg(F.pow(F.col(c) - F.col("y"), 2))
-    return x.groupBy("rho").agg(sq("clean").alias("clean_mse"), sq("pred").alias("mse"), (sq("pred") - sq("clean")).alias("deg_mse"))
+    x = _degraded(m, m.scored(g), m.matrix(g), (0.05, 0.1), 5, raw=True)
+    return x.select("rho", *(F.round(v * k, d).alias(n) for n, v, k, d in (("clean_mse_ppm", F.col("clean"), 1e6, 4), ("mse_ppm", F.col("mse"), 1e6, 4), ("deg_mse_e12", F.col("mse") - F.col("clean"), 1e12, 3))))
+
+
+@query
+def ridge_solved(spark, sf_dir):
+    """Ridge of penalty 0.01 from the test split's moments; the intercept is free."""
+    m = Market(spark, sf_dir)
+    theta = models.ridge(models.gram_matrix(m.design(m.graph(), "test")), 1e-2, np.arange(2 * C.features + 1))
+    return spark.createDataFrame([(k, round(float(v) * 1e4, 5) + 0.0) for k, v in enumerate(theta)], "k int, theta_bps double")
+
+
+@query
+def ridge_path(spark, sf_dir):
+    """Ridge on the return_abs graph for the next bin: the validation error of every penalty, and which one is chosen."""
+    m = Market(spark, sf_dir)
+    path = ridge_path_of(panel_moments(m.panel), m.matrix(m.graph()), 1, np.arange(2 * C.features + 1), free=False)
+    best = min(range(len(path)), key=lambda i: path[i][1])
+    return spark.createDataFrame([(a, round(e * 1e8, 4), i == best) for i, (a, e, _) in enumerate(path)], "alpha double, val_mse_e8 double, chosen boolean")
 
 
 @query
@@ -589,10 +612,8 @@ def attack_curve(spark, sf_dir):
     m = Market(spark, sf_dir)
     g = m.graph()
     matrix, rows, rhos = m.matrix(g), m.scored(g), (0.01, 0.05, 0.1, 0.2)
-    n = rows.count()
-    x = attacks.attacked(attacks.packed(rows, "s", "p", "y"), matrix, m.theta, rhos, 7, n)
-    by_feature = x.groupBy("rho").agg((F.avg(F.pow(F.col("pred") - F.col("y"), 2)) - F.avg(F.pow(F.col("clean") - F.col("y"), 2))).alias("deg_mse")).withColumn("kind", F.lit("feature"))
+    by_feature = _degraded(m, rows, matrix, rhos, 7).select("rho", F.lit("feature").alias("kind"), (F.col("mse") - F.col("clean")).alias("deg"))
     loss = attacks.graph_loss(rows, float(m.theta[-1]))
     clean = loss.mse(matrix)
-    by_graph = spark.createDataFrame([(r, loss.mse(matrix + loss.attack(matrix, r, 7)) - clean, "graph") for r in rhos], "rho double, deg_mse double, kind string")
-    return by_feature.unionByName(by_graph)
+    by_graph = spark.createDataFrame([(r, "graph", loss.mse(matrix + loss.attack(matrix, r, 7)) - clean) for r in rhos], "rho double, kind string, deg double")
+    return by_feature.unionByName(by_graph).select("rho", "kind", F.round(F.col("deg") * 1e6, 4).alias("deg_mse_ppm"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from ..operators.models import RIDGE_ALPHAS
+from .attack_sql import error_of, feature_curve, graph_curve, ridge
+
 PARTS = {
     "msg": """SELECT (user_id % 5)::INT AS asset, event_id AS row_idx, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000 AS bin_idx, (props::JSON->>'$.k')::BIGINT AS k,
   CASE WHEN (props::JSON->>'$.k')::BIGINT >= 97 THEN 7 WHEN event_type = 'signup' THEN 1 WHEN event_type = 'view' THEN 2 WHEN event_type = 'error' THEN 3 WHEN event_type = 'click' THEN 4 ELSE 5 END AS event_type,
@@ -67,6 +70,8 @@ PARTS = {
     "gr": "SELECT a.asset AS src, b.asset AS dst, 2 * sum(a.e * b.p) / (SELECT count(*) FROM tst) AS v FROM tst a JOIN tst b USING (bin_idx) GROUP BY ALL",
     "gg": "SELECT a.src, a.dst, CASE WHEN a.src = a.dst THEN 0.0 ELSE (a.v + b.v) / 2 END AS g FROM gr a JOIN gr b ON a.src = b.dst AND a.dst = b.src",
     "dz": "SELECT asset, bin_idx, f AS k, x AS d FROM sdz WHERE bin_idx >= 612 AND bin_idx < 719 UNION ALL SELECT asset, bin_idx, f + 51, x FROM near WHERE bin_idx >= 612 AND bin_idx < 719 UNION ALL SELECT asset, bin_idx, 102, 1.0 FROM tst UNION ALL SELECT asset, bin_idx, 103, y FROM tst",
+    "dzt": "SELECT s.* FROM (SELECT asset, bin_idx, f AS k, x AS d FROM sdz UNION ALL SELECT asset, bin_idx, f + 51, x FROM near UNION ALL SELECT asset, bin_idx, 102, 1.0 FROM axis UNION ALL SELECT asset, bin_idx, 103, y FROM tgt WHERE tau = 1) s WHERE bin_idx < 503",
+    "dzv": "SELECT s.* FROM (SELECT asset, bin_idx, f AS k, x AS d FROM sdz UNION ALL SELECT asset, bin_idx, f + 51, x FROM near UNION ALL SELECT asset, bin_idx, 102, 1.0 FROM axis UNION ALL SELECT asset, bin_idx, 103, y FROM tgt WHERE tau = 1) s WHERE bin_idx >= 504 AND bin_idx < 611",
     "res": "SELECT tau, rho::DOUBLE AS rho, r_adv, clean_mse::DOUBLE AS clean_mse, deg_mse::DOUBLE AS deg_mse, sensitivity::DOUBLE AS sensitivity FROM (VALUES (1, 0.0, 1, 3.0, 0.9, 2.0), (1, 0.05, 1, 3.1, 0.7, 1.8), (1, 0.1, 3, 3.2, 0.7, 1.7), (2, 0.0, 1, 4.0, 0.5, 1.0), (2, 0.05, 1, 4.5, 0.6, 0.9), (2, 0.1, 1, 4.1, 0.8, 1.2), (10, 0.0, 1, 5.0, 0.4, 3.0), (10, 0.1, 3, 5.5, 0.4, 2.5)) v(tau, rho, r_adv, clean_mse, deg_mse, sensitivity)",
 }
 
@@ -194,6 +199,10 @@ ORACLES = {
         "check_statuses": f"SELECT step, CASE WHEN bool_and(status = 'PASS') THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS checks, count_if(status <> 'PASS') AS failed FROM ({' UNION ALL '.join(_CHECKS)}) GROUP BY step",
         "ticker_stats": "SELECT 'A' || i AS ticker, i + 1 AS ord, coalesce(message_rows, 0) AS message_rows, coalesce(event_bins, 0) AS event_bins FROM range(5) r(i) LEFT JOIN (SELECT asset, count(*) AS message_rows FROM msg GROUP BY ALL) m ON m.asset = i LEFT JOIN (SELECT asset, count(DISTINCT bin_idx) AS event_bins FROM cln GROUP BY ALL) c ON c.asset = i",
         "message_book_counts": "SELECT 'A' || asset AS ticker, count(*) AS message_rows, count(*) AS book_rows FROM msg GROUP BY asset",
+        "attack_curve": f"SELECT rho, kind, round((mse - clean) * 1e6::DOUBLE, 4) AS deg_mse_ppm FROM (SELECT *, 'feature' AS kind FROM ({feature_curve('normalised', (0.01, 0.05, 0.1, 0.2))}) UNION ALL SELECT *, 'graph' AS kind FROM ({graph_curve((0.01, 0.05, 0.1, 0.2))}))",
+        "raw_attack_curve": f"SELECT rho, round(clean * 1e6::DOUBLE, 4) AS clean_mse_ppm, round(mse * 1e6::DOUBLE, 4) AS mse_ppm, round((mse - clean) * 1e12::DOUBLE, 3) AS deg_mse_e12 FROM ({feature_curve('raw', (0.05, 0.1))})",
+        "ridge_solved": f"SELECT k, round(theta * 1e4::DOUBLE, 5) + 0.0 AS theta_bps FROM ({ridge('dz', (0.01,), 103, True)})",
+        "ridge_path": f"SELECT alpha, round(mse * 1e8::DOUBLE, 4) AS val_mse_e8, alpha = min_by(alpha, mse) OVER () AS chosen FROM ({error_of(ridge('dzt', RIDGE_ALPHAS, 103, False), 'dzv', 103)})",
         "zipped_messages": "SELECT ticker, row_idx, round(time, 3) AS time, size, price_int::DOUBLE AS price FROM zlg WHERE time >= 360000 AND time < 1080000",
         "zipped_selected_book": """SELECT ticker, row_idx, bin_idx, h::INT AS h, CASE WHEN inv THEN 9999999999 ELSE 1000000 + k % 7 * 100 + hf + 100 * (h - 1) END AS ask_p, CASE WHEN inv THEN 0 ELSE 1 + (row_idx * 7 + h * 13) % 50 END AS ask_q, CASE WHEN inv THEN -9999999999 ELSE 1000000 + k % 7 * 100 - hf - 100 * (h - 1) END AS bid_p, CASE WHEN inv THEN 0 ELSE 1 + (row_idx * 11 + h * 17) % 50 END AS bid_q
   FROM (SELECT *, h >= 8 AND row_idx % 11 = 0 AS inv, 50 * (1 + row_idx % 3) AS hf FROM (SELECT ticker, bin_idx, max(row_idx) AS row_idx, max_by(k, row_idx) AS k FROM zlg WHERE bin_idx BETWEEN 0 AND 719 GROUP BY ALL), range(1, 11) t(h))""",
