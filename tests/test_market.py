@@ -63,12 +63,29 @@ def test_ridge_and_lasso_from_moments():
     m, cols = a.T @ a, np.arange(5)
     want = np.linalg.solve(x.T @ x + np.diag([0.1] * 4 + [0]), x.T @ y)
     assert np.allclose(models.ridge(m, 0.1, cols), want)
-    theta = models.lasso(m, 0.05, cols)
+    theta = models.lassos([m], (0.05,), cols)[0][0]
     grad = x[:, :4].T @ (x @ theta - y) / 200
     assert np.all(np.abs(grad) <= 0.05 + 1e-6) and np.allclose(np.abs(grad[np.abs(theta[:4]) > 0]), 0.05, atol=1e-5)
     assert np.isclose(models.mse_of(m, theta), np.mean((x @ theta - y) ** 2))
 
 
+def test_lasso_paths_meet_the_conditions():
+    rng = np.random.default_rng(8)
+    alphas, problems = (1e-4, 1e-1, 1e-2, 10.0, 1e-3), []
+    for n in (60, 200):
+        x = rng.standard_normal((n, 12)) @ rng.standard_normal((12, 12))
+        # a constant column, a repeated one and its opposite
+        x[:, 3], x[:, 5], x[:, 6] = 0, x[:, 4], -x[:, 4]
+        y = x[:, 0] - 2 * x[:, 7] + rng.standard_normal(n)
+        problems.append((x.T @ x / n, x.T @ y / n))
+    for a, b in problems:
+        w = models.lasso_path(a, b, alphas)
+        for v, alpha in zip(w, alphas, strict=True):
+            grad, on = b - a @ v, v != 0
+            assert (np.abs(grad) <= alpha + 1e-9).all() and np.allclose(grad[on], alpha * np.sign(v[on]), atol=1e-9)
+        assert (w[:, 3] == 0).all() and (w[3] == 0).all() and (w[0] != 0).sum() > 2
+
+
 def test_feature_attack_equals_the_direct_one():
     rng = np.random.default_rng(2)
     x, y, theta = rng.standard_normal((6, 5, C.features)), rng.standard_normal((6, 5)), rng.standard_normal(103) / 10

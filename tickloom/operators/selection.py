@@ -21,13 +21,14 @@ def fitted(rows: DataFrame, graphs: dict[str, np.ndarray], c: Config = CONFIG) -
     """model, graph, tau, alpha, val_mse, theta of the best penalty (the first of equals) for every horizon and model."""
     found, own, every = [], np.append(np.arange(c.features), 2 * c.features), np.arange(2 * c.features + 1)
     none, of = np.zeros((c.assets, c.assets)), moments(rows, c)
+    alone = {(split, tau): pooled(of[split, tau], none, c) for tau in c.taus for split in ("train", "val")}
+    lassos = dict(zip(c.taus, models.lassos([alone["train", tau] for tau in c.taus], models.LASSO_ALPHAS, own), strict=True))
     for tau in c.taus:
-        kinds = [("ridge_own", "none", none, models.RIDGE_ALPHAS, lambda m, a: models.ridge(m, a, own)), ("lasso_own", "none", none, models.LASSO_ALPHAS, lambda m, a: models.lasso(m, a, own))]
-        kinds += [("graph_ridge", name, g, models.RIDGE_ALPHAS, lambda m, a: models.ridge(m, a, every, free=False)) for name, g in graphs.items()]
-        for model, name, g, alphas, fit in kinds:
-            train, val = (pooled(of[split, tau], g, c) for split in ("train", "val"))
-            tried = [(models.mse_of(val, theta), i, alpha, theta) for i, alpha in enumerate(alphas) for theta in [fit(train, alpha)]]
-            error, _, alpha, theta = min(tried, key=lambda t: t[:2])
+        tried = [("ridge_own", "none", ridge_path(of, none, tau, own, True, c))]
+        tried.append(("lasso_own", "none", [(a, models.mse_of(alone["val", tau], theta), theta) for a, theta in zip(models.LASSO_ALPHAS, lassos[tau], strict=True)]))
+        tried += [("graph_ridge", name, ridge_path(of, g, tau, every, False, c)) for name, g in graphs.items()]
+        for model, name, path in tried:
+            alpha, error, theta = min(path, key=lambda t: t[1])
             found.append((model, name, tau, alpha, error, theta))
     return found
 
