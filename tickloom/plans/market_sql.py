@@ -72,7 +72,11 @@ PARTS = {
     "dz": "SELECT asset, bin_idx, f AS k, x AS d FROM sdz WHERE bin_idx >= 612 AND bin_idx < 719 UNION ALL SELECT asset, bin_idx, f + 51, x FROM near WHERE bin_idx >= 612 AND bin_idx < 719 UNION ALL SELECT asset, bin_idx, 102, 1.0 FROM tst UNION ALL SELECT asset, bin_idx, 103, y FROM tst",
     "dzt": "SELECT s.* FROM (SELECT asset, bin_idx, f AS k, x AS d FROM sdz UNION ALL SELECT asset, bin_idx, f + 51, x FROM near UNION ALL SELECT asset, bin_idx, 102, 1.0 FROM axis UNION ALL SELECT asset, bin_idx, 103, y FROM tgt WHERE tau = 1) s WHERE bin_idx < 503",
     "dzv": "SELECT s.* FROM (SELECT asset, bin_idx, f AS k, x AS d FROM sdz UNION ALL SELECT asset, bin_idx, f + 51, x FROM near UNION ALL SELECT asset, bin_idx, 102, 1.0 FROM axis UNION ALL SELECT asset, bin_idx, 103, y FROM tgt WHERE tau = 1) s WHERE bin_idx >= 504 AND bin_idx < 611",
-    "res": "SELECT tau, rho::DOUBLE AS rho, r_adv, clean_mse::DOUBLE AS clean_mse, deg_mse::DOUBLE AS deg_mse, sensitivity::DOUBLE AS sensitivity FROM (VALUES (1, 0.0, 1, 3.0, 0.9, 2.0), (1, 0.05, 1, 3.1, 0.7, 1.8), (1, 0.1, 3, 3.2, 0.7, 1.7), (2, 0.0, 1, 4.0, 0.5, 1.0), (2, 0.05, 1, 4.5, 0.6, 0.9), (2, 0.1, 1, 4.1, 0.8, 1.2), (10, 0.0, 1, 5.0, 0.4, 3.0), (10, 0.1, 3, 5.5, 0.4, 2.5)) v(tau, rho, r_adv, clean_mse, deg_mse, sensitivity)",
+    "cel": "SELECT rho::DOUBLE AS rho, r_adv, f::DOUBLE AS f FROM (VALUES (0.0, 1, 1.0), (0.05, 1, 0.9), (0.05, 3, 0.8), (0.1, 1, 0.7), (0.1, 3, 0.6)) v(rho, r_adv, f)",
+    "tsm": "SELECT tau, rho, r_adv, f, bin_idx, asset, s * f AS s, p * f AS p, y FROM prd JOIN tgt USING (asset, bin_idx), cel WHERE bin_idx >= 612 AND bin_idx < 720 - tau",
+    "ngs": "SELECT src, dst, w FROM nsy WHERE graph = 'return_abs'",
+    "res": f"SELECT tau, rho, r_adv, clean AS clean_mse, mse - clean AS deg_mse, sens AS sensitivity FROM ({feature_curve('normalised', (0.1,), 'tsm', 'tau, rho, r_adv, f')})",
+    "rsg": f"SELECT tau, rho, r_adv, clean AS clean_mse, mse - clean AS deg_mse, sens AS sensitivity FROM ({graph_curve((0.1,), 'tsm', 'tau, rho, r_adv, f', 'ngs')})",
 }
 
 
@@ -97,8 +101,7 @@ def _rounded(table: str, keys: str, values: dict[str, int], scale: str = "") ->
 _METRICS = """SELECT round(avg(e * e), 8) AS mse, round(avg(abs(e)), 8) AS mae, round((sum((sign(pred) = sign(y))::INT) FILTER (y <> 0)) / (count(*) FILTER (y <> 0)), 8) AS da, (SELECT round(avg(pnl) / (stddev_pop(pnl) + 1e-12::DOUBLE), 5) FROM (SELECT bin_idx, sum(pred * y) / (sum(abs(pred)) + 1e-12::DOUBLE) AS pnl FROM {t} GROUP BY ALL)) AS sharpe FROM (SELECT *, pred - y AS e FROM {t})"""
 
 _ROBUST = "(SELECT b.tau, p.clean_mse AS erm_clean_mse, b.clean_mse AS robust_clean_mse, p.deg_mse - b.deg_mse AS gain, p.sensitivity - b.sensitivity AS sens, 'rho=' || b.rho || ',R=' || b.r_adv AS choice FROM (SELECT *, row_number() OVER (PARTITION BY tau ORDER BY deg_mse, rho, r_adv) AS i FROM {t} WHERE rho > 0) b JOIN (SELECT * FROM {t} WHERE rho = 0) p ON p.tau = b.tau WHERE i = 1)"
-_OTHER = "(SELECT tau, rho, r_adv, clean_mse + rho AS clean_mse, deg_mse - rho * tau + 0.3::DOUBLE AS deg_mse, sensitivity FROM res)"
-_ABLATION = f"SELECT f.tau, (SELECT min(clean_mse) FROM res WHERE res.tau = f.tau) AS best_clean_mse, f.robust_clean_mse AS feature_robust_clean_mse, f.gain AS feature_gain, f.choice AS feature_robust_choice, g.erm_clean_mse AS erm_clean_mse_reference, g.robust_clean_mse AS graph_robust_clean_mse, g.gain AS graph_gain, g.sens AS sensitivity_improvement, g.choice AS graph_robust_choice FROM {_ROBUST.format(t='res')} f JOIN {_ROBUST.format(t=_OTHER)} g ON g.tau = f.tau"
+_ABLATION = f"SELECT f.tau, (SELECT min(clean_mse) FROM res WHERE res.tau = f.tau) AS best_clean_mse, f.robust_clean_mse AS feature_robust_clean_mse, f.gain AS feature_gain, f.choice AS feature_robust_choice, g.erm_clean_mse AS erm_clean_mse_reference, g.robust_clean_mse AS graph_robust_clean_mse, g.gain AS graph_gain, g.sens AS sensitivity_improvement, g.choice AS graph_robust_choice FROM {_ROBUST.format(t='res')} f JOIN {_ROBUST.format(t='rsg')} g ON g.tau = f.tau"
 
 
 def _checks(step: str, table: str, checks: list[tuple[str, str, str, str]], prefix: str = "''") -> str:
@@ -193,14 +196,14 @@ ORACLES = {
         "grad_g_fixed": "SELECT src, dst, round(g, 8) + 0.0 AS g FROM gg",
         "feature_attack_1step": "SELECT asset, bin_idx, round(a, 5) + 0.0 AS a, round(b, 5) + 0.0 AS b, round(norm2, 8) AS norm2 FROM f3",
         "sensitivity_fixed": "SELECT round(avg(n) * 1000, 6) AS sensitivity FROM (SELECT s, avg(norm) AS n FROM (SELECT bin_idx, sqrt(sum(norm2)) AS norm FROM fg GROUP BY ALL) JOIN (SELECT DISTINCT i, 612 + (75 * i) // 7 AS s FROM range(8) r(i)) ON bin_idx >= s AND bin_idx < s + 32 GROUP BY i, s)",
-        "best_by_tau": "SELECT tau, rho, r_adv, clean_mse FROM (SELECT *, row_number() OVER (PARTITION BY tau ORDER BY clean_mse, rho, r_adv) AS i FROM res) WHERE i = 1",
-        "robust_vs_erm": "SELECT b.tau, p.clean_mse AS erm_clean_mse, b.clean_mse AS robust_clean_mse, p.deg_mse AS erm_deg_mse, b.deg_mse AS robust_deg_mse, round(p.deg_mse - b.deg_mse, 8) AS deg_mse_improvement, round(p.sensitivity - b.sensitivity, 8) AS sensitivity_improvement FROM (SELECT *, row_number() OVER (PARTITION BY tau ORDER BY deg_mse, rho, r_adv) AS i FROM res WHERE rho > 0) b JOIN (SELECT * FROM res WHERE rho = 0) p ON p.tau = b.tau WHERE i = 1",
+        "best_by_tau": "SELECT tau, rho, r_adv, round(clean_mse * 1e6::DOUBLE, 4) AS clean_mse_ppm FROM (SELECT *, row_number() OVER (PARTITION BY tau ORDER BY clean_mse, rho, r_adv) AS i FROM res) WHERE i = 1",
+        "robust_vs_erm": "SELECT b.tau, " + ", ".join(f"round(({v}) * 1e6::DOUBLE, 4) + 0.0 AS {n}_ppm" for n, v in {"erm_clean_mse": "p.clean_mse", "robust_clean_mse": "b.clean_mse", "erm_deg_mse": "p.deg_mse", "robust_deg_mse": "b.deg_mse", "deg_mse_improvement": "p.deg_mse - b.deg_mse", "sensitivity_improvement": "p.sensitivity - b.sensitivity"}.items()) + ", 'rho=' || b.rho || ',R=' || b.r_adv AS robust_choice FROM (SELECT *, row_number() OVER (PARTITION BY tau ORDER BY deg_mse, rho, r_adv) AS i FROM res WHERE rho > 0) b JOIN (SELECT * FROM res WHERE rho = 0) p ON p.tau = b.tau WHERE i = 1",
         "checks": " UNION ALL ".join(_CHECKS),
         "check_statuses": f"SELECT step, CASE WHEN bool_and(status = 'PASS') THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS checks, count_if(status <> 'PASS') AS failed FROM ({' UNION ALL '.join(_CHECKS)}) GROUP BY step",
         "ticker_stats": "SELECT 'A' || i AS ticker, i + 1 AS ord, coalesce(message_rows, 0) AS message_rows, coalesce(event_bins, 0) AS event_bins FROM range(5) r(i) LEFT JOIN (SELECT asset, count(*) AS message_rows FROM msg GROUP BY ALL) m ON m.asset = i LEFT JOIN (SELECT asset, count(DISTINCT bin_idx) AS event_bins FROM cln GROUP BY ALL) c ON c.asset = i",
         "message_book_counts": "SELECT 'A' || asset AS ticker, count(*) AS message_rows, count(*) AS book_rows FROM msg GROUP BY asset",
-        "attack_curve": f"SELECT rho, kind, round((mse - clean) * 1e6::DOUBLE, 4) AS deg_mse_ppm FROM (SELECT *, 'feature' AS kind FROM ({feature_curve('normalised', (0.01, 0.05, 0.1, 0.2))}) UNION ALL SELECT *, 'graph' AS kind FROM ({graph_curve((0.01, 0.05, 0.1, 0.2))}))",
-        "raw_attack_curve": f"SELECT rho, round(clean * 1e6::DOUBLE, 4) AS clean_mse_ppm, round(mse * 1e6::DOUBLE, 4) AS mse_ppm, round((mse - clean) * 1e12::DOUBLE, 3) AS deg_mse_e12 FROM ({feature_curve('raw', (0.05, 0.1))})",
+        "attack_curve": f"SELECT rad AS rho, kind, round((mse - clean) * 1e6::DOUBLE, 4) AS deg_mse_ppm FROM (SELECT *, 'feature' AS kind FROM ({feature_curve('normalised', (0.01, 0.05, 0.1, 0.2))}) UNION ALL SELECT *, 'graph' AS kind FROM ({graph_curve((0.01, 0.05, 0.1, 0.2))}))",
+        "raw_attack_curve": f"SELECT rad AS rho, round(clean * 1e6::DOUBLE, 4) AS clean_mse_ppm, round(mse * 1e6::DOUBLE, 4) AS mse_ppm, round((mse - clean) * 1e12::DOUBLE, 3) AS deg_mse_e12 FROM ({feature_curve('raw', (0.05, 0.1))})",
         "ridge_solved": f"SELECT k, round(theta * 1e4::DOUBLE, 5) + 0.0 AS theta_bps FROM ({ridge('dz', (0.01,), 103, True)})",
         "ridge_path": f"SELECT alpha, round(mse * 1e8::DOUBLE, 4) AS val_mse_e8, alpha = min_by(alpha, mse) OVER () AS chosen FROM ({error_of(ridge('dzt', RIDGE_ALPHAS, 103, False), 'dzv', 103)})",
         "zipped_messages": "SELECT ticker, row_idx, round(time, 3) AS time, size, price_int::DOUBLE AS price FROM zlg WHERE time >= 360000 AND time < 1080000",
@@ -210,7 +213,7 @@ ORACLES = {
         "project_feature_ball": "SELECT asset, bin_idx, round(a * k, 5) + 0.0 AS a, round(b * k, 5) + 0.0 AS b, round(norm2 * k * k, 8) AS norm2 FROM (SELECT *, least(1, 0.05::DOUBLE / (sqrt(sum(norm2) OVER (PARTITION BY bin_idx)) + 1e-12::DOUBLE)) AS k FROM (SELECT asset, bin_idx, a * k AS a, b * k AS b, norm2 * k * k AS norm2 FROM (SELECT asset, bin_idx, a * 1000 AS a, b * 1000 AS b, norm2 * 1e6::DOUBLE AS norm2, least(1, 0.05::DOUBLE / sqrt(5) / (sqrt(norm2) * 1000 + 1e-12::DOUBLE)) AS k FROM fg)))",
         "raw_attack_1step": "SELECT asset, bin_idx, round(a * k * 1e4::DOUBLE, 6) + 0.0 AS a, round(b * k * 1e4::DOUBLE, 6) + 0.0 AS b, round(norm2 * k * k * 1e8::DOUBLE, 6) + 0.0 AS norm2 FROM (SELECT *, least(1, 0.1::DOUBLE / (sqrt(sum(norm2) OVER (PARTITION BY bin_idx)) + 1e-12::DOUBLE)) AS k FROM (SELECT asset, bin_idx, a * k AS a, b * k AS b, norm2 * k * k AS norm2 FROM (SELECT asset, bin_idx, a * 0.025::DOUBLE AS a, b * 0.025::DOUBLE AS b, norm2 * 0.000625::DOUBLE AS norm2, least(1, 0.1::DOUBLE / sqrt(5) / (sqrt(norm2) * 0.025::DOUBLE + 1e-12::DOUBLE)) AS k FROM fg)))",
         "graph_attack_1step": "SELECT src, dst, round(d * CASE WHEN fro > 0.1::DOUBLE THEN 0.1::DOUBLE / (fro + 1e-12::DOUBLE) ELSE 1 END, 8) + 0.0 AS d FROM (SELECT *, sqrt(sum(d * d) OVER ()) AS fro FROM (SELECT gg.src, gg.dst, CASE WHEN gg.src = gg.dst THEN 0.0 ELSE greatest(0, least(1, w + g * (0.1::DOUBLE / 7) / (sqrt(sum(g * g) OVER ()) + 1e-12::DOUBLE))) - w END AS d FROM gg JOIN nsy ON nsy.src = gg.src AND nsy.dst = gg.dst AND nsy.graph = 'return_abs'))",
-        "ablation_join": f"SELECT tau, best_clean_mse, feature_robust_clean_mse, round(feature_gain, 8) AS feature_gain, feature_robust_choice, erm_clean_mse_reference, graph_robust_clean_mse, round(graph_gain, 8) AS graph_gain, round(sensitivity_improvement, 8) AS sensitivity_improvement, graph_robust_choice FROM ({_ABLATION})",
-        "verdict": f"SELECT tau, round(feature_robust_clean_mse - erm_clean_mse_reference, 8) AS clean_cost_feature, round(graph_robust_clean_mse - erm_clean_mse_reference, 8) AS clean_cost_graph, CASE WHEN feature_gain > 0 AND graph_gain > 0 THEN 'both' WHEN graph_gain > 0 THEN 'graph' WHEN feature_gain > 0 THEN 'feature' ELSE 'neither' END AS robustness_pays FROM ({_ABLATION})",
+        "ablation_join": "SELECT tau, feature_robust_choice, graph_robust_choice, " + ", ".join(f"round({v} * 1e6::DOUBLE, 4) + 0.0 AS {v}_ppm" for v in ("best_clean_mse", "feature_robust_clean_mse", "feature_gain", "erm_clean_mse_reference", "graph_robust_clean_mse", "graph_gain", "sensitivity_improvement")) + f" FROM ({_ABLATION})",
+        "verdict": f"SELECT tau, round((feature_robust_clean_mse - erm_clean_mse_reference) * 1e6::DOUBLE, 4) + 0.0 AS clean_cost_feature_ppm, round((graph_robust_clean_mse - erm_clean_mse_reference) * 1e6::DOUBLE, 4) + 0.0 AS clean_cost_graph_ppm, CASE WHEN feature_gain > 0 AND graph_gain > 0 THEN 'both' WHEN graph_gain > 0 THEN 'graph' WHEN feature_gain > 0 THEN 'feature' ELSE 'neither' END AS robustness_pays FROM ({_ABLATION})",
     }.items()
 }
