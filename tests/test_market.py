@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from tickloom.config import CONFIG as C
-from tickloom.operators import attacks, book, evaluation, features, gates, graphs, models, selection, summary, training
+from tickloom.config import Config
+from tickloom.operators import attacks, bins, book, evaluation, features, gates, graphs, models, selection, summary, training
 from tickloom.operators import panel as panels
 from tickloom.plans.market import QUERIES
 from tickloom.plans.market_sql import ORACLES
@@ -210,6 +211,27 @@ def test_grid_of_radii():
     assert training.KINDS == {"raw": (8, 7), "feature": (6, 11), "graph": (7, 23)} and training.BATCH == 512
 
 
+def test_ranges_of_bins_give_the_same(spark):
+    c = Config(bins=300, assets=3, taus=(1, 2, 10, 20))
+    rng = np.random.default_rng(9)
+    # asset 0 is seen late, with long silences; asset 1 in one bin; asset 2 never
+    seen = sorted(rng.choice(np.arange(70, 300), 25, replace=False).tolist())
+    msg = spark.createDataFrame([(0, i, int(b)) for i, b in enumerate(seen)] + [(1, 900, 150)], "asset int, row_idx long, bin_idx long")
+    got = {(r["asset"], r["bin_idx"]): r["last_row"] for r in bins.carry_forward(msg, c, span=23).collect()}
+    for a, rows in ((0, dict(zip(seen, range(25)))), (1, {150: 900}), (2, {})):
+        for b in range(300):
+            before = [i for x, i in rows.items() if x <= b]
+            assert got[a, b] == (before[-1] if before else next(iter(rows.values()), None))
+    assert sorted(got.items()) == sorted(((r["asset"], r["bin_idx"]), r["last_row"]) for r in bins.carry_forward(msg, c).collect())
+    plan = bins.carry_forward(msg, c, span=23)._jdf.queryExecution().executedPlan().toString()
+    assert all("part" in line for line in plan.split("\n") if " Window " in line)
+    mids = spark.createDataFrame([(a, b, float(v), 1.0) for a in range(3) for b, v in enumerate(rng.random(300) + 1)], "asset int, bin_idx long, mid double, spread double")
+    rows = lambda x: sorted(map(tuple, x.na.fill(-1.0).collect()))
+    assert rows(features.targets(mids, c, span=23)) == rows(features.targets(mids, c)) and features.targets(mids, c, span=20).count() == 3600
+    with pytest.raises(ValueError, match="shorter than the horizon"):
+        features.targets(mids, c, span=19)
+
+
 def test_keyed_permutation():
     for n in (1, 2, 3, 16, 17, 1000, 4097):
         a, b = (training.shuffled(np.arange(n), n, k) for k in (1, 2))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CLASSES, CONFIG, Config
-from .bins import clean
+from .bins import SPAN, clean, part
 from .book import mid_spread, obi, ofi
 
 
@@ -50,10 +50,21 @@ def phi_bar(std: DataFrame) -> DataFrame:
     return std.filter("f < 10").groupBy("asset", "bin_idx").agg(F.avg("x").alias("phi"))
 
 
-def targets(mids: DataFrame, c: Config = CONFIG) -> DataFrame:
-    """tau, log return y and spread-normalised return z; null where the horizon passes the end."""
-    by = Window.partitionBy("asset").orderBy("bin_idx")
-    x = mids.select("asset", "bin_idx", "mid", "spread", *(F.lead("mid", t).over(by).alias(f"m{t}") for t in c.taus))
+def targets(mids: DataFrame, c: Config = CONFIG, span: int = SPAN) -> DataFrame:
+    """tau, log return y and spread-normalised return z; null where the horizon passes the end.
+
+    Ranges of bins look ahead by themselves: the first bins of a range, as many as the longest horizon, go to the range before too.
+    """
+    if span < max(c.taus):
+        raise ValueError(f"a range of {span} bins is shorter than the horizon {max(c.taus)}")
+    by, own = Window.partitionBy("asset", "part").orderBy("bin_idx"), part(span)
+    if c.bins > span:
+        early = (F.col("bin_idx") % span < max(c.taus)) & (own > 0)
+        mids = mids.withColumn("part", F.explode(F.when(early, F.array(own, own - 1)).otherwise(F.array(own))))
+    else:
+        mids = mids.withColumn("part", own)
+    x = mids.select("asset", "bin_idx", "part", "mid", "spread", *(F.lead("mid", t).over(by).alias(f"m{t}") for t in c.taus))
+    x = x.filter(F.col("part") == own) if c.bins > span else x
     x = x.selectExpr("*", f"stack({len(c.taus)}, {', '.join(f'{t}, m{t}' for t in c.taus)}) AS (tau, ahead)")
     return x.select("asset", "bin_idx", "tau", (F.log("ahead") - F.log("mid")).alias("y"), ((F.col("ahead") - F.col("mid")) / (F.col("spread") + c.eps)).alias("z"))
 
