@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.config import CONFIG as C
 from tickloom.config import Config
@@ -232,6 +233,25 @@ def test_ranges_of_bins_give_the_same(spark):
         features.targets(mids, c, span=19)
 
 
+def test_blocks_of_assets_give_the_same_products(spark):
+    rng = np.random.default_rng(10)
+    v = [(a, b, float(rng.standard_normal())) for a in range(5) for b in range(100) if rng.random() < 0.8]
+    w = [(a, b, float(rng.standard_normal())) for a in range(5) for b in range(100) if rng.random() < 0.8]
+    x, y = (spark.createDataFrame(r, "asset int, bin_idx long, z double") for r in (v, w))
+    rows = lambda df: {(r["src"], r["dst"]): (round(r["s"], 9), r["n"]) for r in df.collect()}
+    assert rows(graphs.pair_products(x, y, C)) == rows(graphs.pair_products(x, y, C, block=2, span=17))
+    # thousands of assets: rows grow with blocks, not with assets squared in each bin
+    c, bins_ = Config(assets=2000, bins=40, train_end=40), 40
+    z = rng.standard_normal((bins_, 2000))
+    many = spark.range(bins_ * 2000).select((F.col("id") % 2000).cast("int").alias("asset"), F.floor(F.col("id") / 2000).alias("bin_idx"))
+    listed = spark.createDataFrame([(b, z[b].tolist()) for b in range(bins_)], "bin_idx long, z array<double>")
+    many = many.join(listed, "bin_idx").select("asset", "bin_idx", F.expr("z[asset]").alias("z"))
+    assert graphs.tiles(many, 8, "left").count() == bins_ * 8 * 8
+    got = graphs.pair_products(many, many, c).toPandas()
+    assert len(got) == 2000 * 2000 and (got.n == bins_).all()
+    assert np.abs(got.s.to_numpy() - (z.T @ z)[got.src, got.dst]).max() < 1e-9
+
+
 def test_keyed_permutation():
     for n in (1, 2, 3, 16, 17, 1000, 4097):
         a, b = (training.shuffled(np.arange(n), n, k) for k in (1, 2))

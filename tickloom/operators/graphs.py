@@ -2,12 +2,60 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, Config
 
 
+#: Assets and bins of a tile: two are multiplied as dense matrices in one task.
+BLOCK, SPAN = 256, 8192
+
+
+def tiles(x: DataFrame, blocks: int, side: str, block: int = BLOCK, span: int = SPAN) -> DataFrame:
+    """One row a bin and block of assets (r: its assets and values), once for each block of the other side: bi, bj, rng, t (the bin), r."""
+    own, other = ("bi", "bj") if side == "left" else ("bj", "bi")
+    packed = x.groupBy("bin_idx", F.floor(F.col("asset") / block).cast("int").alias(own)).agg(F.collect_list(F.struct("asset", "z")).alias("r"))
+    return packed.select("bin_idx", own, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(other), F.floor(F.col("bin_idx") / span).alias("rng"), "r").select("bi", "bj", "rng", F.col("bin_idx").alias("t"), "r")
+
+
+def pair_products(left: DataFrame, right: DataFrame, c: Config = CONFIG, block: int = BLOCK, span: int = SPAN) -> DataFrame:
+    """src, dst, s, n: of each pair of assets the sum of products of their z over the bins that both have, and how many those are.
+
+    Inputs: asset, bin_idx, z. Few assets are paired in each bin. More than a block are multiplied tile by tile, a tile being
+    some bins of a block of assets: a row travels once a block of the other side, not once an asset, and the pairs of
+    a tile leave its task summed.
+    """
+    if c.assets <= block:
+        a, b = left.select(F.col("asset").alias("src"), "bin_idx", F.col("z").alias("za")), right.select(F.col("asset").alias("dst"), "bin_idx", F.col("z").alias("zb"))
+        return a.join(b, "bin_idx").groupBy("src", "dst").agg(F.sum(F.col("za") * F.col("zb")).alias("s"), F.count("*").alias("n"))
+    blocks = -(-c.assets // block)
+
+    def dense(t: pa.Table, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tile's values and where there are any: bins x assets of the block."""
+        r = t.column("r").combine_chunks()
+        flat, sizes = r.flatten(), np.diff(r.offsets.to_numpy())
+        row, column = np.repeat(np.searchsorted(at, t.column("t").to_numpy()), sizes), flat.field("asset").to_numpy() - k * block
+        z, there = np.zeros((len(at), block)), np.zeros((len(at), block))
+        z[row, column], there[row, column] = flat.field("z").to_numpy(zero_copy_only=False), 1.0
+        return z, there
+
+    def multiply(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        i, j = key[0].as_py(), key[1].as_py()
+        at = np.intersect1d(a.column("t").to_numpy(), b.column("t").to_numpy())
+        a, b = (t.filter(pa.array(np.isin(t.column("t").to_numpy(), at))) for t in (a, b))
+        (za, ha), (zb, hb) = dense(a, at, i), dense(b, at, j)
+        s, n = za.T @ zb, ha.T @ hb
+        src, dst = np.nonzero(n)
+        return pa.table([pa.array((src + i * block).astype(np.int32)), pa.array((dst + j * block).astype(np.int32)), pa.array(s[src, dst]), pa.array(n[src, dst].astype(np.int64))], ["src", "dst", "s", "n"])
+
+    keys = ["bi", "bj", "rng"]
+    x = tiles(left, blocks, "left", block, span).groupBy(*keys).cogroup(tiles(right, blocks, "right", block, span).groupBy(*keys))
+    return x.applyInArrow(multiply, "src int, dst int, s double, n long").groupBy("src", "dst").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
 def correlation(left: DataFrame, right: DataFrame, c: Config = CONFIG, guard: bool = True) -> DataFrame:
     """src, dst, w: population z-scores multiplied and divided by n - 1, clipped, zero on the diagonal. Inputs: asset, bin_idx, v.
 
@@ -19,8 +67,7 @@ def correlation(left: DataFrame, right: DataFrame, c: Config = CONFIG, guard: bo
         z = (F.col("v") - F.col("m")) / (F.col("s") + c.tiny)
         return x.join(F.broadcast(m), "asset").select("asset", "bin_idx", (F.when(F.col("s") > 1e-10, z).otherwise(0.0) if guard else z).alias("z"))
 
-    a, b = scored(left).select(F.col("asset").alias("src"), "bin_idx", F.col("z").alias("za")), scored(right).select(F.col("asset").alias("dst"), "bin_idx", F.col("z").alias("zb"))
-    pairs = a.join(b, "bin_idx").groupBy("src", "dst").agg((F.sum(F.col("za") * F.col("zb")) / F.greatest(F.count("*") - 1, F.lit(1))).alias("r"))
+    pairs = pair_products(scored(left), scored(right), c).withColumn("r", F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))
     return pairs.select("src", "dst", F.when(F.col("src") == F.col("dst"), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "r"))).alias("w"))
 
 
@@ -33,8 +80,8 @@ def train_values(values: DataFrame, tau: int = 1, c: Config = CONFIG) -> DataFra
 
 def coactivity(mask: DataFrame, c: Config = CONFIG) -> DataFrame:
     m = mask.filter((F.col("bin_idx") < c.train_end) & (F.col("mask") == 1))
-    a, b = m.select(F.col("asset").alias("src"), "bin_idx"), m.select(F.col("asset").alias("dst"), "bin_idx")
-    both = a.join(b, "bin_idx").groupBy("src", "dst").agg((F.count("*") / c.train_end).alias("w"))
+    one = m.select("asset", "bin_idx", F.lit(1.0).alias("z"))
+    both = pair_products(one, one, c).select("src", "dst", (F.col("n") / c.train_end).alias("w"))
     assets = mask.sparkSession.range(c.assets).select(F.col("id").cast("int").alias("src"))
     every = assets.join(assets.select(F.col("src").alias("dst")), F.lit(True))
     return every.join(both, ["src", "dst"], "left").select("src", "dst", F.when(F.col("src") == F.col("dst"), 0.0).otherwise(F.coalesce("w", F.lit(0.0))).alias("w"))
