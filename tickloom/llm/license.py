@@ -290,8 +290,11 @@ def _spaces(x: str) -> str:
     return f"(length({x}) - length(replace({x}, ' ', '')))"
 
 
+#: The places of the rules that a text's words ask for; each word is looked up among the keywords once.
+_HITS = "array_distinct(flatten(transform(array_intersect(words, map_keys(asked)), w -> element_at(asked, w))))"
+
 #: The matches of rule r in norm as word intervals; \\u0001 and \\u0002 can't be in words.
-_SPANS = rf"""flatten(transform(filter(rules, r -> exists(r.keywords, k -> contains(norm, concat(' ', k, ' ')))), r -> aggregate(
+_SPANS = rf"""flatten(transform(transform(hits, i -> rules[i]), r -> aggregate(
   split(regexp_replace(norm, concat('(?<= )', r.pattern, '(?= )'), '\u0001$0\u0002'), '\u0001'),
   named_struct('at', 0, 'spans', cast(array() AS array<struct<first:int,last:int,priority:int,label:string,base:boolean>>)),
   (s, x) -> named_struct('at', s.at + {_spaces("x")}, 'spans', IF(contains(x, '\u0002'), concat(s.spans, array(named_struct(
@@ -317,10 +320,18 @@ def scan(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", (some | apart).alias("may"))
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.regexp_extract_all(lower, F.lit(f"({WORD})"), F.lit(1))
-    norm = F.when(F.col("may"), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
+    asked: dict[str, list[int]] = {}
+    every = rules()
+    for i, r in enumerate(every):
+        for k in r["keywords"]:
+            asked.setdefault(k, []).append(i)
+    nothing = "cast(array() AS array<struct<first:int,last:int,priority:int,label:string,base:boolean>>)"
     schema = "array<struct<label:string,keywords:array<string>,pattern:string,priority:int,base:boolean>>"
-    rows = docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), norm.alias("norm"), F.from_json(F.lit(json.dumps(rules())), schema).alias("rules"))
-    found = rows.select("doc_id", "n_words", F.coalesce(F.when(F.col("norm").isNotNull(), F.expr(_SPANS)), F.expr("cast(array() AS array<struct<first:int,last:int,priority:int,label:string,base:boolean>>)")).alias("spans"))
+    rows = docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.when(F.col("may"), words).alias("words"), F.from_json(F.lit(json.dumps(asked)), "map<string,array<int>>").alias("asked"), F.from_json(F.lit(json.dumps(every)), schema).alias("rules"))
+    rows = rows.withColumn("hits", F.coalesce(F.expr(_HITS), F.array().cast("array<int>")))
+    norm = F.when(F.size("hits") > 0, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
+    rows = rows.select("doc_id", "n_words", "hits", "rules", norm.alias("norm"))
+    found = rows.select("doc_id", "n_words", F.coalesce(F.when(F.size("hits") > 0, F.expr(_SPANS)), F.expr(nothing)).alias("spans"))
     base = F.array_sort(F.array_distinct(F.expr("transform(filter(spans, x -> x.base), x -> x.label)")))
     found = found.withColumn("kept", F.expr(_KEPT)).withColumn("base_labels", base)
     return found.select("doc_id", "n_words", "spans", "base_labels", F.array_sort(F.array_union("base_labels", "kept.labels")).alias("labels"), F.col("kept.best").alias("best"))
