@@ -1,4 +1,4 @@
-"""Logistic regression by iteratively reweighted least squares on a bounded sample, in NumPy."""
+"""Logistic regression by iteratively reweighted least squares in NumPy, on a sample or by sums over parts of the rows."""
 
 from __future__ import annotations
 
@@ -21,17 +21,25 @@ class Logistic:
         self.w[-1] = np.log(share / (1 - share))
         if len(np.unique(y)) < 2:
             return
-        d = self._design(x)
-        penalty = np.full(d.shape[1], ridge)
-        penalty[-1] = 1e-6
         for _ in range(turns):
-            p = sigmoid(d @ self.w)
-            h = weight * np.maximum(p * (1 - p), 1e-6)
-            step = np.linalg.solve((d * h[:, None]).T @ d + np.diag(penalty), d.T @ (weight * (y - p)) - penalty * self.w)
-            self.w += step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
-            if np.abs(step).max() < 1e-7:
+            if self.step(*self.sums(x, y, weight), ridge) < 1e-7:
                 break
 
+    def sums(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Curvature and gradient of the log likelihood, which add up over parts of the rows."""
+        d = self._design(x)
+        p = sigmoid(d @ self.w)
+        return (d * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ d, d.T @ (weight * (y - p))
+
+    def step(self, curvature: np.ndarray, gradient: np.ndarray, ridge: float = 1.0) -> float:
+        """One turn of Newton's method; the largest change that it asks for."""
+        penalty = np.full(len(self.w), ridge)
+        penalty[-1] = 1e-6
+        step = np.linalg.solve(curvature + np.diag(penalty), gradient - penalty * self.w)
+        most = np.abs(step).max()
+        self.w = self.w + step * min(1.0, 5 / max(most, 1e-9))
+        return most
+
     def _design(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
 

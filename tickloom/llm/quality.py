@@ -2,32 +2,42 @@
 
 * Text view: shares of character classes, repetition of words and lines, word lengths. Metadata view: source and lang
   (hashed into buckets) and n_chars.
-* Each view starts from labelled rows. In each round every view labels the unlabelled rows of the pool that it is most
-  sure of (beyond CONFIDENT, at most a share of the pool per round) for the other view, with half weight.
+* Each view starts from labelled rows. The pool is all unlabelled rows. In each round every view labels the rows of the pool
+  that it is most sure of (beyond CONFIDENT, about a share of the pool per round) for the other view, with half weight.
+  Then both views take STEPS turns of Newton's method, whose sums over the pool are added up on executors.
+* Which rows a view is most sure of is told by a histogram of its log odds: the bins from the surest down that
+  hold at most the share, and the surest in any case, so rows that are equally sure are treated alike.
+* The pool's features are a stage table. A row's labels follow from the models and bounds of the rounds so far, so nothing is written per round.
 * On labelled rows that trained neither view, each view is calibrated and the two are combined by a logistic model, so
   that a view that says nothing weighs nothing. All documents are scored by both views.
 
-Learning takes at most SAMPLE labelled and POOL unlabelled rows (smallest hash of doc_id); scores cover all rows.
+Learning takes at most SAMPLE labelled rows (smallest hash of doc_id); pool and scores cover all rows.
 
-Cases: null and empty texts are scored by their (zero) shares; null metadata are a value of their own; without labels
+Cases: rows without doc_id are in the pool; of rows with one doc_id each counts; null and empty texts are scored by their (zero) shares; null metadata are a value of their own; without labels
 all scores are 0.5; a null label is none. Each row gives one row.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import dropped
+from ..functions.lineage import stage as written
 from .logistic import Logistic
 from .text import BLANK_SPLIT, Words, list_array, map_pieces, text_bytes
 from .toxicity import labelled_sample
 
-SAMPLE, POOL = 20_000, 20_000
-ROUNDS, CONFIDENT, PER_ROUND = 4, 0.95, 0.1
+SAMPLE = 20_000
+ROUNDS, CONFIDENT, PER_ROUND, HALF = 4, 0.95, 0.1, 0.5
+#: Turns of Newton's method in a round; bins of log odds, from those of CONFIDENT to MOST.
+STEPS, BINS, MOST = 2, 4096, 35.0
 SOURCES, LANGS = 32, 8
 
 _CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r", "!", "?", ".", ",", "%*&#$@", "|", "\"'`", "<>{}[]()", ":;/\\-_=+~^"]
@@ -75,34 +85,112 @@ def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
     return out
 
 
+def labelled_by(history: list, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether no view has labelled each row yet, and the label that each row has for the text and the metadata view (NaN for none).
+
+    history: of each round the models of both views and the least log odds by which they label.
+    """
+    free, given = np.ones(len(text), bool), np.full((2, len(text)), np.nan)
+    for models, least in history:
+        now = free.copy()
+        for view, (model, x) in enumerate(zip(models, (text, meta), strict=True)):
+            z = model.logit(x)
+            sure = now & (np.abs(z) >= least[view])
+            given[1 - view, sure] = z[sure] >= 0
+            free &= ~sure
+    return free, given
+
+
+def _sureness(history: list, models: tuple):
+    """A histogram of how sure each view is of the free rows, both one after the other."""
+    lowest = np.log(CONFIDENT / (1 - CONFIDENT))
+
+    def counts(text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        free, _ = labelled_by(history, text, meta)
+        out = []
+        for model, x in zip(models, (text, meta), strict=True):
+            z = np.abs(model.logit(x[free]))
+            cell = ((np.minimum(z[z >= lowest], MOST) - lowest) * (BINS / (MOST - lowest))).astype(np.int64)
+            out.append(np.bincount(np.minimum(cell, BINS - 1), minlength=BINS))
+        return np.concatenate(out).astype(float)
+
+    return counts
+
+
+def _least(counts: np.ndarray, most: float) -> float:
+    """The log odds from which on at most so many rows lie, or the surest bin."""
+    if not counts.any():
+        return np.inf
+    above = np.cumsum(counts[::-1])[::-1]
+    first = min(int(np.argmax(above <= most)) if above[-1] <= most else BINS, int(np.flatnonzero(counts)[-1]))
+    lowest = np.log(CONFIDENT / (1 - CONFIDENT))
+    return lowest + first * ((MOST - lowest) / BINS)
+
+
+def _newton(history: list, models: tuple):
+    """Of the pool's labelled rows the sums of Newton's method for both views, and how many they are, as one array."""
+
+    def sums(text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        _, given = labelled_by(history, text, meta)
+        out = []
+        for model, x, y in zip(models, (text, meta), given, strict=True):
+            at = ~np.isnan(y)
+            out += [a.ravel() for a in model.sums(x[at], y[at], np.full(at.sum(), HALF))] + [np.array([at.sum()], float)]
+        return np.concatenate(out)
+
+    return sums
+
+
+class Pool:
+    """Unlabelled rows: x, the features of both views."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.size = rows, rows.count()
+
+    def summed(self, function: Callable[[np.ndarray, np.ndarray], np.ndarray], length: int) -> np.ndarray:
+        """The sum over all rows of what the function gives for the features of some."""
+
+        def parts(batches):
+            total = np.zeros(length)
+            for batch in batches:
+                x = _matrix(batch.column("x"))
+                total += function(x[:, :TEXT_FEATURES], x[:, TEXT_FEATURES:])
+            at = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["i", "v"])
+
+        found = self.rows.mapInArrow(parts, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        out = np.zeros(length)
+        out[found.column("i").to_numpy()] = found.column("v").to_numpy()
+        return out
+
+
 class CoTrained:
     """Both views, their calibration and their combination; fit() learns all."""
 
     def __init__(self):
         self.text: Logistic | None = None
+        self.history, self.used = [], 0
 
-    def fit(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, calibrate: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> CoTrained:
+    def fit(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, calibrate: np.ndarray, pool: Pool) -> CoTrained:
         if not len(y):
             return self
-        views, pools = (text[~calibrate], meta[~calibrate]), (pool_text, pool_meta)
-        own = y[~calibrate]
-        sets = [(v, own, np.ones(len(own))) for v in views]
-        models = [Logistic(*s) for s in sets]
-        free = np.ones(len(pool_text), bool)
-        for _ in range(ROUNDS):
-            found = []
-            for model, pool in zip(models, pools, strict=True):
-                p = model.probability(pool)
-                sure = np.where(free, np.maximum(p, 1 - p), 0)
-                most = np.argsort(-sure, kind="stable")[: int(PER_ROUND * len(pool))]
-                found.append((most[sure[most] >= CONFIDENT], p))
-            for to, (rows, p) in ((1, found[0]), (0, found[1])):
-                x, t, w = sets[to]
-                sets[to] = np.concatenate([x, pools[to][rows]]), np.concatenate([t, (p[rows] >= 0.5).astype(float)]), np.concatenate([w, np.full(len(rows), 0.5)])
-                free[rows] = False
-            if not sum(len(rows) for rows, _ in found):
+        views, own = (text[~calibrate], meta[~calibrate]), y[~calibrate]
+        models = [Logistic(v, own) for v in views]
+        sizes = [len(m.w) for m in models]
+        for _ in range(ROUNDS if pool.size and len(np.unique(own)) == 2 else 0):
+            now = tuple(copy(m) for m in models)
+            counts = pool.summed(_sureness(self.history, now), 2 * BINS).reshape(2, BINS)
+            if not counts.any():
                 break
-            models = [Logistic(*s) for s in sets]
+            self.history.append((now, [_least(c, PER_ROUND * pool.size) for c in counts]))
+            for _ in range(STEPS):
+                both = pool.summed(_newton(self.history, tuple(models)), sum(k * k + k + 1 for k in sizes))
+                self.used = 0
+                for model, v, k in zip(models, views, sizes, strict=True):
+                    part, both = both[: k * k + k + 1], both[k * k + k + 1 :]
+                    curvature, gradient = model.sums(v, own, np.ones(len(own)))
+                    model.step(curvature + part[: k * k].reshape(k, k), gradient + part[k * k : -1])
+                    self.used += int(part[-1])
         self.text, self.meta = models
         held = calibrate if calibrate.any() else np.ones(len(y), bool)
         z = [m.logit(v[held])[:, None] for m, v in ((self.text, text), (self.meta, meta))]
@@ -127,23 +215,29 @@ def _rows(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"), *more)
 
 
-def _sampled(piece: pa.RecordBatch) -> pa.RecordBatch:
-    x = np.column_stack(_views(piece))
-    return pa.record_batch([piece.column("doc_id"), piece.column("quality"), list_array(x.ravel(), np.arange(len(x) + 1) * x.shape[1])], ["doc_id", "quality", "x"])
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, TEXT_FEATURES + META_FEATURES)
+
+
+def _feature_rows(piece: pa.RecordBatch) -> pa.RecordBatch:
+    x = np.column_stack(_views(piece)).astype(np.float32)
+    return pa.record_batch([piece.column("doc_id"), list_array(x.ravel(), np.arange(len(x) + 1) * x.shape[1])], ["doc_id", "x"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most: int = SAMPLE, pool: int = POOL) -> CoTrained:
-    known = labelled_sample(docs, labels, "quality", most, learn_from)
+def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most: int = SAMPLE) -> CoTrained:
+    # texts are read once; what is joined are features
+    rows = written(map_pieces(_rows(docs), _feature_rows, "doc_id long, x array<float>"))
+    found = rows.join(F.broadcast(labelled_sample(docs, labels, "quality", most, learn_from)), "doc_id").toArrow()
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    free = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").join(labelled, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
-    wanted = known.unionByName(free.select("doc_id", F.lit(None).cast("int").alias("quality")))
-    found = map_pieces(_rows(docs).join(F.broadcast(wanted), "doc_id"), _sampled, "doc_id long, quality int, x array<double>").toArrow()
-    x = found.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, TEXT_FEATURES + META_FEATURES)
+    free = written(rows.join(labelled, "doc_id", "left_anti").select("x"))
+    x = _matrix(found.column("x"))
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
-    x, q, ids = x[order], found.column("quality").to_numpy(zero_copy_only=False).astype(float)[order], found.column("doc_id").to_numpy()[order]
-    text, meta, is_known = x[:, :TEXT_FEATURES], x[:, TEXT_FEATURES:], ~np.isnan(q)
-    calibrate = np.array([zlib.crc32(f"calibrate {i}".encode()) % 3 == 0 for i in ids[is_known].tolist()], bool)
-    return CoTrained().fit(text[is_known], meta[is_known], (q[is_known] > 0).astype(float), calibrate, text[~is_known], meta[~is_known])
+    x, q, ids = x[order], found.column("quality").to_numpy().astype(float)[order], found.column("doc_id").to_numpy()[order]
+    calibrate = np.array([zlib.crc32(f"calibrate {i}".encode()) % 3 == 0 for i in ids.tolist()], bool)
+    model = CoTrained().fit(x[:, :TEXT_FEATURES], x[:, TEXT_FEATURES:], (q > 0).astype(float), calibrate, Pool(free))
+    dropped(rows, free)
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:
