@@ -11,7 +11,8 @@
    of the other half, so that it sees hits as they are on unseen texts; texts are scored by the lexicon of both halves.
    How much commoner a term must be is chosen by the log loss of a model of one part of the sample on the other.
 
-At most SAMPLE labelled rows are learned from (those with the smallest hash of doc_id).
+At most SAMPLE labelled rows are learned from (those with the smallest hash of doc_id), which bounds the lexicon: all words
+over the bound Z are terms.
 
 Cases: null and empty texts have no hits and the score of a text without hits; without labelled rows all scores are
 0.5; a null label is none; of several labels for a doc_id the highest counts; rows without doc_id are scored, not
@@ -109,6 +110,19 @@ def _hash(words: list[str]) -> np.ndarray:
     return w.hashes()
 
 
+class Read:
+    """The words of some texts with what each lexicon asks of them: hashes, the distinct ones, and these less a letter."""
+
+    def __init__(self, column: pa.Array, shortest: int, longest: int):
+        self.words = words = Words(*text_bytes(column), ALNUM_SPLIT, lower=True)
+        self.h = words.hashes()
+        self.distinct, self.first, self.inverse = np.unique(self.h, return_index=True, return_inverse=True)
+        self.size = (words.ends - words.starts)[self.first]
+        at = np.flatnonzero((self.size >= shortest) & (self.size <= longest))
+        place, self.less = words.hashes_less_a_letter(self.first[at])
+        self.owner = at[place]
+
+
 class Lexicon:
     def __init__(self, terms: list[tuple[str, float]]):
         """terms: word and weight, the strongest first."""
@@ -133,37 +147,29 @@ class Lexicon:
         ok[ok] = self.reach[np.minimum(np.searchsorted(self.reach, h[ok]), len(self.reach) - 1)] == h[ok]
         return ok
 
-    def _may_be_near(self, words: Words, at: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Whether a term is within one edit of each word, but for some that a lost letter each makes equal by chance."""
-        ok = self._reached(h)
-        place, less = words.hashes_less_a_letter(at)
-        ok[place[self._reached(less)]] = True
-        return ok
-
-    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hits(self, read: Read) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word numbers, weights, and whether by the automaton."""
-        h = words.hashes()
+        h, first = read.h, read.first
         place = np.searchsorted(self.hashes, h)
         exact = np.flatnonzero((place < self.size) & (self.hashes[np.minimum(place, self.size - 1)] == h)) if self.size else np.zeros(0, np.int64)
         weight = np.zeros(len(h))
         weight[exact] = self.weights[place[exact]]
         near = np.zeros(0, np.int64)
         if len(self.reach):
-            size = words.ends - words.starts
-            distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            ok = (weight[first] == 0) & (size[first] >= self.lengths[0]) & (size[first] <= self.lengths[1])
-            may = np.flatnonzero(ok)
-            may = may[self._may_be_near(words, first[may], distinct[may])]
-            w = np.zeros(len(distinct))
-            for i, key in zip(may.tolist(), distinct[may].tolist(), strict=True):
+            # whether a term is within one edit of a word, but for some that a lost letter each makes equal by chance
+            ok = self._reached(read.distinct)
+            ok[read.owner[self._reached(read.less)]] = True
+            may = np.flatnonzero(ok & (weight[first] == 0) & (read.size >= self.lengths[0]) & (read.size <= self.lengths[1]))
+            w = np.zeros(len(first))
+            for i, key in zip(may.tolist(), read.distinct[may].tolist(), strict=True):
                 if (known := self.cache.get(key)) is None:
                     if len(self.cache) > 500_000:
                         self.cache.clear()
-                    known = self.cache[key] = max((self.weight_of[t] for t in edits_within_one(words.word(int(first[i])), self.trie)), default=0.0)
+                    known = self.cache[key] = max((self.weight_of[t] for t in edits_within_one(read.words.word(int(first[i])), self.trie)), default=0.0)
                 w[i] = known
             if len(may):
-                near = np.flatnonzero(w[inverse] > 0)
-                weight[near] = w[inverse][near]
+                near = np.flatnonzero(w[read.inverse] > 0)
+                weight[near] = w[read.inverse][near]
         at = np.sort(np.concatenate([exact, near]))
         return at, weight[at], np.isin(at, near)
 
@@ -184,20 +190,25 @@ def _nearby(words: Words, at: np.ndarray, doc: np.ndarray, hashes: np.ndarray, w
     return flag[last] > flag[first]
 
 
-def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
+def features(column: pa.Array, *lexicons: Lexicon) -> np.ndarray:
+    """Of each text by each lexicon, side by side."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     for mark in _MARKS:
         column = pc.replace_substring(column, mark, '"')
-    words = Words(*text_bytes(column), ALNUM_SPLIT, lower=True)
-    n = len(column)
-    at, weight, fuzzy = lexicon.hits(words)
+    read = Read(column, min(x.lengths[0] for x in lexicons), max(x.lengths[1] for x in lexicons))
+    raw = np.concatenate([[0x20], read.words.raw, [0x20]])
+    return np.concatenate([_by_lexicon(read, raw, len(column), x) for x in lexicons], 1)
+
+
+def _by_lexicon(read: Read, raw: np.ndarray, n: int, lexicon: Lexicon) -> np.ndarray:
+    words, h = read.words, read.h
+    at, weight, fuzzy = lexicon.hits(read)
     doc = np.searchsorted(words.offsets, at, side="right") - 1
-    raw = np.concatenate([[0x20], words.raw, [0x20]])
     marked = _QUOTE[raw[words.starts[at]]] | _QUOTE[raw[words.ends[at] + 1]]
-    h = words.hashes()
-    quoted = marked | (_nearby(words, at, doc, h, lexicon.reporting) & ~_nearby(words, at, doc, h, lexicon.addressing))
-    addressed = _nearby(words, at, doc, h, lexicon.addressing) & ~quoted
+    addressing = _nearby(words, at, doc, h, lexicon.addressing)
+    quoted = marked | (_nearby(words, at, doc, h, lexicon.reporting) & ~addressing)
+    addressed = addressing & ~quoted
     total = lambda mask: np.bincount(doc[mask], weight[mask], n)
     best = np.zeros(n)
     np.maximum.at(best, doc[~quoted & ~fuzzy], weight[~quoted & ~fuzzy])
@@ -234,8 +245,9 @@ def _feature_rows(shared):
     """Features by the lexicons of the other half than each row's."""
 
     def rows(piece: pa.RecordBatch) -> pa.RecordBatch:
-        both = np.stack([np.concatenate([features(piece.column("text"), lexicon) for lexicon in lexicons], 1) for lexicons in shared.value])
-        x = both[1 - piece.column("half").to_numpy(), np.arange(piece.num_rows)]
+        half, x = piece.column("half").to_numpy(), np.zeros((piece.num_rows, len(Z) * FEATURES))
+        for k in np.unique(half).tolist():
+            x[half == k] = features(piece.column("text").filter(pa.array(half == k)), *shared.value[1 - k])
         return pa.record_batch([piece.column("toxic"), piece.column("part"), list_array(x.ravel(), np.arange(len(x) + 1) * x.shape[1])], ["toxic", "part", "x"])
 
     return rows
