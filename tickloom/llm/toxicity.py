@@ -31,8 +31,8 @@ from ..functions.lineage import stage as written
 from .logistic import Logistic
 from .text import ALNUM_SPLIT, Words, list_array, map_pieces, signed, text_bytes
 
-#: Labelled rows learned from, terms of the lexicon, words on each side of a hit, at most.
-SAMPLE, TERMS, WINDOW = 40_000, 4000, 5
+#: Labelled rows learned from, and words on each side of a hit, at most.
+SAMPLE, WINDOW = 40_000, 5
 #: A term is at least so many standard deviations commoner in toxic documents than by chance (one of Z, the first where
 #: nothing tells them apart), and in so many of them.
 Z, LEAST = (6.0, 5.0, 4.5, 4.0), 3
@@ -281,7 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most: int = SA
         """One for each Z, by so many documents and toxic documents of each word."""
         z = (t - n * p) / F.sqrt(n * (p * (1 - p)))
         odds = F.log((t + 4 * p) / (n - t + 4 * (1 - p))) - float(np.log(p / (1 - p)))
-        terms = counts.filter(t >= LEAST).select("word", odds.alias("w"), z.alias("z")).filter(F.col("z") >= min(Z)).orderBy(F.desc("z"), "word").limit(TERMS).collect()
+        terms = counts.filter(t >= LEAST).select("word", odds.alias("w"), z.alias("z")).filter(F.col("z") >= min(Z)).orderBy(F.desc("z"), "word").collect()
         return [Lexicon([(r["word"], r["w"]) for r in terms if r["z"] >= least]) for least in Z]
 
     n, t = [F.col("n0"), F.col("n1")], [F.col("t0"), F.col("t1")]
