@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +225,18 @@ def test_unigram_base_by_brute_force(spark):
         assert r["score"] < 0
 
 
+def test_white_space_of_repeats_is_scored(spark):
+    """Of a learned text and its variants that differ in one gap, all variants together are less likely than the text."""
+    page = [f"w{i * 7919 % 211}" for i in range(800)]
+    train = spark.createDataFrame([(i, " ".join(page)) for i in range(6)], "doc_id long, text string")
+    variants = [" ".join(page), " ".join(page[::-1]), " \n\t ".join(page), " ".join(page) + "\n", *(" ".join(page[:k]) + "\n\n" + " ".join(page[k:]) for k in range(100, 700, 3))]
+    docs = spark.createDataFrame(enumerate(variants), "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in mixing.score(docs, *mixing.learn(train)).collect()}
+    whole = found.pop(0)
+    assert whole > found[1] / 3 and found[2] < whole - 800
+    assert sum(10.0 ** (x - whole) for x in found.values()) < 1
+
+
 def test_mixing_is_a_distribution():
     code = mixing.Code(np.bincount(np.frombuffer(b"abracadabra", np.uint8), minlength=256))
     mixer = mixing.Mixer(code, np.zeros((mixing.CONTEXTS, 2 * mixing.SLOTS), np.float32))
@@ -255,9 +268,7 @@ def test_lexicon_hits_every_misspelling():
         cuts = [(term[:i], term[i:]) for i in range(len(term) + 1)]
         near = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1} | {a + c + b[1:] for a, b in cuts if b for c in "aqzé"} | {a + c + b for a, b in cuts for c in "aqzé"}
         near = sorted(near - set(terms))
-        raw = " ".join([*near, "harmless"]).encode()
-        words = toxicity.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), toxicity.ALNUM_SPLIT)
-        at, weight, fuzzy = lexicon.hits(words)
+        at, weight, fuzzy = lexicon.hits(toxicity.Read(pa.array([" ".join([*near, "harmless"])]), *lexicon.lengths))
         assert at.tolist() == list(range(len(near))) and fuzzy.all(), term
         assert set(weight) == {500.0 - terms.index(term)}
 
@@ -393,6 +404,38 @@ def test_distances_by_brute_force():
         assert got[d].tolist() == want and compared[d] == len(ranked)
 
 
+class InMemory:
+    """A pool of arrays."""
+
+    def __init__(self, text, meta):
+        self.views, self.size = (text, meta), len(text)
+
+    def summed(self, function, length):
+        return function(*self.views) if self.size else np.zeros(length)
+
+
+def test_pool_is_summed_by_all_rows(spark):
+    """Sums on executors are those of all rows at once, however they are dealt; and what is learned by them is the same."""
+    rng = np.random.default_rng(9)
+    n, width = 2500, quality.TEXT_FEATURES
+    truth = rng.integers(0, 2, n)
+    x = np.zeros((n, width + quality.META_FEATURES), np.float32)
+    x[:, 3] = truth * 2 - 1 + rng.standard_normal(n)
+    x[:, width + 2] = truth * 2 - 1 + rng.standard_normal(n)
+    few, rest = slice(0, 200), slice(200, n)
+    learned = []
+    for parts in (1, 7):
+        rows = spark.createDataFrame([(r.tolist(),) for r in x[rest]], "x array<float>").repartition(parts)
+        learned.append((x, quality.Pool(rows)))
+    learned.append((x, InMemory(x[rest, :width].astype(float), x[rest, width:].astype(float))))
+    fitted = [quality.CoTrained().fit(x[few, :width].astype(float), x[few, width:].astype(float), truth[few].astype(float), np.arange(200) % 3 == 0, pool) for x, pool in learned]
+    for m in fitted[:2]:
+        assert np.allclose(m.text.w, fitted[2].text.w, atol=1e-9) and np.allclose(m.meta.w, fitted[2].meta.w, atol=1e-9)
+    # of the rounds' labels each row has at most one from each view, and never one that the other view took before
+    free, given = quality.labelled_by(fitted[2].history, *learned[2][1].views)
+    assert 0 < (~np.isnan(given)).any(0).sum() == (~free).sum() and fitted[2].used == (~np.isnan(given)).sum()
+
+
 def test_views_teach_each_other():
     """The labelled rows say nothing in the text view: all it knows comes from the other's labels of the pool."""
     rng = np.random.default_rng(8)
@@ -402,7 +445,7 @@ def test_views_teach_each_other():
     meta = np.column_stack([(truth * 2.0 - 1) * 2 + rng.standard_normal(3000), rng.standard_normal((3000, 3))])
     few, pool, test = slice(0, 300), slice(300, 2000), slice(2000, 3000)
     calibrate = np.arange(300) % 3 == 0
-    fit = lambda rows: quality.CoTrained().fit(text[few], meta[few], truth[few].astype(float), calibrate, text[rows], meta[rows])
+    fit = lambda rows: quality.CoTrained().fit(text[few], meta[few], truth[few].astype(float), calibrate, InMemory(text[rows], meta[rows]))
     right = lambda m: np.mean((m.text.logit(text[test]) > 0) == truth[test])
     assert right(fit(pool)) > 0.95 and right(fit(slice(0, 0))) < 0.6
 
