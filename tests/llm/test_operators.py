@@ -245,6 +245,35 @@ def test_mixing_is_a_distribution():
     assert 10.0 ** p @ np.ones(256) == pytest.approx(1, abs=1e-4)
 
 
+def test_mixing_learns_from_all_texts(spark):
+    """Which text has which doc_id says nothing: no draw of documents decides what is learned, and all words that came once are learned from."""
+    rng = np.random.default_rng(4)
+    lists = [[f"{a}{i}" for i in range(40)] for a in ("le", "der", "la", "of")]
+    letters = np.array(list("etaoinshrdlu"))
+    texts = [" ".join([*rng.choice(lists[d % 4], 20 + d % 7), *("".join(rng.choice(letters[d % 5 :], 3 + d % 6)) for _ in range(8))]) for d in range(1300)]
+    models = [mixing.learn(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"))[0] for ids in (range(1300), range(1299, -1, -1))]
+    count: dict = {}
+    for w in " ".join(texts).split():
+        count[w] = count.get(w, 0) + 1
+    size = models[0].mixer.code.size
+    once = sum(size[[*w.encode(), mixing.END]].sum() for w in count if count[w] == 1)
+    assert [m.mixer.learned for m in models] == [once, once]
+    for a, b in ((models[0].sizes, models[1].sizes), *((getattr(models[0].mixer, c), getattr(models[1].mixer, c)) for c in ("weights", "gates", "map"))):
+        assert a == pytest.approx(b, abs=1e-4)
+    assert sorted(models[0].sizes[0]) == sorted(sum(len(t.split()) + 1 for t in texts[k::4]) for k in range(4))
+
+
+def test_rare_white_space_is_counted(spark, monkeypatch):
+    """However little white space is in the broadcast, scores are the same."""
+    texts = ["a b  c", " b\ta ", "a\n\n b. c", "", None, "\t", "  c a.\n\n b \t x"]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    found = []
+    for most in (mixing.SPACE_KINDS, 1):
+        monkeypatch.setattr(mixing, "SPACE_KINDS", most)
+        found.append({r["doc_id"]: (r["n_known"], round(r["base_score"], 6), round(r["score"], 3)) for r in mixing.score(docs, *mixing.learn(docs.filter("doc_id < 6"))).collect()})
+    assert len(found[0]) == len(texts) and found[0] == found[1]
+
+
 def test_automaton_finds_one_edit_only():
     trie = toxicity.trie_of(["moron", "idiot", "trash"])
 
